@@ -8,7 +8,9 @@ moves all open positions one step; tokens that every open position agrees on
 are emitted, so no token waits longer than the longest vocabulary entry. States
 and transitions come into being when a text first needs them. Once there are
 max_states of them, a piece that leaves the table is run undetermined: the last
-token of each of its prefixes in turn, then back from the end.
+token of each of its prefixes in turn, then back from the end. New pieces are
+run in sorted order, so that a prefix shared with the piece before isn't run
+again.
 
 A token may follow another only if merging the bytes of both by rank gives
 just these two; this settles which open position a new token continues.
@@ -23,16 +25,20 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
+from pulse.llm.common import slices
+
 MAX_STATES = 20_000
 MAX_PAIRS = 300_000
-MAX_CACHED = 250_000
-MAX_CACHED_CHARS = 64
+MAX_CACHED = 150_000
+BLOCK_CHARS = 2 << 20
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -159,38 +165,15 @@ class Transducer:
         out = found[:same]
         return self.state((out[-1] if out else last, tuple((k, tail[same:]) for k, tail in new))), out
 
-    def undetermined(self, piece: bytes) -> list[int]:
-        get, ends, follows = self.ranks.get, self.ends, self.follows
-        last, back = [-1], [0]
-        for i in range(1, len(piece) + 1):
-            for n in ends.get(piece[i - 4 : i]) or ends.get(piece[i - 3 : i]) or ends.get(piece[i - 2 : i], (1,)) if i > 3 else range(i, 0, -1):
-                if n > i or (t := get(piece[i - n : i])) is None:
-                    continue
-                pair = (last[i - n], t)
-                ok = follows.get(pair)
-                if ok or ok is None and self.may_follow(*pair):
-                    last.append(t)
-                    back.append(n)
-                    break
-            else:
-                raise ValueError("the ranks lack a single byte")
-        out, i = [], len(piece)
-        while i:
-            out.append(last[i])
-            i -= back[i]
-        out.reverse()
-        return out
-
-    def encode(self, piece: bytes) -> list[int]:
-        if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
+    def determined(self, piece: bytes) -> list[int] | None:
+        """By the table; None where it ends."""
         at, out, moves = self.start, [], self.moves
         for byte in piece:
             key = at << 8 | byte
             step = moves.get(key)
             if step is None:
                 if len(self.states) >= self.max_states:
-                    return self.undetermined(piece)
+                    return None
                 step = moves[key] = self.move(at, byte)
             at = step[0]
             if step[1]:
@@ -200,6 +183,65 @@ class Transducer:
                 out += tail
         return out
 
+    def encode_sorted(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
+        get, ends, follows = self.ranks.get, self.ends, self.follows
+        last, back, before = [-1], [0], b""
+        for piece in pieces:
+            if (whole := get(piece)) is not None:
+                yield [whole]
+                continue
+            if (out := self.determined(piece)) is not None:
+                yield out
+                continue
+            k = min(len(before), len(piece))
+            while before[:k] != piece[:k]:
+                k -= 1
+            del last[k + 1 :], back[k + 1 :]
+            before = piece
+            for i in range(k + 1, len(piece) + 1):
+                for n in ends.get(piece[i - 4 : i]) or ends.get(piece[i - 3 : i]) or ends.get(piece[i - 2 : i], (1,)) if i > 3 else range(i, 0, -1):
+                    if n > i or (t := get(piece[i - n : i])) is None:
+                        continue
+                    pair = (last[i - n], t)
+                    ok = follows.get(pair)
+                    if ok or ok is None and self.may_follow(*pair):
+                        last.append(t)
+                        back.append(n)
+                        break
+                else:
+                    raise ValueError("the ranks lack a single byte")
+            out, i = [], len(piece)
+            while i:
+                out.append(last[i])
+                i -= back[i]
+            out.reverse()
+            yield out
+
+    def encode(self, piece: bytes) -> list[int]:
+        return next(self.encode_sorted([piece]))
+
+
+class Recent(dict):
+    """A dict whose entries leave when they haven't been asked for while ``size`` others came."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def missing(self, keys: Iterable) -> list:
+        """The keys that are in neither half; the others are in the new half afterwards."""
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        out, old = [], self.old
+        for k in keys:
+            if k not in self:
+                if k in old:
+                    self[k] = old[k]
+                else:
+                    out.append(k)
+        return out
+
 
 class Encoder:
     """Text -> ids: each match of the pattern by itself, with what recurs remembered."""
@@ -209,42 +251,43 @@ class Encoder:
         self.pieces = regex.compile(pattern)
         self.glued = regex.compile(r" \s|\s ")
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.parts: dict[str, list[int]] = {}
-
-    def _chunk(self, text: str) -> tuple[bytes, str]:
-        parts, ids = self.parts, []
-        for p in self.pieces.findall(text):
-            got = parts.get(p)
-            if got is None:
-                got = self.fst.encode(p.encode("utf-8"))
-                if len(p) <= MAX_CACHED_CHARS:
-                    if len(parts) >= MAX_CACHED:
-                        parts.clear()
-                    parts[p] = got
-            ids += got
-        return array("i", ids).tobytes(), ",".join(map(str, ids))
-
-    def chunks(self, text: str) -> list[tuple[bytes, str]]:
-        """The ids, packed and written out. A space between two characters that aren't white space always begins a match, so text may be cut there."""
-        if not text:
-            return []
-        words = self.cut.split(text) if self.glued.search(text) else text.split(" ")
-        known, out, lead = self.known, [], ""
-        for w in words:
-            got = known.get(w) if lead else None
-            if got is None:
-                got = self._chunk(lead + w)
-                if lead and len(w) <= MAX_CACHED_CHARS:
-                    if len(known) >= MAX_CACHED:
-                        known.clear()
-                    known[w] = got
-            out.append(got)
-            lead = " "
-        return out
+        self.known = Recent(MAX_CACHED)
+        self.parts = Recent(MAX_CACHED)
+
+    def words(self, text: str) -> list[str]:
+        """A space between two characters that aren't white space always begins a match, so text may be cut there."""
+        return self.cut.split(text) if self.glued.search(text) else text.split(" ")
+
+    def learn(self, chunks: Iterable[str], known: dict) -> None:
+        """Ids, packed and written out, of chunks that aren't known yet."""
+        chunks = list(chunks)
+        pieces = [self.pieces.findall(c) for c in chunks]
+        new = sorted((p.encode("utf-8"), p) for p in self.parts.missing({p for ps in pieces for p in ps}))
+        for (_, p), ids in zip(new, self.fst.encode_sorted(b for b, _ in new), strict=True):
+            self.parts[p] = ids
+        at = self.parts.__getitem__
+        for c, ps in zip(chunks, pieces, strict=True):
+            ids = list(chain.from_iterable(map(at, ps)))
+            known[c] = array("i", ids).tobytes(), ",".join(map(str, ids))
+
+    def chunks(self, texts: list[str]) -> list[list[tuple[bytes, str]]]:
+        """For each text the ids of its chunks, packed and written out."""
+        split = [self.words(t) if t else [] for t in texts]
+        first: dict[str, tuple[bytes, str]] = {}
+        self.learn({w[0] for w in split if w}, first)
+        later: set[str] = set()
+        for w in split:
+            later.update(w[1:])
+        found: dict[str, tuple[bytes, str]] = {}
+        missing = self.known.missing(later)
+        self.learn([" " + w for w in missing], found)
+        for w in missing:
+            self.known[w] = found[" " + w]
+        at = self.known.__getitem__
+        return [[first[w[0]], *map(at, w[1:])] if w else [] for w in split]
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([c[0] for c in self.chunks(text)]), np.int32).tolist()
+        return np.frombuffer(b"".join([c[0] for c in self.chunks([text])[0]]), np.int32).tolist()
 
 
 # Fixed values of UTF-8: the first byte's range, how many bytes follow, and the range of the second byte.
@@ -373,14 +416,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         sha = hashlib.sha256
         for batch in batches:
             n, ids_sha, text_sha, all_ids = [], [], [], []
-            for x in batch.column(1):
-                got = enc.chunks(x.as_py() or "")
-                ids = np.frombuffer(b"".join([c[0] for c in got]), np.int32)
-                n.append(len(ids))
-                ids_sha.append(sha(",".join([c[1] for c in got]).encode()).hexdigest())
-                text_sha.append(sha(dec.decode(ids).encode("utf-8")).hexdigest())
-                if keep_ids:
-                    all_ids.append(ids)
+            sizes = [k or 0 for k in pa.compute.binary_length(batch.column(1)).to_pylist()]
+            for a, b in slices(sizes, BLOCK_CHARS):
+                for got in enc.chunks([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]):
+                    ids = np.frombuffer(b"".join([c[0] for c in got]), np.int32)
+                    n.append(len(ids))
+                    ids_sha.append(sha(",".join([c[1] for c in got]).encode()).hexdigest())
+                    text_sha.append(sha(dec.decode(ids).encode("utf-8")).hexdigest())
+                    if keep_ids:
+                        all_ids.append(ids)
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:

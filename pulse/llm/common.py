@@ -2,44 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulse.functions.storage import remove, shared_dir, stored
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the folder that driver and executors share.
-
-    The cluster names that folder in spark.checkpoint.dir. Where it is unset
-    (single machine, tests) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "pulse-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/pulse-{uuid.uuid4().hex}"
+__all__ = ["remove", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_or_empty"]
 
 
-def stored(df: DataFrame, name: str = "t") -> DataFrame:
-    """df written once to the shared folder and read back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(df_path: str, spark: SparkSession) -> None:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -23,14 +23,17 @@ from operator import sub
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from pulse.llm.bpe import lengths_by_end
+from pulse.llm.bpe import Recent, lengths_by_end
+from pulse.llm.common import slices
 
 SPACE = "▁"
-MAX_CACHED = 300_000
-MAX_CACHED_CHARS = 64
-_WORD = re.compile(" *[^ ]*")
+MAX_CACHED = 200_000
+MAX_PAIRS = 300_000
+BLOCK_CHARS = 2 << 20
+_CHUNK = re.compile(" +[^ ]*")
 
 
 def read_model(path: str) -> dict[str, float]:
@@ -83,7 +86,8 @@ class PrefixCounter:
         self.longest_run = max((len(p) for p in pieces if not p.strip(SPACE)), default=1)
         self.follows: dict[tuple[str, str], bool] = {}
         self.splits: dict[str, tuple[str, str] | None] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Recent(MAX_CACHED)
+        self.before, self.count, self.last = "", [0], [""]
         self.runs: dict[int, int] = {}
 
     def split(self, t: str) -> tuple[str, str] | None:
@@ -113,16 +117,24 @@ class PrefixCounter:
                 bound, a = pieces[a], left[1]
             else:  # scores of pieces without a second space mark differ, so that a tie is one piece on both sides
                 bound, b = np.nextafter(pieces[b], float("-inf")), right[0]
-        if len(self.follows) >= MAX_CACHED:
+        if len(self.follows) >= MAX_PAIRS:
             self.follows.clear()
         self.follows[key] = ok
         return ok
 
     def counts(self, word: str) -> tuple[list[int], list[str]]:
-        """Of each prefix of a word with one leading space mark: its count and its last token; "" stands for raw bytes, which never merge."""
-        pieces, follows, lengths = self.pieces, self.follows, self.lengths
-        count, last = [0], [""]
-        for i in range(1, len(word) + 1):
+        """Of each prefix of a word with one leading space mark: its count and its last token; "" stands for raw bytes, which never merge.
+
+        What the word shares with the one before is kept, so sorted words are quick.
+        """
+        pieces, follows, lengths, before = self.pieces, self.follows, self.lengths, self.before
+        count, last = self.count, self.last
+        k = min(len(before), len(word))
+        while before[:k] != word[:k]:
+            k -= 1
+        del count[k + 1 :], last[k + 1 :]
+        self.before = word
+        for i in range(k + 1, len(word) + 1):
             for n in lengths.get(word[i - 4 : i]) or lengths.get(word[i - 3 : i]) or lengths.get(word[i - 2 : i], (1,)) if i > 3 else range(i, 0, -1):
                 if n > i or (t := word[i - n : i]) not in pieces:
                     continue
@@ -157,29 +169,27 @@ class PrefixCounter:
             count = [self.run(k) for k in range(marks)] + [self.run(marks) - 1 + count[k] if bare[k] else self.run(marks - 1) + count[k] for k in range(1, len(count))]
         return array("b", map(sub, count[1:], count)).tobytes()
 
+    def texts(self, texts: list[str]) -> list[bytes]:
+        """The steps of whole texts; entry 0 stands for the dummy prefix with the first character."""
+        split: list[list[str]] = []
+        plain: set[str] = set()
+        for t in texts:
+            t = t.replace(SPACE, " ")
+            if t and ("  " in t or t[0] == " "):
+                split.append([w.replace(" ", SPACE) for w in _CHUNK.findall(" " + t)])
+            else:
+                split.append([SPACE + w for w in t.split(" ")] if t else [])
+            plain.update(split[-1])
+        for w in sorted(self.words.missing(plain)):
+            self.words[w] = self.steps(w)
+        at, out = self.words.__getitem__, []
+        for words in split:
+            steps = b"".join(map(at, words))
+            out.append(np.frombuffer(steps[:2], np.int8).sum(dtype=np.int8).tobytes() + steps[2:] if len(steps) > 1 else b"")
+        return out
+
     def text(self, text: str) -> bytes:
-        """The steps of a whole text; entry 0 stands for the dummy prefix with the first character."""
-        if not text:
-            return b""
-        text = text.replace(SPACE, " ")
-        plain = "  " not in text and text[0] != " "
-        known, out = self.words, []
-        for w in text.split(" ") if plain else self.spaced(" " + text):
-            got = known.get(w)
-            if got is None:
-                got = self.steps(SPACE + w if plain else w.replace(" ", SPACE))
-                if plain and len(w) <= MAX_CACHED_CHARS:
-                    if len(known) >= MAX_CACHED:
-                        known.clear()
-                    known[w] = got
-            out.append(got)
-        steps = b"".join(out)
-        head = np.frombuffer(steps[:2], np.int8).sum() if len(steps) > 1 else steps[0]
-        return np.int8(head).tobytes() + steps[2:]
-
-    @staticmethod
-    def spaced(text: str) -> list[str]:
-        return [m for m in _WORD.findall(text) if m]
+        return self.texts([text])[0]
 
 
 def count_at(steps: bytes, n_chars: int) -> int:
@@ -217,15 +227,16 @@ def count(docs: DataFrame, model_path: str, limit: int, text_col: str = "text",
         c = counter(pieces, key)
         for batch in batches:
             n_bytes, n_tokens, within, all_steps = [], [], [], []
-            for x in batch.column(1):
-                t = x.as_py() or ""
-                steps = c.text(t)
-                n = count_at(steps, len(t))
-                n_bytes.append(len(t.encode("utf-8")))
-                n_tokens.append(n)
-                within.append(len(t) if n <= limit else longest_prefix(steps, limit))
-                if keep_steps:
-                    all_steps.append(steps)
+            sizes = [k or 0 for k in pa.compute.binary_length(batch.column(1)).to_pylist()]
+            n_bytes += sizes
+            for a, b in slices(sizes, BLOCK_CHARS):
+                texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
+                for t, steps in zip(texts, c.texts(texts), strict=True):
+                    n = count_at(steps, len(t))
+                    n_tokens.append(n)
+                    within.append(len(t) if n <= limit else longest_prefix(steps, limit))
+                    if keep_steps:
+                        all_steps.append(steps)
             cols = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(within, pa.int64())]
             names = [id_col, "n_bytes", "n_tokens", "over_limit", "longest_within"]
             if keep_steps:
