@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pulse.plans import events, volume
+
+CATALOGUES = (volume.C, events.C)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for c in CATALOGUES for k, f in c.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for c in CATALOGUES for k, s in c.sql.items()}
