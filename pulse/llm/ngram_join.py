@@ -26,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.common import shared_dir, shuffle_partitions, slices, stored
+from pulse.llm.common import claim, shared_dir, shuffle_partitions, slices, stored
 from pulse.operators.graph import connected_components
 
 WORDS = 5
@@ -110,8 +110,9 @@ def set_id(s: np.ndarray) -> int:
     return int(mix((mix(s) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0].astype(np.int64))
 
 
-def blocks(batches: Iterator[pa.RecordBatch], limit: int = 8 * BLOCK) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = 4 * BLOCK) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Parts of the batches (text in column 1) with their sets."""
+    claim("ngram_join", _powers.clear)
     for batch in batches:
         sizes = [n or 0 for n in pa.compute.binary_length(batch.column(1)).to_pylist()]
         for a, b in slices(sizes, limit):
@@ -192,29 +193,29 @@ def rare_first(s: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
     return s[order[:n]]
 
 
-def tiles(batches: Iterator[pa.RecordBatch], percent: int, emit) -> Iterator[pa.RecordBatch]:
-    """Calls emit(shingle's rows) for each shingle of batches that are sorted by it; rows: columns as arrays, without the shingle."""
-    held: list[list[np.ndarray]] | None = None
-    key = None
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """Columns and group starts of batches sorted by their first column; no group is cut."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column(0).to_numpy()
-        cols = [c.to_numpy() for c in batch.columns[1:]]
-        cuts = np.concatenate(([0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]))
-        # groups that lie within the batch and have one row need no look
-        size = np.diff(cuts)
-        for g in np.flatnonzero((size > 1) | (np.arange(len(size)) == 0) | (np.arange(len(size)) == len(size) - 1)):
-            a, b = cuts[g], cuts[g + 1]
-            if held is not None and key == h[a]:
-                for x, c in zip(held, cols, strict=True):
-                    x.append(c[a:b])
-            else:
-                if held is not None and sum(map(len, held[0])) > 1:
-                    yield from emit([np.concatenate(x) for x in held])
-                held, key = [[c[a:b]] for c in cols], h[a]
-    if held is not None and sum(map(len, held[0])) > 1:
-        yield from emit([np.concatenate(x) for x in held])
+        cols = [c.to_numpy() for c in batch.columns]
+        cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
+        if not cut and held and held[-1][0][-1] == cols[0][0]:  # all of one group
+            held.append(cols)
+            continue
+        parts = [*held, [c[:cut] for c in cols]]
+        done = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        held = [[c[cut:] for c in cols]]
+        if len(done[0]):
+            yield done, starts_of(done[0])
+    if held:
+        done = [np.concatenate(x) for x in zip(*held, strict=True)]
+        yield done, starts_of(done[0])
+
+
+def starts_of(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
 
 
 def attach(pairs: DataFrame, sets: DataFrame, end: str, cols: list[str]) -> DataFrame:
@@ -298,34 +299,23 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of shingles that several sets hold, each with the hub of its tile: the first set that its size is near enough to."""
-        waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def tile(cols):
-            h, size, sid = cols
-            size, sid = size.astype(np.int64), sid
-            new = np.concatenate(([True], sid[1:] != sid[:-1]))  # rows are sorted by size and set: copies met by other tasks
-            h, size, sid = h[new], size[new], sid[new]
-            if len(sid) < 2:
-                return
-            hub = np.empty_like(sid)
-            a = 0
-            while a < len(sid):
-                b = int(np.searchsorted(size, size[a] * 100 // percent, side="right"))
-                hub[a:b] = sid[a]
-                a = b
-            waiting.append((h, size, sid, hub))
-            if sum(len(w[0]) for w in waiting) > 100_000:
-                yield flush()
-
-        def flush():
-            h, size, sid, hub = (np.concatenate(x) for x in zip(*waiting, strict=True))
-            waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(size.astype(np.int32)), pa.array(sid), pa.array(hub)], names)
-
-        keyed = (pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(1), b.column(2)], ["key", *names[:3]]) for b in batches)
-        yield from tiles(keyed, percent, tile)
-        if waiting:
-            yield flush()
+        for (h, size, sid), _ in whole_groups(batches):
+            new = np.ones(len(h), bool)  # rows are sorted by size and set: a set may come from several tasks
+            new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
+            h, size, sid = h[new], size[new].astype(np.int64), sid[new]
+            starts = starts_of(h)
+            n = np.diff(np.append(starts, len(h)))
+            many = np.repeat(n > 1, n)
+            hub = np.repeat(sid[starts], n)
+            far = size > np.repeat(size[starts], n) * 100 // percent
+            for g in np.unique(np.repeat(np.arange(len(n)), n)[far]):
+                a, end = int(starts[g]), int(starts[g] + n[g])
+                while a < end:
+                    b = a + int(np.searchsorted(size[a:end], size[a] * 100 // percent, side="right"))
+                    hub[a:b] = sid[a]
+                    a = b
+            if many.any():
+                yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(size[many].astype(np.int32)), pa.array(sid[many]), pa.array(hub[many])], names)
 
     met = stored(entries.repartition(parts, "shingle").sortWithinPartitions("shingle", "size", "sid").mapInArrow(meet, "shingle bigint, size int, sid bigint, hub bigint"))
 
@@ -365,18 +355,27 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of a tile that no links join yet."""
 
-        def tile(cols):
-            size, sid, comp = cols
+        for (h, size, sid, comp), starts in whole_groups(batches):
+            n = np.diff(np.append(starts, len(h)))
             size = size.astype(np.int64)
-            if (comp == comp[0]).all():
-                return
-            for i in range(len(sid) - 1):
-                end = int(np.searchsorted(size, size[i] * 100 // percent, side="right"))
-                other = sid[i + 1 : end][comp[i + 1 : end] != comp[i]]
-                if len(other):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, sid[i])), pa.array(np.maximum(other, sid[i]))], ["a", "b"])
-
-        yield from tiles(batches, percent, tile)
+            mixed = np.unique(np.repeat(np.arange(len(n)), n)[comp != np.repeat(comp[starts], n)])
+            left, right = [], []
+            for g in mixed:
+                a, end = int(starts[g]), int(starts[g] + n[g])
+                for i in range(a, end - 1):
+                    last = i + int(np.searchsorted(size[i:end], size[i] * 100 // percent, side="right"))
+                    other = sid[i + 1 : last][comp[i + 1 : last] != comp[i]]
+                    left.append(np.minimum(other, sid[i]))
+                    right.append(np.maximum(other, sid[i]))
+                    if i % 1000 == 999:  # a wide tile hands its pairs on piece by piece
+                        yield pairs_of(left, right)
+            yield pairs_of(left, right)
+
+    def pairs_of(left, right):
+        both = np.unique(np.stack([np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)], 1), axis=0)
+        left.clear()
+        right.clear()
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
     more = labelled.repartition(parts, "shingle").sortWithinPartitions("shingle", "size", "sid").mapInArrow(across, "a bigint, b bigint")
     links = links.unionByName(check(more.distinct(), sets, percent))
