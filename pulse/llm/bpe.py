@@ -33,12 +33,12 @@ import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
-from pulse.llm.common import slices
+from pulse.llm.common import claim, slices
 
 MAX_STATES = 20_000
-MAX_PAIRS = 300_000
-MAX_CACHED = 150_000
-BLOCK_CHARS = 2 << 20
+MAX_PAIRS = 200_000
+MAX_CACHED = 100_000
+BLOCK_CHARS = 1 << 20
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -390,6 +390,7 @@ def coder(data: bytes, pattern: str) -> tuple[Encoder, Decoder]:
     """The coder of a rank file's content, made once in each Python process."""
     key = (hash(data), pattern)
     if key not in _built:
+        claim("bpe", _built.clear)
         _built.clear()
         ranks = read_ranks(data)
         _built[key] = Encoder(ranks, pattern), Decoder(ranks)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions.storage import remove, shared_dir, stored
 
-__all__ = ["remove", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_or_empty"]
+__all__ = ["claim", "remove", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +35,21 @@ def slices(sizes, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+_holders: dict[str, Callable[[], None]] = {}
+
+
+def claim(owner: str, clear: Callable[[], None]) -> None:
+    """Drops what other operators keep in this Python process, which Spark reuses, before owner fills its own caches."""
+    others = [f for name, f in _holders.items() if name != owner]
+    if others:
+        for f in others:
+            f()
+        _holders.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+    _holders[owner] = clear
+
+
 def text_or_empty(col: str):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

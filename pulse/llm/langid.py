@@ -19,13 +19,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.common import slices, stored
+from pulse.llm.common import claim, slices, stored
 
 UNKNOWN = "und"
 GRAM = 4
 SLOT_BITS = 20
 MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: The model is fitted on about so many documents of each language, chosen by a hash of their id.
 SAMPLE_PER_LANGUAGE = 2000
 #: and keeps so many n-grams of a language at most, the most common first.
@@ -165,6 +165,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str =
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("langid", dict)
         for batch in batches:
             sizes = [n or 0 for n in pa.compute.binary_length(batch.column(at)).to_pylist()]
             for a, b in slices(sizes, BLOCK_BYTES):

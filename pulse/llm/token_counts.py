@@ -27,12 +27,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 
 from pulse.llm.bpe import Recent, lengths_by_end
-from pulse.llm.common import slices
+from pulse.llm.common import claim, slices
 
 SPACE = "▁"
-MAX_CACHED = 200_000
-MAX_PAIRS = 300_000
-BLOCK_CHARS = 2 << 20
+MAX_CACHED = 150_000
+MAX_PAIRS = 200_000
+BLOCK_CHARS = 1 << 20
 _CHUNK = re.compile(" +[^ ]*")
 
 
@@ -208,6 +208,7 @@ _counter: dict[int, PrefixCounter] = {}
 
 def counter(pieces: dict[str, float], key: int) -> PrefixCounter:
     if key not in _counter:
+        claim("token_counts", _counter.clear)
         _counter.clear()
         _counter[key] = PrefixCounter(pieces)
     return _counter[key]
