@@ -228,8 +228,39 @@ def attach(pairs: DataFrame, sets: DataFrame, end: str, cols: list[str]) -> Data
     return out.unionByName(pairs.where(is_hot).join(F.broadcast(own.where(is_hot)), end)) if hot else out
 
 
-def check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that are similar enough."""
+def sets_of(text: DataFrame, ids: DataFrame, parts: int, whole: bool) -> DataFrame:
+    """sid, size and signature, or with ``whole`` the sorted hashes, of the sets whose ids a filter of fixed size lets through; one row each, bucketed by id."""
+    spark = text.sparkSession
+    slot = F.shiftrightunsigned(F.col("sid"), 64 - FILTER_BITS)
+    wanted = np.zeros(1 << FILTER_BITS, bool)
+    wanted[[r[0] for r in ids.select(slot.alias("slot")).distinct().collect()]] = True
+    flags = spark.sparkContext.broadcast(np.packbits(wanted))
+    name = "items" if whole else "sig"
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.unpackbits(flags.value)
+        known: set[int] = set()
+        for _, sets in blocks(batches):
+            found = []
+            for s in sets:
+                i = set_id(s)
+                if len(s) and asked[(i & (1 << 64) - 1) >> (64 - FILTER_BITS)] and i not in known:
+                    if len(known) > 1_000_000:
+                        known.clear()
+                    known.add(i)
+                    found.append((i, len(s), s.tobytes() if whole else signature(s)))
+            if found:
+                ids, sizes, data = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], ["sid", "size", name])
+
+    table = f"pulse_sets_{uuid.uuid4().hex}"
+    found = text.mapInArrow(keep, f"sid bigint, size int, {name} binary").repartition(parts, "sid")
+    found.dropDuplicates(["sid"]).write.format("parquet").option("path", shared_dir(spark)).bucketBy(parts, "sid").sortBy("sid").saveAsTable(table)
+    return spark.table(table)
+
+
+def check(text: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of set ids that are similar enough. sets has the signatures; arrays are made again for the pairs that pass."""
     pairs = stored(pairs)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +280,9 @@ def check(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok.append(linked(common_elements(x, y), len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    hot_first = attach(left, sets, "b", ["items"])
-    return stored(attach(hot_first, sets, "a", ["items"]).mapInArrow(exact, "a bigint, b bigint"))
+    ends = left.select(F.col("a").alias("sid")).unionByName(left.select(F.col("b").alias("sid")))
+    sets = sets_of(text, ends, shuffle_partitions(text.sparkSession), True)
+    return stored(attach(attach(left, sets, "b", ["items"]), sets, "a", ["items"]).mapInArrow(exact, "a bigint, b bigint"))
 
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -280,7 +312,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
             ids = [set_id(s) for s in sets]
             if len(known) > 1_000_000:
                 known.clear()
-            hashes, owners, sizes = [], [], []
+            hashes, owners, sizes, places = [], [], [], []
             for i, s in zip(ids, sets, strict=True):
                 if len(s) and i not in known:
                     known.add(i)
@@ -288,21 +320,22 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
                     hashes.append(p)
                     owners.append(np.full(len(p), i, np.int64))
                     sizes.append(np.full(len(p), len(s), np.int32))
+                    places.append(np.arange(len(p), dtype=np.int32))
             if hashes:
                 h = np.concatenate(hashes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(owners))], ["shingle", "size", "sid"])
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], ["shingle", "size", "sid", "place"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     members = stored(text.mapInArrow(describe, f"doc {kind}, sid bigint, size int"))
-    entries = text.mapInArrow(open_tiles, "shingle bigint, size int, sid bigint")
-    names = ["shingle", "size", "sid", "hub"]
+    entries = text.mapInArrow(open_tiles, "shingle bigint, size int, sid bigint, place int")
+    names = ["shingle", "size", "sid", "place", "hub"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of shingles that several sets hold, each with the hub of its tile: the first set that its size is near enough to."""
-        for (h, size, sid), _ in whole_groups(batches):
+        for (h, size, sid, place), _ in whole_groups(batches):
             new = np.ones(len(h), bool)  # rows are sorted by size and set: a set may come from several tasks
             new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
-            h, size, sid = h[new], size[new].astype(np.int64), sid[new]
+            h, size, sid, place = h[new], size[new].astype(np.int64), sid[new], place[new]
             starts = starts_of(h)
             n = np.diff(np.append(starts, len(h)))
             many = np.repeat(n > 1, n)
@@ -315,56 +348,36 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
                     hub[a:b] = sid[a]
                     a = b
             if many.any():
-                yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(size[many].astype(np.int32)), pa.array(sid[many]), pa.array(hub[many])], names)
-
-    met = stored(entries.repartition(parts, "shingle").sortWithinPartitions("shingle", "size", "sid").mapInArrow(meet, "shingle bigint, size int, sid bigint, hub bigint"))
+                yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(size[many].astype(np.int32)), pa.array(sid[many]), pa.array(place[many]), pa.array(hub[many])], names)
 
-    slot = F.shiftrightunsigned(F.col("sid"), 64 - FILTER_BITS)
-    wanted = np.zeros(1 << FILTER_BITS, bool)  # sets that a tile holds, by a filter of fixed size
-    wanted[[r[0] for r in met.select(slot.alias("slot")).distinct().collect()]] = True
-    flags = spark.sparkContext.broadcast(np.packbits(wanted))
+    met = stored(entries.repartition(parts, "shingle").sortWithinPartitions("shingle", "size", "sid").mapInArrow(meet, "shingle bigint, size int, sid bigint, place int, hub bigint"))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.unpackbits(flags.value)
-        known: set[int] = set()
-        for _, sets in blocks(batches):
-            found = []
-            for s in sets:
-                i = set_id(s)
-                if len(s) and asked[(i & (1 << 64) - 1) >> (64 - FILTER_BITS)] and i not in known:
-                    if len(known) > 1_000_000:
-                        known.clear()
-                    known.add(i)
-                    found.append((i, s))
-            if found:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([i for i, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int32()), pa.array([signature(s) for _, s in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary())],
-                    ["sid", "size", "sig", "items"],
-                )
-
-    name = f"pulse_sets_{uuid.uuid4().hex}"
-    found = text.mapInArrow(keep, "sid bigint, size int, sig binary, items binary").repartition(parts, "sid")
-    found.dropDuplicates(["sid"]).write.format("parquet").option("path", shared_dir(spark)).bucketBy(parts, "sid").sortBy("sid").saveAsTable(name)
-    sets = spark.table(name)
-    star = met.where("sid <> hub").select(F.col("hub").alias("a"), F.col("sid").alias("b")).distinct()
-    links = check(star, sets, percent)
+    sigs = sets_of(text, met.select("sid"), parts, False)
+    # a hub is only tried on sets that meet it in a tenth of their tiles: what it leaves is looked at below
+    often = F.col("n") >= 0.1 * (F.col("size") * (100 - percent) / 100)
+    star = met.where("sid <> hub").groupBy(F.col("hub").alias("a"), F.col("sid").alias("b"), "size").agg(F.count(F.lit(1)).alias("n")).where(often).select("a", "b")
+    links = check(text, star, sigs, percent)
     first = connected_components(links, "a", "b")
 
-    labelled = met.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("shingle", "size", "sid", F.coalesce("component", "sid").alias("component"))
+    labelled = met.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("shingle", "size", "sid", "place", F.coalesce("component", "sid").alias("component"))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of a tile that no links join yet."""
 
-        for (h, size, sid, comp), starts in whole_groups(batches):
+        for (h, size, sid, place, comp), starts in whole_groups(batches):
             n = np.diff(np.append(starts, len(h)))
-            size = size.astype(np.int64)
+            size, place = size.astype(np.int64), place.astype(np.int64)
+            left_over = size - place  # this shingle and those after it
             mixed = np.unique(np.repeat(np.arange(len(n)), n)[comp != np.repeat(comp[starts], n)])
             left, right = [], []
             for g in mixed:
                 a, end = int(starts[g]), int(starts[g] + n[g])
                 for i in range(a, end - 1):
                     last = i + int(np.searchsorted(size[i:end], size[i] * 100 // percent, side="right"))
-                    other = sid[i + 1 : last][comp[i + 1 : last] != comp[i]]
+                    rest = slice(i + 1, last)
+                    # the first shingle that two sets share leaves room for the overlap they need
+                    needed = -(-percent * (size[i] + size[rest]) // (100 + percent))
+                    other = sid[rest][(comp[rest] != comp[i]) & (np.minimum(left_over[i], left_over[rest]) >= needed)]
                     left.append(np.minimum(other, sid[i]))
                     right.append(np.maximum(other, sid[i]))
                     if i % 1000 == 999:  # a wide tile hands its pairs on piece by piece
@@ -378,7 +391,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
         return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
 
     more = labelled.repartition(parts, "shingle").sortWithinPartitions("shingle", "size", "sid").mapInArrow(across, "a bigint, b bigint")
-    links = links.unionByName(check(more.distinct(), sets, percent))
+    links = links.unionByName(check(text, more.distinct(), sigs, percent))
     labels = connected_components(links, "a", "b").select(F.col("node").alias("sid"), "component")
 
     own = members.where("size > 0").groupBy("sid").agg(F.min("doc").alias("least"))
