@@ -19,15 +19,32 @@ def guarded_ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
 
 
+def running_totals(df: DataFrame, order: str, values: list[str], descending: bool = False, ranges: int = 256) -> DataFrame:
+    """Adds run_<value>, the sum of a value over all rows up to this one in the order of a number that is never null.
+
+    The rows are cut into ranges at approximate quantiles; each range sums its
+    own rows and adds what the ranges before it hold, a table of at most
+    ``ranges`` rows. No task gets all rows.
+    """
+    cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.001)))
+    below = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    marked = df.withColumn("__range", -below if descending else below)
+    sums = marked.groupBy("__range").agg(*[F.sum(v).alias(f"__sum_{v}") for v in values])
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    held = sums.select("__range", *[F.coalesce(F.sum(f"__sum_{v}").over(before), F.lit(0)).alias(f"__before_{v}") for v in values])
+    own = Window.partitionBy("__range").orderBy(F.desc(order) if descending else F.asc(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = marked.join(F.broadcast(held), "__range")
+    return out.select(*df.columns, *[(F.col(f"__before_{v}") + F.sum(v).over(own)).alias(f"run_{v}") for v in values])
+
+
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds 1-based ranks, ties sharing their mean.
+    """Adds 1-based ranks, ties sharing their mean; null for null.
 
     Ranks come from counts of distinct values, so equal values are aggregated
     before anything is ordered.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
-    below = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.select(value, (F.sum("__n").over(below) - (F.col("__n") - 1) / 2.0).alias(name))
+    ranks = running_totals(counts, value, ["__n"]).select(value, (F.col("run___n") - (F.col("__n") - 1) / 2.0).alias(name))
     return df.join(ranks, value, "left")
 
 

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulse.functions.stats import running_totals
 from pulse.functions.storage import stored
 
 
@@ -83,9 +84,9 @@ def multiclass_metrics(predicted: DataFrame, actual: str = "label", guess: str =
 def roc_points(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """threshold, tpr, fpr for each distinct score, highest first."""
     by = scored.groupBy(score).agg(F.sum(label).alias("p"), F.sum(1 - F.col(label)).alias("n"))
-    down = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    every = Window.partitionBy(F.lit(1))
-    return by.select(F.col(score).alias("threshold"), (F.sum("p").over(down) / F.sum("p").over(every)).alias("tpr"), (F.sum("n").over(down) / F.sum("n").over(every)).alias("fpr"))
+    whole = by.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))  # one row
+    runs = running_totals(by, score, ["p", "n"], descending=True).crossJoin(F.broadcast(whole))
+    return runs.select(F.col(score).alias("threshold"), (F.col("run_p") / F.col("all_p")).alias("tpr"), (F.col("run_n") / F.col("all_n")).alias("fpr"))
 
 
 def auc(predicted: DataFrame, score: str = "probability", label: str = "label") -> float:
