@@ -35,8 +35,9 @@ def words(text: str) -> set[bytes]:
 def shape(text: str) -> list[float]:
     """Numbers of a text's outer form, each from 0 to about 1."""
     n = max(1, len(text))
-    upper = sum(map(str.isupper, text[:]))
-    return [np.log1p(len(text)) / 12, upper / n, min(1.0, 40 * text.count("!") / n), min(1.0, 40 * text.count("|") / n), min(1.0, 10 * sum(map(text.count, "0123456789")) / n)]
+    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+    upper, digits = np.count_nonzero((raw >= 65) & (raw <= 90)), np.count_nonzero((raw >= 48) & (raw <= 57))
+    return [np.log1p(len(text)) / 12, upper / n, min(1.0, 40 * text.count("!") / n), min(1.0, 40 * text.count("|") / n), min(1.0, 10 * digits / n)]
 
 
 N_SHAPE = 5
