@@ -95,7 +95,7 @@ def test_shapes():
     assert profile.shape(mixed) == "double_peak"
     assert profile.shape([]) == profile.shape([math.nan]) == "sharp_spike"
     assert profile.shape([0.0] * 9) == profile.shape([4.0] * 9) == "sustained_plateau"
-    assert profile.shape([1.0] * 24 + [float(i) for i in range(1, 40)]) == "slow_burn"
+    assert profile.shape([1.0] * 24 + [1 + 0.1 * i for i in range(20)] + [30.0, 1.0, 1.0]) == "slow_burn"
 
 
 def test_peaks_by_hand():
