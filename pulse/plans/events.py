@@ -140,9 +140,10 @@ def corr_pearson_p(spark, sf_dir):
     return one.select("n", "r", t_pvalue(t, (F.col("n") - 2).cast("double")).alias("p"))
 
 
-@C.add(sql(f"{_ENG}, e AS (SELECT * FROM joined WHERE post_spike_avg_score > 0), ranks AS (SELECT rank() OVER (ORDER BY peak_z) + (count(*) OVER (PARTITION BY peak_z) - 1) / 2.0 AS rx, rank() OVER (ORDER BY post_spike_avg_score) + (count(*) OVER (PARTITION BY post_spike_avg_score) - 1) / 2.0 AS ry FROM e)", "SELECT count(*)::bigint AS n, round(corr(rx, ry), 6) AS rho FROM ranks"))
+@C.add(sql(f"{_ENG}, e AS (SELECT round(peak_z, 9) AS peak_z, round(post_spike_avg_score, 9) AS post_spike_avg_score FROM joined WHERE post_spike_avg_score > 0), ranks AS (SELECT rank() OVER (ORDER BY peak_z) + (count(*) OVER (PARTITION BY peak_z) - 1) / 2.0 AS rx, rank() OVER (ORDER BY post_spike_avg_score) + (count(*) OVER (PARTITION BY post_spike_avg_score) - 1) / 2.0 AS ry FROM e)", "SELECT count(*)::bigint AS n, round(corr(rx, ry), 6) AS rho FROM ranks"))
 def corr_spearman(spark, sf_dir):
-    e = _joined(spark, sf_dir).select("window_id", "peak_z", "post_spike_avg_score")
+    """Ties are values that are equal to nine places, so that the order of sums doesn't part them."""
+    e = _joined(spark, sf_dir).select("window_id", *[F.round(c, 9).alias(c) for c in ("peak_z", "post_spike_avg_score")])
     r = average_rank(average_rank(e, "peak_z", "rx"), "post_spike_avg_score", "ry")
     return r.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
 
