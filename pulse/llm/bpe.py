@@ -8,9 +8,10 @@ moves all open positions one step; tokens that every open position agrees on
 are emitted, so no token waits longer than the longest vocabulary entry. States
 and transitions come into being when a text first needs them. Once there are
 max_states of them, a piece that leaves the table is run undetermined: the last
-token of each of its prefixes in turn, then back from the end. New pieces are
-run in sorted order, so that a prefix shared with the piece before isn't run
-again.
+token of each of its prefixes in turn, then back from the end. Short pieces are
+run so side by side in arrays, one position of all of them after the other;
+longer ones in sorted order, so that a prefix shared with the piece before isn't
+run again.
 
 A token may follow another only if merging the bytes of both by rank gives
 just these two; this settles which open position a new token continues.
@@ -39,6 +40,9 @@ MAX_STATES = 20_000
 MAX_PAIRS = 200_000
 MAX_CACHED = 100_000
 BLOCK_CHARS = 1 << 20
+SIDE_BY_SIDE = 48  # longest piece, in bytes, that is run in arrays
+PAIR_BITS = 20
+ID_BITS = 24
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -221,6 +225,115 @@ class Transducer:
         return next(self.encode_sorted([piece]))
 
 
+class Edges:
+    """(node << 8 | byte) -> node over arrays; 0 where there is no edge."""
+
+    def __init__(self, edges: dict[int, int]):
+        keys, values = np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int32, len(edges))
+        self.bits = max(8, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        slot, todo = self.slot(keys), np.arange(len(keys))
+        while len(todo):
+            at = slot[todo]
+            first = np.zeros(len(todo), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            put = first & (self.keys[at] < 0)
+            self.keys[at[put]], self.values[at[put]] = keys[todo[put]], values[todo[put]]
+            todo = todo[~put]
+            slot[todo] = self.next(slot[todo])
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def next(self, slot: np.ndarray) -> np.ndarray:
+        return slot + 1 & (1 << self.bits) - 1
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self.slot(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.values[slot], 0)
+        open_ = np.flatnonzero((found != keys) & (found >= 0))
+        slot = slot[open_]
+        while len(open_):
+            slot = self.next(slot)
+            found = self.keys[slot]
+            hit = found == keys[open_]
+            out[open_[hit]] = self.values[slot[hit]]
+            more = ~hit & (found >= 0)
+            open_, slot = open_[more], slot[more]
+        return out
+
+
+class SideBySide:
+    """The transducer's rules without its table, for many short pieces at once."""
+
+    def __init__(self, fst: Transducer):
+        self.fst = fst
+        edges: dict[int, int] = {}
+        token = [-1]
+        for b, i in fst.ranks.items():  # entries from their ends backwards
+            node = 0
+            for x in reversed(b):
+                nxt = edges.get(node << 8 | x)
+                if nxt is None:
+                    nxt = edges[node << 8 | x] = len(token)
+                    token.append(-1)
+                node = nxt
+            token[node] = i
+        self.edges, self.token = Edges(edges), np.array(token, np.int32)
+        self.pairs, self.allowed = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+
+    def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        pair = (a.astype(np.int64) + 1) << ID_BITS | b
+        slot = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        out, miss = self.allowed[slot], np.flatnonzero(self.pairs[slot] != pair)
+        if len(miss):
+            new, back = np.unique(pair[miss], return_inverse=True)
+            ok = np.array([self.fst.may_follow((k >> ID_BITS) - 1, k & (1 << ID_BITS) - 1) for k in new.tolist()])[back]
+            out[miss] = ok
+            slot, at = np.unique(slot[miss], return_index=True)
+            self.pairs[slot], self.allowed[slot] = pair[miss[at]], ok[at]
+        return out
+
+    def encode(self, pieces: list[bytes]) -> list[list[int]]:
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
+        width = int(size[0])
+        flat = b"".join([pieces[i].ljust(width, b"\0") for i in order.tolist()])
+        raw = np.frombuffer(flat, np.uint8).reshape(len(pieces), width)
+        last, back = np.full((len(pieces), width + 1), -1, np.int32), np.zeros((len(pieces), width + 1), np.uint8)
+        for i in range(1, width + 1):
+            who = np.arange(int(np.searchsorted(-size, -i, side="right")))
+            todo, node, ending = np.ones(len(who), bool), np.zeros(len(who), np.int64), []
+            for n in range(1, i + 1):  # the entries that the text ends in here, shortest first
+                node = self.edges.get(node << 8 | raw[who, i - n])
+                alive = node > 0
+                who, node = who[alive], node[alive].astype(np.int64)
+                if not len(who):
+                    break
+                t = self.token[node]
+                ending.append((n, who[t >= 0], t[t >= 0]))
+            for n, who, t in reversed(ending):
+                open_ = todo[who]
+                who, t = who[open_], t[open_]
+                ok = self.may_follow(last[who, i - n], t)
+                who = who[ok]
+                last[who, i], back[who, i], todo[who] = t[ok], n, False
+            if todo.any():
+                raise ValueError("the ranks lack a single byte")
+        who, end = np.arange(len(pieces)), size
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(who):
+            found.append((order[who], end, last[who, end]))
+            end = end - back[who, end]
+            who, end = who[end > 0], end[end > 0]
+        piece, end, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        ids = ids[np.lexsort((end, piece))].tolist()
+        ends = np.cumsum(np.bincount(piece, minlength=len(pieces))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Recent(dict):
     """A dict whose entries leave when they haven't been asked for while ``size`` others came."""
 
@@ -248,6 +361,8 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.fst = Transducer(ranks)
+        self.side = SideBySide(self.fst)
+        self.names = {i: str(i) for i in ranks.values()}
         self.pieces = regex.compile(pattern)
         self.glued = regex.compile(r" \s|\s ")
         self.cut = regex.compile(r"(?<=\S) (?=\S)")
@@ -258,17 +373,36 @@ class Encoder:
         """A space between two characters that aren't white space always begins a match, so text may be cut there."""
         return self.cut.split(text) if self.glued.search(text) else text.split(" ")
 
-    def learn(self, chunks: Iterable[str], known: dict) -> None:
-        """Ids, packed and written out, of chunks that aren't known yet."""
+    def run(self, pieces: list[str]) -> None:
+        """Adds the ids of pieces that aren't known yet: by the table as far as it goes, else undetermined."""
+        get, determined, parts, name = self.fst.ranks.get, self.fst.determined, self.parts, self.names.__getitem__
+        short, long = [], []
+        for p in pieces:
+            b = p.encode("utf-8")
+            if (whole := get(b)) is not None:
+                parts[p] = array("i", (whole,)).tobytes(), name(whole)
+            elif (ids := determined(b)) is not None:
+                parts[p] = array("i", ids).tobytes(), ",".join(map(name, ids))
+            else:
+                (short if len(b) <= SIDE_BY_SIDE else long).append((b, p))
+        long.sort()
+        for some, ids_of in ((short, self.side.encode), (long, self.fst.encode_sorted)):
+            if some:
+                for (_, p), ids in zip(some, ids_of([b for b, _ in some]), strict=True):
+                    parts[p] = array("i", ids).tobytes(), ",".join(map(name, ids))
+
+    def learn(self, chunks: Iterable[str], known: dict, before: str = "") -> None:
+        """Ids, packed and written out, of chunks that aren't known yet, with ``before`` put before each."""
         chunks = list(chunks)
-        pieces = [self.pieces.findall(c) for c in chunks]
-        new = sorted((p.encode("utf-8"), p) for p in self.parts.missing({p for ps in pieces for p in ps}))
-        for (_, p), ids in zip(new, self.fst.encode_sorted(b for b, _ in new), strict=True):
-            self.parts[p] = ids
+        pieces = [self.pieces.findall(before + c) for c in chunks]
+        self.run(self.parts.missing(set(chain.from_iterable(pieces))))
         at = self.parts.__getitem__
         for c, ps in zip(chunks, pieces, strict=True):
-            ids = list(chain.from_iterable(map(at, ps)))
-            known[c] = array("i", ids).tobytes(), ",".join(map(str, ids))
+            if len(ps) == 1:
+                known[c] = at(ps[0])
+            else:
+                got = list(map(at, ps))
+                known[c] = b"".join([x[0] for x in got]), ",".join([x[1] for x in got])
 
     def chunks(self, texts: list[str]) -> list[list[tuple[bytes, str]]]:
         """For each text the ids of its chunks, packed and written out."""
@@ -278,11 +412,7 @@ class Encoder:
         later: set[str] = set()
         for w in split:
             later.update(w[1:])
-        found: dict[str, tuple[bytes, str]] = {}
-        missing = self.known.missing(later)
-        self.learn([" " + w for w in missing], found)
-        for w in missing:
-            self.known[w] = found[" " + w]
+        self.learn(self.known.missing(later), self.known, " ")
         at = self.known.__getitem__
         return [[first[w[0]], *map(at, w[1:])] if w else [] for w in split]
 

@@ -43,7 +43,8 @@ def test_table_and_simulation_agree(coder):
     small = bpe.Transducer(coder[0].fst.ranks, max_states=3)
     large = bpe.Transducer(coder[0].fst.ranks, max_states=100_000)
     words = sorted({w.encode() for t in texts(300, 5) for w in t.split()})
-    assert list(small.encode_sorted(words)) == list(large.encode_sorted(words))
+    assert list(small.encode_sorted(words)) == list(large.encode_sorted(words)) == bpe.SideBySide(small).encode(words)
+    assert bpe.SideBySide(small).encode([b"\0", b"\xff\0a"]) == list(large.encode_sorted([b"\0", b"\xff\0a"]))
 
 
 def test_utf8_machine_holds_back_unfinished_sequences():
