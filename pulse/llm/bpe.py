@@ -552,7 +552,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
                 for got in enc.chunks([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]):
                     ids = np.frombuffer(b"".join([c[0] for c in got]), np.int32)
                     n.append(len(ids))
-                    ids_sha.append(sha(",".join([c[1] for c in got]).encode()).hexdigest())
+                    ids_sha.append(sha(",".join([c[1] for c in got if c[1]]).encode()).hexdigest())  # the chunk before a leading space has no ids
                     text_sha.append(sha(dec.decode(ids).encode("utf-8")).hexdigest())
                     if keep_ids:
                         all_ids.append(ids)

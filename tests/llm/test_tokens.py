@@ -95,3 +95,11 @@ def test_frames_with_nulls_repeats_and_clashing_names(spark, reference):
         t = {1: "", 2: "", 3: "the cat", None: "word " * 5000}[r["doc_id"]]
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t), len(sp.encode(t)), len(sp.encode(t)) > 4096)
     assert bpe.encode(df.limit(0), RANKS, P.PATTERN).count() == token_counts.count(df.limit(0), MODEL, 5).count() == 0
+
+
+def test_hashes_of_ids_with_leading_and_lone_spaces(spark, reference):
+    rows = list(enumerate([" foo bar", " ", "  ", " a", "  a b", "a ", " a ", " \n", "\n a", " é", " 1 2", *texts(150, 7)]))
+    got = {r["doc_id"]: r for r in bpe.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), RANKS, P.PATTERN, keep_ids=False).collect()}
+    for i, t in rows:
+        ids = reference.encode_ordinary(t)
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()), repr(t)
