@@ -10,8 +10,8 @@ bit of the character at each of them.
 
 The likeness of two fingerprints estimates the share of equal positions: each
 range counts by its length, and agreement by chance is taken out. Bands are
-groups of sampled bits; texts that share one are candidates, and verification
-compares whole fingerprints.
+groups of bits drawn over all ranges by their length; texts that share one are
+candidates, and verification compares whole fingerprints.
 """
 
 from __future__ import annotations
@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulse.llm.common import shuffle_partitions, slices
+from pulse.llm.common import shuffle_partitions, slices, stored
 
 PERIOD = 1 << 12  # steps after which the shared random bits repeat
 PER_RANGE = 64
 RANGES = 40
 BAND_BITS = 16
+RECALL = 0.999
 BLOCK_CELLS = 4 << 20
 BLOCK_CHARS = 4 << 20
 
@@ -143,14 +144,41 @@ def likeness(a: str, b: str) -> float:
     return min(1.0, max(0.0, same / whole)) if whole else 0.0
 
 
-def bands(fp: str) -> list[str]:
-    """Keys of the sampled bits, BAND_BITS at a time, in the last two ranges that the walk runs through whole, and of the whole fingerprint."""
+@lru_cache(4 * RANGES)
+def _drawn(level: int, least: float) -> np.ndarray:
+    """For each band of a level, the bits it takes of the ranges under 2^level, laid end to end.
+
+    Bits are drawn by the lengths of their ranges. Of a pair with a likeness of
+    ``least`` a drawn bit then differs with a chance of (1 - least) / 2 at
+    most, whichever ranges the differences are in; a last range that ends
+    early is compared at its sampled positions, for which the bound is taken
+    at the worst end. There are so many bands that such a pair shares none with
+    a chance of 1 - RECALL over the draw.
+    """
+    top, share = 1 << (level - 1), (1 - least) / 2
+    s = (_sampled[level - 1] + 1 - top) / top  # ends of the last range, and below the part sampled up to each
+    f = np.arange(1, len(s) + 1) / len(s)
+    apart = np.minimum(1, share * (1 + s) / s)
+    differ = max(share, float(((share * (1 + s) + apart * np.maximum(0, f - s)) / 2).max()) * (1 << level) / ((1 << level) - 1))
+    meet = max(0.0, 1 - differ) ** BAND_BITS
+    n = 1 if meet >= 1 else int(np.ceil(np.log(1 - RECALL) / np.log1p(-meet)))
+    rng = np.random.default_rng([20240102, level])
+    sizes = np.array([len(x) for x in _sampled[:level]])
+    weights = 2.0 ** np.arange(level)
+    k = rng.choice(level, (n, BAND_BITS), p=weights / weights.sum())
+    return (np.cumsum(sizes) - sizes)[k] + (rng.random(k.shape) * sizes[k]).astype(np.int64)
+
+
+def bands(fp: str, least: float = 0.75) -> list[str]:
+    """Keys of drawn bits at each level at which a text with a likeness of ``least`` can end, and of the whole fingerprint."""
     total, bits = _open(fp)
-    full = max(0, len(bits) - 1)
-    out = [f"all:{fp}"]
-    for k in range(max(0, full - 2), full):
-        for b in range(0, len(bits[k]), BAND_BITS):
-            out.append(f"{k}:{b}:{np.packbits(bits[k][b : b + BAND_BITS]).tobytes().hex()}")
+    out, flat = [f"all:{fp}"], np.concatenate([*bits, np.zeros(0, np.uint8)])
+    for level in range(len(bits), 0, -1):
+        shorter = level < len(bits)
+        if shorter and least * (total - 1) > (1 << level) - 1 and total > _sampled[level][0]:
+            break
+        keys = np.packbits(flat[_drawn(level, least)], axis=1)
+        out += [f"{level}:{b}:{key.tobytes().hex()}" for b, key in enumerate(keys)]
     return out
 
 
@@ -171,36 +199,46 @@ def fingerprint(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
 def near_groups(docs: DataFrame, least: float = 0.75, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id and group_id, the smallest id linked to it, for texts whose fingerprints have a likeness of at least ``least``.
 
-    Texts that share a band are compared with the smallest id of the band, so
-    a band of any size gives a row for each text and never pairs within it.
+    Equal fingerprints count once. Texts that share a band are compared with
+    the smallest id of the band; what isn't linked to it by then is compared
+    with all others of the band that it isn't linked to either. A pair of that
+    likeness shares a band with a chance of RECALL at least.
     """
     from pulse.operators.graph import connected_components
 
-    fps = fingerprint(docs, text_col, id_col).withColumnRenamed(id_col, "doc_id").where("doc_id IS NOT NULL")
+    own = stored(fingerprint(docs, text_col, id_col).withColumnRenamed(id_col, "doc_id").where("doc_id IS NOT NULL"))
+    fps = stored(own.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "fingerprint").groupBy("doc_id").agg(F.collect_list("fingerprint").alias("fingerprints")))
+    kind = own.schema["doc_id"].dataType
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = [], []
-            for i, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for k in bands(fp):
+            for i, own_fps in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k in {k for fp in own_fps for k in bands(fp, least)}:
                     ids.append(i)
                     keys.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(keys, pa.string())], ["doc_id", "band"])
 
-    keyed = fps.mapInArrow(split, T.StructType([fps.schema["doc_id"], T.StructField("band", T.StringType())]))
-    hubs = keyed.groupBy("band").agg(F.min("doc_id").alias("hub"))
-    pairs = keyed.join(hubs, "band").where("hub <> doc_id").select("doc_id", "hub").distinct()
-    pairs = pairs.join(fps, "doc_id").join(fps.select(F.col("doc_id").alias("hub"), F.col("fingerprint").alias("hub_fingerprint")), "hub")
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [likeness(a, b) >= least for a, b in zip(batch.column("fingerprint").to_pylist(), batch.column("hub_fingerprint").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("hub")], ["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+            ok = [any(likeness(a, b) >= least for a in x for b in y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("src"), batch.column("dst")], ["src", "dst"]).filter(pa.array(ok, pa.bool_()))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(fps.toDF("src", "x"), "src").join(fps.toDF("dst", "y"), "dst")
+        return stored(both.select("src", "dst", "x", "y").mapInArrow(verify, T.StructType([T.StructField("src", kind), T.StructField("dst", kind)])))
 
-    kind = fps.schema["doc_id"].dataType
-    links = pairs.mapInArrow(verify, T.StructType([T.StructField("src", kind), T.StructField("dst", kind)]))
-    groups = connected_components(links)
-    out = fps.select("doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    keyed = stored(fps.mapInArrow(split, T.StructType([T.StructField("doc_id", kind), T.StructField("band", T.StringType())])))
+    hubs = keyed.groupBy("band").agg(F.min("doc_id").alias("hub"))
+    copies = own.join(own.groupBy("fingerprint").agg(F.min("doc_id").alias("dst")), "fingerprint").where("doc_id <> dst").select(F.col("doc_id").alias("src"), "dst")
+    links = copies.unionByName(alike(keyed.join(hubs, "band").where("hub <> doc_id").select(F.col("doc_id").alias("src"), F.col("hub").alias("dst"))))
+    groups = connected_components(links).withColumnRenamed("node", "doc_id")
+    inside = stored(keyed.join(groups, "doc_id", "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("g")))
+    heads = inside.join(hubs.withColumnRenamed("hub", "doc_id"), ["band", "doc_id"]).select("band", F.col("g").alias("head"))
+    rest = inside.join(heads, "band").where("g <> head").select("band", F.col("doc_id").alias("a"), F.col("g").alias("ga"))
+    others = rest.join(inside, "band").where("g <> ga").select(F.least("a", "doc_id").alias("src"), F.greatest("a", "doc_id").alias("dst"))
+    groups = connected_components(links.unionByName(alike(others)))
+    out = own.select("doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.coalesce("component", "doc_id").alias("group_id"))
 
 

@@ -135,6 +135,52 @@ def test_fingerprints(spark):
     assert got[5] == got[3] == 3 and got[9] == 9
 
 
+def test_bands_meet_at_the_least_likeness():
+    rng = np.random.default_rng(6)
+    met = []
+    for _ in range(400):
+        total, k = int(rng.integers(600, 9000)), int(rng.integers(0, 3))
+        n = sum(len(x) for x in edit_fingerprint._sampled[: total.bit_length()])
+        bits = rng.integers(0, 2, n, dtype=np.uint8)
+        flips = rng.random(n) < (0.11 if k else 0.02)
+        if not k:  # nearly all differences in one range
+            flips[-128:-64] |= rng.random(64) < 0.3
+        a, b = (f"{total:010x}" + np.packbits(x).tobytes().hex() for x in (bits, bits ^ flips))
+        if 0.75 <= edit_fingerprint.likeness(a, b) < 0.85:
+            met.append(not set(edit_fingerprint.bands(a)).isdisjoint(edit_fingerprint.bands(b)))
+    assert len(met) > 100 and sum(met) >= 0.99 * len(met)
+
+
+def test_near_groups_of_near_copies_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for g in range(14):
+        text = [rng.choice("abcdefgh ") for _ in range(rng.choice([40, 120, 300, 700, 1400, 1500]))]
+        for _ in range(9):  # a chain: its ends aren't alike
+            rows.append("".join(text))
+            at = rng.randrange(len(text))
+            text[at : at + max(1, len(text) // 25)] = [rng.choice("xyz") for _ in range(max(1, len(text) // 25))]
+    rng.shuffle(rows)
+    rows += [rows[0], "", None]
+    ids = [3 * i for i in range(len(rows))]
+    fps = edit_fingerprint.fingerprints([t or "" for t in rows])
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if edit_fingerprint.likeness(fps[a], fps[b]) >= 0.75]
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        up[max(x, y)] = min(x, y)
+    met = sum(not set(edit_fingerprint.bands(fps[a])).isdisjoint(edit_fingerprint.bands(fps[b])) for a, b in pairs)
+    assert len(pairs) > 200 and met >= 0.99 * len(pairs)
+    got = {r["doc_id"]: r["group_id"] for r in edit_fingerprint.near_groups(docs(spark, rows, ids)).collect()}
+    assert got == {3 * i: 3 * find(i) for i in range(len(rows))}
+
+
 @pytest.mark.parametrize("parts", [1, 3])
 def test_next_document_in_descending_order(spark, parts):
     rows = [(i, "".join(random.Random(i).choice("abcé🙂") for _ in range(i * 7 % 23))) for i in range(1, 30)] + [(50, None), (51, "z" * 40_000), (None, "tail")]
