@@ -54,13 +54,24 @@ def entities(texts: DataFrame, max_chars: int = 5000) -> DataFrame:
     return rows.where(F.length(F.trim("entity_text")) > 1).withColumn("entity_label", label)
 
 
+def chunks(text: str, max_chars: int) -> list[str]:
+    """The whole text in pieces of max_chars at most, cut at blanks where there are any."""
+    out, at = [], 0
+    while len(text) - at > max_chars:
+        cut = text.rfind(" ", at + 1, at + max_chars + 1)
+        out.append(text[at : (cut := cut if cut > 0 else at + max_chars)])
+        at = cut
+    return [*out, text[at:]]
+
+
 def extract_with(texts: DataFrame, extractor: Callable[[list[str]], list[list[tuple[str, str]]]], max_chars: int = 5000) -> DataFrame:
-    """The same rows from a model: extractor gives (text, label) lists for a batch of texts."""
+    """The same rows from a model: extractor gives (text, label) lists for a batch of chunks of max_chars at most; all chunks of a text count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = b.to_pydict()
-            rows = [(w, i, e, k) for w, i, es in zip(t["window_id"], t["text_id"], extractor([x[:max_chars] for x in t["text"]]), strict=True) for e, k in es if len(e.strip()) > 1]
+            parts = [(w, i, c) for w, i, x in zip(t["window_id"], t["text_id"], t["text"], strict=True) for c in chunks(x, max_chars)]
+            rows = [(w, i, e, k) for (w, i, _), es in zip(parts, extractor([c for _, _, c in parts]), strict=True) for e, k in es if len(e.strip()) > 1]
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], ["window_id", "text_id", "entity_text", "entity_label"])
 
     return texts.select("window_id", "text_id", "text").mapInArrow(run, "window_id string, text_id bigint, entity_text string, entity_label string")
@@ -108,16 +119,19 @@ def sentiment(texts: DataFrame, max_chars: int = 2048) -> DataFrame:
 
 
 def score_with(texts: DataFrame, scorer: Callable[[list[str]], list[tuple[float, float, float]]], max_chars: int = 2048) -> DataFrame:
-    """window_id, text_id, score = positive - negative from a model's (negative, neutral, positive); a batch that fails counts as neutral."""
+    """window_id, text_id, score = positive - negative from a model's (negative, neutral, positive), the mean over a text's chunks of max_chars at most by their lengths; a batch that fails counts as neutral."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = b.column(2).to_pylist()
+            parts = [chunks(x, max_chars) for x in b.column(2).to_pylist()]
+            flat = [c for cs in parts for c in cs]
             try:
-                p = scorer([x[:max_chars] for x in t])
+                p = list(scorer(flat))
             except Exception:  # noqa: BLE001  the model is the caller's
-                p = [(0.33, 0.34, 0.33)] * len(t)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[2] - x[0] for x in p], pa.float64())], ["window_id", "text_id", "score"])
+                p = [(0.33, 0.34, 0.33)] * len(flat)
+            each = iter(x[2] - x[0] for x in p)
+            scores = [sum(next(each) * max(1, len(c)) for c in cs) / sum(max(1, len(c)) for c in cs) for cs in parts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], ["window_id", "text_id", "score"])
 
     return texts.select("window_id", "text_id", "text").mapInArrow(run, "window_id string, text_id bigint, score double")
 

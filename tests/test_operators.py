@@ -157,3 +157,17 @@ def test_streaming_equals_batch(spark, tmp_path):
     q = session_stream(spark.readStream.schema(marks.schema).parquet(str(tmp_path / "m"))).writeStream.format("memory").queryName("wins").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["anomaly_hours"] for r in spark.table("wins").collect()) == [1, 2]
+
+
+def test_models_read_whole_texts_in_chunks(spark):
+    from pulse.operators import texts
+
+    for t in ("", "short", "a" * 25, "ab cd " * 9, "x" * 12 + " y", " " * 30):
+        got = texts.chunks(t, 10)
+        assert "".join(got) == t and all(len(c) <= 10 for c in got)
+    df = spark.createDataFrame([("w", 1, "bad " * 5 + "good " * 4 + "End"), ("w", 2, "ok")], "window_id string, text_id bigint, text string")
+    found = texts.extract_with(df, lambda cs: [[(x, "K") for x in c.split() if x == "End"] for c in cs], 10)
+    assert [tuple(r) for r in found.collect()] == [("w", 1, "End", "K")]
+    scored = texts.score_with(df, lambda cs: [(1.0, 0.0, 0.0) if "bad" in c else (0.0, 0.0, 1.0) for c in cs], 20)
+    got = {r["text_id"]: r["score"] for r in scored.collect()}
+    assert -1 < got[1] < 1 and got[2] == 1.0
