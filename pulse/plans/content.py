@@ -45,6 +45,18 @@ def clean_text(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(_SAMPLES)), "i bigint, t string").select("i", clean(F.col("t")).alias("cleaned"))
 
 
+# White space and word characters as clean() takes them, written out for engines whose \\s and \\w know ASCII only.
+_BLANK = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{24b6}-\x{24e9}\x{200c}\x{200d}\x{1f130}-\x{1f149}\x{1f150}-\x{1f169}\x{1f170}-\x{1f189}"
+
+
+@C.add(
+    f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN text IS NULL OR text IN ('[deleted]', '[removed]') THEN '' ELSE text END, 'https?://[^{_BLANK}]+', '', 'g'), '/?[ru]/[{_WORD}]+', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*_~`#>]', '', 'g'), '[{_BLANK}]+', ' ', 'g'), ' ') AS cleaned FROM documents"
+)
+def clean_documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", clean(F.col("text")).alias("cleaned"))
+
+
 @C.add("SELECT doc_id, (length(trim(text)) >= 1 AND length(text) >= 10 AND text NOT IN ('[deleted]', '[removed]')) AS ok FROM documents")
 def valid_text(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", usable(F.col("text"), 10).alias("ok"))

@@ -171,3 +171,17 @@ def test_models_read_whole_texts_in_chunks(spark):
     scored = texts.score_with(df, lambda cs: [(1.0, 0.0, 0.0) if "bad" in c else (0.0, 0.0, 1.0) for c in cs], 20)
     got = {r["text_id"]: r["score"] for r in scored.collect()}
     assert -1 < got[1] < 1 and got[2] == 1.0
+
+
+def test_clean_documents_equals_sql_on_long_null_and_foreign_texts(spark, tmp_path):
+    import duckdb
+
+    from pulse import registry
+
+    rows = [(1, None), (2, ""), (3, "[removed]"), (4, "see\u00a0https://a.b/\u00e9\u3000now"), (5, "u/na\u00efve_\u4e2d\u0301\u203f9 r/x-y \u00a0\u2003 z"), (6, "[x](a\nb) *b* ~#> \x1c\x0b`"), (7, "word https://c.d [l](m)  /r/q\t" * 3000), (8, "\U0001f642 /u/\U0001f170\u24b6 \u200d\x85 e")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(c.execute(registry.oracle_sql()["clean_documents"]).fetchall())
+    got = {r["doc_id"]: r["cleaned"] for r in registry.queries()["clean_documents"](spark, str(tmp_path)).collect()}
+    assert got == want and got[1] == got[3] == "" and got[7] == " ".join(["word l"] * 3000)
