@@ -9,6 +9,7 @@ that a URL is only compared with rules that hold one of its own tokens.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,20 +54,28 @@ def fixed_rule(h, p, rules=RULES):
 
 
 def tokens(url):
-    """Distinct tokens: labels of the host, directories and ending of the path, keys of the query, a fragment's name."""
+    """Distinct tokens: labels of the host, directories, last segment and ending of the path, keys and pairs of the query, a fragment's name."""
     h, p = host(url), path(url)
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     own = lambda kind, items: F.transform(items, lambda x: F.concat(F.lit(kind), x))
     parts = [
         own("h:", F.split(h, r"\.")),
         own("p:", F.split(F.regexp_replace(p, r"[^/]*$", ""), "/")),
+        own("s:", F.array(F.regexp_extract(p, r"([^/]*)$", 1))),
         own("e:", F.array(F.regexp_extract(p, r"\.([A-Za-z0-9]+)$", 1))),
         own("q:", F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, r"^([^=]*)", 1))),
+        own("v:", F.filter(F.split(query, "&"), lambda x: x.rlike(r"=."))),
         own("f:", F.array(F.regexp_extract(url, r"#(.*)$", 1))),
     ]
     return F.coalesce(F.array_distinct(F.filter(F.concat(*parts), lambda x: F.length(x) > 2)), F.array().cast("array<string>"))
 
 
+def implied(rule: frozenset[str]) -> frozenset[str]:
+    """The rule's tokens and those that come with them: a pair's key, a segment's ending."""
+    keys = {f"q:{t[2:].split('=', 1)[0]}" for t in rule if t.startswith("v:")}
+    return rule | keys | {f"e:{m[1]}" for t in rule if t.startswith("s:") and (m := re.search(r"\.([A-Za-z0-9]+)\Z", t))}
+
+
 def mine(pages: DataFrame, labels: DataFrame, url_col: str = "url", id_col: str = "page_id", label_id: str = "doc_id", min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE) -> list[frozenset[str]]:
     """Antecedents of rules for ``block``: labelled URLs are bad with quality 0 or toxic 1.
 
@@ -86,7 +95,8 @@ def mine(pages: DataFrame, labels: DataFrame, url_col: str = "url", id_col: str
     found = sorted({frozenset(r[0]) for r in rules}, key=lambda r: (len(r), sorted(r)))
     kept: list[frozenset[str]] = []
     for r in found:
-        if not any(k <= r for k in kept):
+        whole = implied(r)
+        if not any(k <= whole for k in kept):
             kept.append(r)
     return kept
 

@@ -226,6 +226,16 @@ def test_mining_finds_the_planted_combination(spark):
     assert url_rules.mine(spark.createDataFrame([], "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")) == []
 
 
+def test_mining_sees_last_segments_and_query_values(spark):
+    rows = [(i, f"http://h{i % 5}.test/a/{'login.php' if i % 4 == 0 else f'{i}.php'}?id={i}") for i in range(400)]
+    rows += [(i, f"http://h{i % 5}.test/b/{i}?ref={'spam' if i % 4 == 0 else i}") for i in range(400, 800)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(800)], "doc_id bigint, quality int, toxic int")
+    mined = url_rules.mine(pages, labels)
+    assert mined == [frozenset({"s:login.php"}), frozenset({"v:ref=spam"})]
+    assert {r["page_id"] for r in url_rules.judge(pages, mined).where("verdict = 'block'").collect()} == set(range(0, 800, 4))
+
+
 # ---- vectors
 
 
