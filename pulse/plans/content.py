@@ -274,6 +274,12 @@ def negative_candidates(spark, sf_dir):
     return feats.negative_candidates(hours12(spark, sf_dir), catalogue(spark).where("event_id <= 3"))
 
 
+@C.add(sql(f"{DETECT12}, {catalogue_sql()}, near AS (SELECT day_sec + d * 86400 AS day FROM catalogue, (SELECT unnest(range(-3, 4)) AS d)), ranked AS (SELECT channel, hour, row_number() OVER (ORDER BY (hour // 3600 * 7919 + length(channel) * 104729) % 10007, channel, hour) AS n FROM hourly WHERE hour - hour % 86400 NOT IN (SELECT day FROM near))", "SELECT channel, hour FROM ranked WHERE n <= 3 * (SELECT count(*) FROM catalogue)"))
+def negative_candidates_all(spark, sf_dir):
+    """Away from every event of the catalogue, three quiet hours for each."""
+    return feats.negative_candidates(hours12(spark, sf_dir), catalogue(spark))
+
+
 def _matrix(spark, sf_dir):
     wins, hours = stored(windows12(spark, sf_dir)), hours12(spark, sf_dir)
     t = texts.window_texts(wins, activity.texts(spark, sf_dir), -86400, 86400)
