@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from pulse.functions.stats import average_rank, t_pvalue
@@ -25,11 +27,11 @@ prof AS (SELECT cluster_id, string_agg(channel, '|' ORDER BY window_start, chann
 typed AS (SELECT prof.*, CASE WHEN share_within > 0.5 THEN 'simultaneous' WHEN first_mover_size < p50 THEN 'niche_to_mainstream' WHEN first_mover_size >= p75 THEN 'top_down' ELSE 'niche_to_mainstream' END AS propagation_type FROM prof, p)"""
 
 
-def _members(spark, sf_dir):
+def _members(spark, sf_dir, radius=6):
     hours = hours12(spark, sf_dir)
     wins = stored(windows12(spark, sf_dir))
     volume = rollup.channel_volume(hours)
-    return propagation.members(wins, propagation.clusters(wins, 6), volume), volume
+    return propagation.members(wins, propagation.clusters(wins, radius), volume), volume
 
 
 @C.add(sql(f"{DETECT12}, {_PAIRS}", "SELECT a, b FROM pairs"))
@@ -38,18 +40,18 @@ def cooccurring_pairs(spark, sf_dir):
 
 
 @C.add(sql(_MEMBERS, "SELECT window_id, cluster_id FROM clusters"))
-def event_clusters(spark, sf_dir):
-    return propagation.clusters(stored(windows12(spark, sf_dir)), 6)
+def event_clusters(spark, sf_dir, radius=6):
+    return propagation.clusters(stored(windows12(spark, sf_dir)), radius)
 
 
 @C.add(sql(_PROFILE, "SELECT cluster_id, channel_sequence, propagation_type, num_windows, num_channels, round(total_duration_hours, 6) AS total_duration_hours, first_detection, round(share_within, 6) AS share_within, first_mover_size FROM typed"))
-def cluster_profile(spark, sf_dir):
-    return propagation.profile(*_members(spark, sf_dir))
+def cluster_profile(spark, sf_dir, radius=6):
+    return propagation.profile(*_members(spark, sf_dir, radius))
 
 
 @C.add(sql(_PROFILE, "SELECT propagation_type, count(*)::bigint AS n, max(num_channels) AS max_channels, round(avg(total_duration_hours), 6) AS avg_duration FROM typed GROUP BY propagation_type"))
-def propagation_type(spark, sf_dir):
-    return propagation.profile(*_members(spark, sf_dir)).groupBy("propagation_type").agg(F.count(F.lit(1)).alias("n"), F.max("num_channels").alias("max_channels"), F.avg("total_duration_hours").alias("avg_duration"))
+def propagation_type(spark, sf_dir, radius=6):
+    return propagation.profile(*_members(spark, sf_dir, radius)).groupBy("propagation_type").agg(F.count(F.lit(1)).alias("n"), F.max("num_channels").alias("max_channels"), F.avg("total_duration_hours").alias("avg_duration"))
 
 
 @C.add(sql(_MEMBERS, "SELECT p50, p75 FROM p"))
@@ -58,13 +60,19 @@ def size_percentiles(spark, sf_dir):
 
 
 @C.add(sql(_MEMBERS, "SELECT cluster_id, window_id, channel, total_posts, round((window_start - min(window_start) OVER (PARTITION BY cluster_id)) / 3600.0::double, 6) AS offset_hours FROM members"))
-def cluster_offsets(spark, sf_dir):
-    return propagation.offsets(_members(spark, sf_dir)[0])
+def cluster_offsets(spark, sf_dir, radius=6):
+    return propagation.offsets(_members(spark, sf_dir, radius)[0])
 
 
 @C.add(sql(_PROFILE, "SELECT cluster_id, num_windows FROM typed ORDER BY num_windows DESC, cluster_id LIMIT 10"))
-def largest_clusters(spark, sf_dir):
-    return propagation.profile(*_members(spark, sf_dir)).select("cluster_id", "num_windows").orderBy(F.desc("num_windows"), "cluster_id").limit(10)
+def largest_clusters(spark, sf_dir, radius=6):
+    return propagation.profile(*_members(spark, sf_dir, radius)).select("cluster_id", "num_windows").orderBy(F.desc("num_windows"), "cluster_id").limit(10)
+
+
+# The same with the operator's own radius of 48 hours.
+for _f in (event_clusters, cluster_profile, propagation_type, cluster_offsets, largest_clusters):
+    C.add(name=f"{_f.__name__}_48h")(partial(_f, radius=48))
+    C.sql[f"{_f.__name__}_48h"] = C.sql[_f.__name__].replace(_PAIRS6, _PAIRS)
 
 
 _SERIES = f"{DETECT12}, series AS (SELECT w.window_id, w.window_start, w.window_end, h.hour, h.post_count, h.unique_authors, h.mean_score FROM wins w JOIN hourly h ON h.channel = w.channel AND h.hour BETWEEN w.window_start - 86400 AND w.window_end + 259200)"

@@ -57,3 +57,10 @@ def test_candidates_keep_away_from_every_event(spark, duck, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(got) == sorted(c.execute(registry.oracle_sql()["negative_candidates_all"]).fetchall())
+
+
+def test_clusters_link_windows_up_to_48_hours_apart(spark, duck):
+    ids = {r["window_id"]: r["cluster_id"] for r in registry.queries()["event_clusters_48h"](spark, SF).collect()}
+    pairs = registry.queries()["cooccurring_pairs"](spark, SF).collect()
+    assert pairs and {x for r in pairs for x in (r["a"], r["b"])} == set(ids)
+    assert all(ids[r["a"]] == ids[r["b"]] for r in pairs)
