@@ -8,6 +8,10 @@ byte for each character, the step from the prefix before: their running sum is
 the count at any prefix, so truncation to a budget, the cost of any prefix and
 over-limit questions need no second encoding.
 
+What a step depends on recurs, so steps are taken for all different words of a
+block side by side, one character after the other, and remembered as moves
+between states (transducer.py); a move's step is count[i] - count[i - 1].
+
 The model is a sentencepiece BPE with byte fallback, identity normalisation and
 a dummy prefix; no entry holds the space mark after another character, so the
 counts of a text are those of its words, one after the other.
@@ -15,25 +19,21 @@ counts of a text are those of its words, one after the other.
 
 from __future__ import annotations
 
-import heapq
 import re
-from array import array
 from collections.abc import Iterator
-from operator import sub
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from pulse.llm.bpe import Recent, lengths_by_end
 from pulse.llm.common import claim, slices
+from pulse.llm.transducer import MAX_STATES, Merges, Transducer, gather
 
 SPACE = "▁"
-MAX_CACHED = 150_000
-MAX_PAIRS = 200_000
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 21
 _CHUNK = re.compile(" +[^ ]*")
+_CUT = re.compile("(?<! ) ")
 
 
 def read_model(path: str) -> dict[str, float]:
@@ -47,149 +47,145 @@ def read_model(path: str) -> dict[str, float]:
     if train.model_type != 2 or not train.byte_fallback or norm.precompiled_charsmap or not norm.add_dummy_prefix or norm.remove_extra_whitespaces or train.treat_whitespace_as_suffix:
         raise ValueError("a BPE model with byte fallback, dummy prefix and identity normalisation is needed")
     pieces = {p.piece: p.score for p in m.pieces if p.type == 1}
-    if any(p.type in (4, 5) for p in m.pieces) or any(SPACE in p.lstrip(SPACE) for p in pieces):
+    if any(p.type in (4, 5) for p in m.pieces) or any(SPACE in p.lstrip(SPACE) or p.startswith(2 * SPACE) and p.strip(SPACE) for p in pieces):
         raise ValueError("user-defined pieces, or pieces across words, aren't supported")
+    scores = [s for p, s in pieces.items() if len(p) > 1 and p.strip(SPACE)]
+    if len(set(scores)) < len(scores):
+        raise ValueError("pieces of equal score aren't supported")
     return pieces
 
 
-def merge(pieces: dict[str, float], text: str, above: float = float("-inf")) -> list[str]:
-    """The plain definition: merge the adjacent pair of highest score, over above, leftmost first."""
-    parts: list[str | None] = list(text)
-    nxt, prv = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
-    heap: list[tuple[float, int, str]] = []
-
-    def offer(i: int) -> None:
-        j = nxt[i]
-        if i >= 0 and j < len(parts) and (score := pieces.get(parts[i] + parts[j])) is not None and score > above:
-            heapq.heappush(heap, (-score, i, parts[i] + parts[j]))
-
-    for i in range(len(parts) - 1):
-        offer(i)
-    while heap:
-        _, i, made = heapq.heappop(heap)
-        if parts[i] is None or (j := nxt[i]) >= len(parts) or parts[i] + parts[j] != made:
-            continue
-        parts[i], parts[j] = made, None
-        nxt[i] = nxt[j]
-        if nxt[i] < len(parts):
-            prv[nxt[i]] = i
-        if prv[i] >= 0:
-            offer(prv[i])
-        offer(i)
-    return [p for p in parts if p is not None]
-
-
 class PrefixCounter:
-    def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
-        self.lengths = lengths_by_end(pieces)
-        self.longest_run = max((len(p) for p in pieces if not p.strip(SPACE)), default=1)
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.splits: dict[str, tuple[str, str] | None] = {}
-        self.words = Recent(MAX_CACHED)
-        self.before, self.count, self.last = "", [0], [""]
+    def __init__(self, pieces: dict[str, float], max_states: int = MAX_STATES):
+        symbols = sorted({c for p in pieces for c in p})
+        self.symbol = np.zeros(0x110000, np.int32)  # of each character; 0: none, raw bytes stand for it and never merge
+        self.symbol[[ord(c) for c in symbols]] = np.arange(1, len(symbols) + 1)
+        number = dict(zip(symbols, range(1, len(symbols) + 1)))
+        single = [c for c in symbols if c in pieces]
+        several = sorted((p for p in pieces if len(p) > 1 and not p.startswith(2 * SPACE)), key=lambda p: -pieces[p])
+        self.symbol[[ord(c) for c in symbols if c not in pieces]] = 0
+        self.fst = Transducer(Merges([tuple(number[c] for c in p) for p in (*single, *several)], len(symbols) + 1), max_states)
+        self.mark = single.index(SPACE)
+        # entries of marks alone: of equal score, so that blocks fill up from the left, in pairs
+        self.blanks = {len(p) for p in pieces if not p.strip(SPACE)}
         self.runs: dict[int, int] = {}
 
-    def split(self, t: str) -> tuple[str, str] | None:
-        """The two parts whose merge makes t; None for a character or an entry that merging never makes."""
-        if t not in self.splits:
-            parts = merge(self.pieces, t, self.pieces[t])
-            self.splits[t] = (parts[0], parts[1]) if len(parts) == 2 else None
-        return self.splits[t]
-
-    def may_follow(self, a: str, b: str) -> bool:
-        """Takes the merges within a and b back, latest first, and looks for one across the border that came earlier."""
-        key = (a, b)
-        ok = self.follows.get(key)
-        if ok is not None:
-            return ok
-        pieces = self.pieces
-        ok, bound = len(b) == 1 or self.split(b) is not None, float("-inf")
-        while ok and a:
-            across = pieces.get(a + b)
-            if across is not None and across > bound:
-                ok = False
-                break
-            left, right = len(a) > 1 and self.split(a), len(b) > 1 and self.split(b)
-            if not left and not right:
-                break
-            if not right or left and pieces[a] < pieces[b]:
-                bound, a = pieces[a], left[1]
-            else:  # scores of pieces without a second space mark differ, so that a tie is one piece on both sides
-                bound, b = np.nextafter(pieces[b], float("-inf")), right[0]
-        if len(self.follows) >= MAX_PAIRS:
-            self.follows.clear()
-        self.follows[key] = ok
-        return ok
-
-    def counts(self, word: str) -> tuple[list[int], list[str]]:
-        """Of each prefix of a word with one leading space mark: its count and its last token; "" stands for raw bytes, which never merge.
-
-        What the word shares with the one before is kept, so sorted words are quick.
-        """
-        pieces, follows, lengths, before = self.pieces, self.follows, self.lengths, self.before
-        count, last = self.count, self.last
-        k = min(len(before), len(word))
-        while before[:k] != word[:k]:
-            k -= 1
-        del count[k + 1 :], last[k + 1 :]
-        self.before = word
-        for i in range(k + 1, len(word) + 1):
-            for n in lengths.get(word[i - 4 : i]) or lengths.get(word[i - 3 : i]) or lengths.get(word[i - 2 : i], (1,)) if i > 3 else range(i, 0, -1):
-                if n > i or (t := word[i - n : i]) not in pieces:
-                    continue
-                pair = (last[i - n], t)
-                ok = follows.get(pair)
-                if ok or ok is None and self.may_follow(*pair):
-                    count.append(count[i - n] + 1)
-                    last.append(t)
-                    break
-            else:
-                count.append(count[i - 1] + len(word[i - 1].encode("utf-8")))
-                last.append("")
-        return count, last
-
     def run(self, n: int) -> int:
-        """Tokens of n space marks: blocks of the longest entry fill up from the left, one after the other."""
-        blocks = max(0, n // self.longest_run - 2)
-        rest = n - blocks * self.longest_run
+        """Tokens of n space marks, by the plain definition on what the longest entries leave over."""
+        longest = max(self.blanks)
+        blocks = max(0, n // longest - 2)
+        rest = n - blocks * longest
         if rest not in self.runs:
-            self.runs[rest] = len(merge(self.pieces, SPACE * rest)) if rest else 0
+            parts = [1] * rest
+            while (at := next((i for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in self.blanks), None)) is not None:
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            self.runs[rest] = len(parts)
         return blocks + self.runs[rest]
 
-    def steps(self, chunk: str) -> bytes:
-        """The steps of a chunk: space marks, then characters that are none."""
-        marks = len(chunk) - len(chunk.lstrip(SPACE))
-        count, last = self.counts(chunk[marks - 1 :])
-        if marks > 1:
-            bare = [False]  # whether the mark stands alone in a prefix
-            for k in range(1, len(count)):
-                n = len(last[k]) or 1
-                bare.append(last[k] == SPACE if n == k else bare[k - n])
-            count = [self.run(k) for k in range(marks)] + [self.run(marks) - 1 + count[k] if bare[k] else self.run(marks - 1) + count[k] for k in range(1, len(count))]
-        return array("b", map(sub, count[1:], count)).tobytes()
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The steps of whole texts; entry 0 stands for the dummy prefix with the first character."""
-        split: list[list[str]] = []
-        plain: set[str] = set()
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of words with one leading mark each: every character's step and the last token of the prefix that it ends (-1: raw bytes), and the words' sizes."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        symbols = self.symbol[points]
+        begins = np.zeros(len(symbols) + 1, bool)
+        begins[np.cumsum(sizes) - sizes] = True
+        begins[1:] |= np.append(symbols == 0, True)[: len(symbols)]
+        known = np.flatnonzero(symbols)
+        starts = np.flatnonzero(begins[known])
+        pieces = np.diff(np.append(starts, len(known)))
+        steps, last = np.empty(len(symbols), np.int8), np.full(len(symbols), -1, np.int32)
+        if len(known):
+            moves = self.fst.run(symbols[known], pieces)
+            inside = np.ones(len(moves), bool)
+            inside[np.cumsum(pieces + 1) - 1] = False
+            steps[known], last[known] = self.fst.step[moves[inside]], self.fst.last[moves[inside]]
+        raw = np.flatnonzero(symbols == 0)
+        steps[raw] = 1 + (points[raw] >= 0x80) + (points[raw] >= 0x800) + (points[raw] >= 0x10000)
+        return steps, last, sizes
+
+    def after(self, marks: int, steps: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Steps of several marks and a word, from those of one mark and the word."""
+        count = np.cumsum(steps, dtype=np.int64).tolist()
+        bare = [False]  # whether the mark stands alone in a prefix
+        for k, t in enumerate(last.tolist(), 1):
+            n = int(self.fst.merges.length[t]) if t >= 0 else 1
+            bare.append(t == self.mark if n == k else bare[k - n])
+        counts = [self.run(k) for k in range(marks)] + [self.run(marks) - 1 + c if bare[k] else self.run(marks - 1) + c for k, c in enumerate(count, 1)]
+        return np.diff(counts).astype(np.int8)
+
+    def keys(self, text: str) -> list[str]:
+        """The words of a text, each with all but one of the spaces before it; the dummy prefix is one."""
+        text = text.replace(SPACE, " ")
+        if "  " in text or text[:1] == " ":
+            return [c[1:] for c in _CHUNK.findall(" " + text)]
+        return text.split(" ") if text else []
+
+    def cut(self, text: str) -> list[list[str]]:
+        """The keys of a long text, some at a time."""
+        text, out, a = text.replace(SPACE, " "), [], 0
+        while at := _CUT.search(text, a + BLOCK_CHARS):
+            out.append(self.keys(text[a : at.start()]))
+            a = at.end()
+        return [*out, self.keys(text[a:]) or [""]]
+
+    def block(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of steps, and where those of each word are in it."""
+        number = dict.fromkeys(keys)
+        words = [SPACE + w.lstrip(" ") for w in number]
+        pool, last, size = self.words(words)
+        start = np.cumsum(size) - size
+        more, n = [pool], len(pool)
+        for i, w in enumerate(number):
+            if w[:1] == " ":
+                own = slice(int(start[i]), int(start[i] + size[i]))
+                steps = self.after(len(w) - len(words[i]) + 2, pool[own], last[own])
+                more.append(steps)
+                start[i], size[i] = n, len(steps)
+                n += len(steps)
+        for i, w in enumerate(number):
+            number[w] = i
+        which = np.fromiter(map(number.__getitem__, keys), np.int64, len(keys))
+        return np.concatenate(more), start[which], size[which]
+
+    def texts(self, texts: list[str]) -> Iterator[tuple[int, Steps]]:
+        """Of each text its tokens and a function that gives the steps."""
+        keys: list[str] = []
+        ends = []
         for t in texts:
-            t = t.replace(SPACE, " ")
-            if t and ("  " in t or t[0] == " "):
-                split.append([w.replace(" ", SPACE) for w in _CHUNK.findall(" " + t)])
+            keys += self.keys(t) if len(t) <= 2 * BLOCK_CHARS else []
+            ends.append(len(keys))
+        pool, start, size = self.block(keys)
+        total = np.concatenate(([0], np.cumsum(pool, dtype=np.int64)))
+        count = np.concatenate(([0], np.cumsum(total[start + size] - total[start])))
+        a = 0
+        for t, b in zip(texts, ends, strict=True):
+            if len(t) > 2 * BLOCK_CHARS:
+                steps = Steps(np.concatenate([gather(*self.block(k)) for k in self.cut(t)]))
+                yield steps.n, steps
             else:
-                split.append([SPACE + w for w in t.split(" ")] if t else [])
-            plain.update(split[-1])
-        for w in sorted(self.words.missing(plain)):
-            self.words[w] = self.steps(w)
-        at, out = self.words.__getitem__, []
-        for words in split:
-            steps = b"".join(map(at, words))
-            out.append(np.frombuffer(steps[:2], np.int8).sum(dtype=np.int8).tobytes() + steps[2:] if len(steps) > 1 else b"")
-        return out
+                yield int(count[b] - count[a]), Steps(pool, start[a:b], size[a:b])
+            a = b
 
     def text(self, text: str) -> bytes:
-        return self.texts([text])[0]
+        return next(self.texts([text]))[1].bytes()
+
+
+class Steps:
+    """The steps of one text: put together when they are asked for. Entry 0 stands for the dummy prefix with the first character."""
+
+    def __init__(self, pool: np.ndarray, start: np.ndarray | None = None, size: np.ndarray | None = None):
+        self.pool, self.start, self.size = pool, start, size
+
+    @property
+    def n(self) -> int:
+        return int(self.array().sum(dtype=np.int64))
+
+    def array(self) -> np.ndarray:
+        steps = self.pool if self.start is None else gather(self.pool, self.start, self.size)
+        return np.concatenate((steps[:2].sum(dtype=np.int8, keepdims=True), steps[2:])) if len(steps) > 1 else steps[:0]
+
+    def bytes(self) -> bytes:
+        return self.array().tobytes()
 
 
 def count_at(steps: bytes, n_chars: int) -> int:
@@ -232,12 +228,11 @@ def count(docs: DataFrame, model_path: str, limit: int, text_col: str = "text",
             n_bytes += sizes
             for a, b in slices(sizes, BLOCK_CHARS):
                 texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
-                for t, steps in zip(texts, c.texts(texts), strict=True):
-                    n = count_at(steps, len(t))
+                for t, (n, steps) in zip(texts, c.texts(texts), strict=True):
                     n_tokens.append(n)
-                    within.append(len(t) if n <= limit else longest_prefix(steps, limit))
+                    within.append(len(t) if n <= limit else longest_prefix(steps.bytes(), limit))
                     if keep_steps:
-                        all_steps.append(steps)
+                        all_steps.append(steps.bytes())
             cols = [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_()), pa.array(within, pa.int64())]
             names = [id_col, "n_bytes", "n_tokens", "over_limit", "longest_within"]
             if keep_steps:
