@@ -1,32 +1,22 @@
 """Byte-level BPE encoding and decoding.
 
-Encoding compiles the merges into a finite-state transducer over bytes. A
-state is what the rest of the text can still depend on: the last token that is
-settled, and, for every position at which a token that is still open may have
-begun, the trie node of the bytes since and the tokens between. Reading a byte
-moves all open positions one step; tokens that every open position agrees on
-are emitted, so no token waits longer than the longest vocabulary entry. States
-and transitions come into being when a text first needs them. Once there are
-max_states of them, a piece that leaves the table is run undetermined: the last
-token of each of its prefixes in turn, then back from the end. Short pieces are
-run so side by side in arrays, one position of all of them after the other;
-longer ones in sorted order, so that a prefix shared with the piece before isn't
-run again.
-
-A token may follow another only if merging the bytes of both by rank gives
-just these two; this settles which open position a new token continues.
+Encoding compiles the merges into a finite-state transducer over bytes
+(transducer.py), whose states and transitions come into being when a text first
+needs them and whose cold states leave. Every match of the pattern is one piece;
+the different pieces of a block of texts are run through the table side by side,
+and each occurrence takes its piece's tokens.
 
 Decoding joins the tokens' bytes and runs them through an incremental UTF-8
-state machine that holds back an unfinished sequence at a chunk's end.
+state machine that holds back an unfinished sequence at a chunk's end; a chunk's
+bytes take their step all at once, in arrays.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,28 +25,24 @@ import regex
 from pyspark.sql import DataFrame
 
 from pulse.llm.common import claim, slices
+from pulse.llm.transducer import MAX_STATES, Merges, Transducer, gather
 
-MAX_STATES = 20_000
-MAX_PAIRS = 200_000
-MAX_CACHED = 100_000
-BLOCK_CHARS = 1 << 20
-SIDE_BY_SIDE = 48  # longest piece, in bytes, that is run in arrays
-PAIR_BITS = 20
-ID_BITS = 24
+BLOCK_CHARS = 1 << 21
+BLOCK_PIECES = 1 << 19  # of a text longer than a block
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
 
 
-def merge_by_rank(ranks: dict[bytes, int], piece: bytes, below: int = 1 << 62) -> list[bytes]:
-    """The plain definition: merge the adjacent pair of lowest rank, leftmost first, until none of a rank under below is left."""
+def merge_by_rank(ranks: dict[bytes, int], piece: bytes) -> list[bytes]:
+    """The plain definition: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     while len(parts) > 1:
         best, at = None, -1
         for i in range(len(parts) - 1):
             r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and r < below and (best is None or r < best):
+            if r is not None and (best is None or r < best):
                 best, at = r, i
         if best is None:
             break
@@ -64,360 +50,67 @@ def merge_by_rank(ranks: dict[bytes, int], piece: bytes, below: int = 1 << 62) -
     return parts
 
 
-def lengths_by_end(vocabulary) -> dict:
-    """Of endings of two to four symbols that entries have: the lengths of the entries that a text with this ending may end in, longest first."""
-    ends: dict = {}
-    for v in vocabulary:
-        for k in (2, 3, 4):
-            if len(v) >= k:
-                ends.setdefault(v[-k:], set()).add(len(v))
-    for e, n in ends.items():
-        n.add(1)
-        n.update(k for k in (2, 3) if k < len(e) and e[-k:] in vocabulary)
-    return {e: tuple(sorted(n, reverse=True)) for e, n in ends.items()}
-
-
-class Transducer:
-    """bytes -> token ids. Lazily built; not thread-safe."""
-
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
-        self.ranks, self.max_states = ranks, max_states
-        self.bytes_of = {i: b for b, i in ranks.items()}
-        self.child: dict[int, int] = {}
-        self.token: list[int] = [-1]
-        self.inner: list[bool] = [False]
-        for b, i in ranks.items():
-            node = 0
-            for x in b:
-                self.inner[node] = True
-                key = node << 8 | x
-                nxt = self.child.get(key)
-                if nxt is None:
-                    nxt = self.child[key] = len(self.token)
-                    self.token.append(-1)
-                    self.inner.append(False)
-                node = nxt
-            self.token[node] = i
-        self.ends = lengths_by_end(ranks)
-        self.follows: dict[tuple[int, int], bool] = {}
-        self.splits: dict[int, tuple[int, int] | None] = {}
-        self.ids: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.start = self.state((-1, ((0, ()),)))
-
-    def state(self, key: tuple) -> int:
-        n = self.ids.get(key)
-        if n is None:
-            n = self.ids[key] = len(self.states)
-            self.states.append(key)
-        return n
-
-    def split(self, t: int) -> tuple[int, int] | None:
-        """The two tokens whose merge makes t; None for a single byte or an entry that merging never makes."""
-        if t not in self.splits:
-            parts = merge_by_rank(self.ranks, self.bytes_of[t], t)
-            self.splits[t] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 and t == self.ranks[parts[0] + parts[1]] else None
-        return self.splits[t]
-
-    def alone(self, t: int) -> bool:
-        return len(self.bytes_of[t]) == 1 or self.split(t) is not None
-
-    def may_follow(self, a: int, b: int) -> bool:
-        """Takes the merges within a and b back, latest first, and looks for one across the border that came earlier."""
-        key = (a, b)
-        ok = self.follows.get(key)
-        if ok is not None:
-            return ok
-        ok, bound = self.alone(b), 1 << 62
-        while ok and a >= 0:
-            across = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
-            if across is not None and across < bound:
-                ok = False
-                break
-            left, right = self.split(a), self.split(b)
-            if left is None and right is None:
-                break
-            if right is None or left is not None and a > b:
-                bound, a = a, left[1]
-            else:  # of equal ranks the merge further left, across the border, comes first
-                bound, b = b + 1, right[0]
-        if len(self.follows) >= MAX_PAIRS:
-            self.follows.clear()
-        self.follows[key] = ok
-        return ok
-
-    def move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        last, open_ = self.states[at]
-        found, new = None, []
-        for node, tail in open_:
-            nxt = self.child.get(node << 8 | byte)
-            if nxt is None:
-                continue
-            if self.inner[nxt]:
-                new.append((nxt, tail))
-            t = self.token[nxt]
-            if found is None and t >= 0 and self.may_follow(tail[-1] if tail else last, t):
-                found = tail + (t,)
-        if found is None:
-            raise ValueError("the ranks lack a single byte")
-        new.append((0, found))
-        n = min(len(tail) for _, tail in new)
-        same = 0
-        while same < n and all(tail[same] == found[same] for _, tail in new):
-            same += 1
-        out = found[:same]
-        return self.state((out[-1] if out else last, tuple((k, tail[same:]) for k, tail in new))), out
-
-    def determined(self, piece: bytes) -> list[int] | None:
-        """By the table; None where it ends."""
-        at, out, moves = self.start, [], self.moves
-        for byte in piece:
-            key = at << 8 | byte
-            step = moves.get(key)
-            if step is None:
-                if len(self.states) >= self.max_states:
-                    return None
-                step = moves[key] = self.move(at, byte)
-            at = step[0]
-            if step[1]:
-                out += step[1]
-        for node, tail in self.states[at][1]:
-            if node == 0:
-                out += tail
-        return out
-
-    def encode_sorted(self, pieces: Iterable[bytes]) -> Iterator[list[int]]:
-        get, ends, follows = self.ranks.get, self.ends, self.follows
-        last, back, before = [-1], [0], b""
-        for piece in pieces:
-            if (whole := get(piece)) is not None:
-                yield [whole]
-                continue
-            if (out := self.determined(piece)) is not None:
-                yield out
-                continue
-            k = min(len(before), len(piece))
-            while before[:k] != piece[:k]:
-                k -= 1
-            del last[k + 1 :], back[k + 1 :]
-            before = piece
-            for i in range(k + 1, len(piece) + 1):
-                for n in ends.get(piece[i - 4 : i]) or ends.get(piece[i - 3 : i]) or ends.get(piece[i - 2 : i], (1,)) if i > 3 else range(i, 0, -1):
-                    if n > i or (t := get(piece[i - n : i])) is None:
-                        continue
-                    pair = (last[i - n], t)
-                    ok = follows.get(pair)
-                    if ok or ok is None and self.may_follow(*pair):
-                        last.append(t)
-                        back.append(n)
-                        break
-                else:
-                    raise ValueError("the ranks lack a single byte")
-            out, i = [], len(piece)
-            while i:
-                out.append(last[i])
-                i -= back[i]
-            out.reverse()
-            yield out
-
-    def encode(self, piece: bytes) -> list[int]:
-        return next(self.encode_sorted([piece]))
-
-
-class Edges:
-    """(node << 8 | byte) -> node over arrays; 0 where there is no edge."""
-
-    def __init__(self, edges: dict[int, int]):
-        keys, values = np.fromiter(edges, np.int64, len(edges)), np.fromiter(edges.values(), np.int32, len(edges))
-        self.bits = max(8, (4 * len(keys)).bit_length())
-        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
-        slot, todo = self.slot(keys), np.arange(len(keys))
-        while len(todo):
-            at = slot[todo]
-            first = np.zeros(len(todo), bool)
-            first[np.unique(at, return_index=True)[1]] = True
-            put = first & (self.keys[at] < 0)
-            self.keys[at[put]], self.values[at[put]] = keys[todo[put]], values[todo[put]]
-            todo = todo[~put]
-            slot[todo] = self.next(slot[todo])
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def next(self, slot: np.ndarray) -> np.ndarray:
-        return slot + 1 & (1 << self.bits) - 1
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        slot = self.slot(keys)
-        found = self.keys[slot]
-        out = np.where(found == keys, self.values[slot], 0)
-        open_ = np.flatnonzero((found != keys) & (found >= 0))
-        slot = slot[open_]
-        while len(open_):
-            slot = self.next(slot)
-            found = self.keys[slot]
-            hit = found == keys[open_]
-            out[open_[hit]] = self.values[slot[hit]]
-            more = ~hit & (found >= 0)
-            open_, slot = open_[more], slot[more]
-        return out
-
-
-class SideBySide:
-    """The transducer's rules without its table, for many short pieces at once."""
-
-    def __init__(self, fst: Transducer):
-        self.fst = fst
-        edges: dict[int, int] = {}
-        token = [-1]
-        for b, i in fst.ranks.items():  # entries from their ends backwards
-            node = 0
-            for x in reversed(b):
-                nxt = edges.get(node << 8 | x)
-                if nxt is None:
-                    nxt = edges[node << 8 | x] = len(token)
-                    token.append(-1)
-                node = nxt
-            token[node] = i
-        self.edges, self.token = Edges(edges), np.array(token, np.int32)
-        self.pairs, self.allowed = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
-
-    def may_follow(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        pair = (a.astype(np.int64) + 1) << ID_BITS | b
-        slot = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-        out, miss = self.allowed[slot], np.flatnonzero(self.pairs[slot] != pair)
-        if len(miss):
-            new, back = np.unique(pair[miss], return_inverse=True)
-            ok = np.array([self.fst.may_follow((k >> ID_BITS) - 1, k & (1 << ID_BITS) - 1) for k in new.tolist()])[back]
-            out[miss] = ok
-            slot, at = np.unique(slot[miss], return_index=True)
-            self.pairs[slot], self.allowed[slot] = pair[miss[at]], ok[at]
-        return out
-
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        order = np.argsort(-size, kind="stable")
-        size = size[order]
-        width = int(size[0])
-        flat = b"".join([pieces[i].ljust(width, b"\0") for i in order.tolist()])
-        raw = np.frombuffer(flat, np.uint8).reshape(len(pieces), width)
-        last, back = np.full((len(pieces), width + 1), -1, np.int32), np.zeros((len(pieces), width + 1), np.uint8)
-        for i in range(1, width + 1):
-            who = np.arange(int(np.searchsorted(-size, -i, side="right")))
-            todo, node, ending = np.ones(len(who), bool), np.zeros(len(who), np.int64), []
-            for n in range(1, i + 1):  # the entries that the text ends in here, shortest first
-                node = self.edges.get(node << 8 | raw[who, i - n])
-                alive = node > 0
-                who, node = who[alive], node[alive].astype(np.int64)
-                if not len(who):
-                    break
-                t = self.token[node]
-                ending.append((n, who[t >= 0], t[t >= 0]))
-            for n, who, t in reversed(ending):
-                open_ = todo[who]
-                who, t = who[open_], t[open_]
-                ok = self.may_follow(last[who, i - n], t)
-                who = who[ok]
-                last[who, i], back[who, i], todo[who] = t[ok], n, False
-            if todo.any():
-                raise ValueError("the ranks lack a single byte")
-        who, end = np.arange(len(pieces)), size
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(who):
-            found.append((order[who], end, last[who, end]))
-            end = end - back[who, end]
-            who, end = who[end > 0], end[end > 0]
-        piece, end, ids = (np.concatenate(x) for x in zip(*found, strict=True))
-        ids = ids[np.lexsort((end, piece))].tolist()
-        ends = np.cumsum(np.bincount(piece, minlength=len(pieces))).tolist()
-        return [ids[a:b] for a, b in zip([0, *ends], ends)]
-
-
-class Recent(dict):
-    """A dict whose entries leave when they haven't been asked for while ``size`` others came."""
-
-    def __init__(self, size: int):
-        super().__init__()
-        self.size, self.old = size, {}
-
-    def missing(self, keys: Iterable) -> list:
-        """The keys that are in neither half; the others are in the new half afterwards."""
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        out, old = [], self.old
-        for k in keys:
-            if k not in self:
-                if k in old:
-                    self[k] = old[k]
-                else:
-                    out.append(k)
-        return out
-
-
 class Encoder:
-    """Text -> ids: each match of the pattern by itself, with what recurs remembered."""
-
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.fst = Transducer(ranks)
-        self.side = SideBySide(self.fst)
-        self.names = {i: str(i) for i in ranks.values()}
+    """Texts -> ids: each match of the pattern (which has no groups) by itself."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES):
+        entries = sorted(ranks, key=ranks.get)
+        self.ids = np.array([ranks[b] for b in entries], np.int32)
+        self.fst = Transducer(Merges(entries, 256), max_states)
+        whole = np.flatnonzero(~self.fst.merges.alone(np.arange(len(entries))))
+        self.whole = {entries[t]: t for t in whole.tolist()}  # entries that merging never makes: a piece that is one keeps it
         self.pieces = regex.compile(pattern)
-        self.glued = regex.compile(r" \s|\s ")
-        self.cut = regex.compile(r"(?<=\S) (?=\S)")
-        self.known = Recent(MAX_CACHED)
-        self.parts = Recent(MAX_CACHED)
-
-    def words(self, text: str) -> list[str]:
-        """A space between two characters that aren't white space always begins a match, so text may be cut there."""
-        return self.cut.split(text) if self.glued.search(text) else text.split(" ")
-
-    def run(self, pieces: list[str]) -> None:
-        """Adds the ids of pieces that aren't known yet: by the table as far as it goes, else undetermined."""
-        get, determined, parts, name = self.fst.ranks.get, self.fst.determined, self.parts, self.names.__getitem__
-        short, long = [], []
-        for p in pieces:
-            b = p.encode("utf-8")
-            if (whole := get(b)) is not None:
-                parts[p] = array("i", (whole,)).tobytes(), name(whole)
-            elif (ids := determined(b)) is not None:
-                parts[p] = array("i", ids).tobytes(), ",".join(map(name, ids))
-            else:
-                (short if len(b) <= SIDE_BY_SIDE else long).append((b, p))
-        long.sort()
-        for some, ids_of in ((short, self.side.encode), (long, self.fst.encode_sorted)):
-            if some:
-                for (_, p), ids in zip(some, ids_of([b for b, _ in some]), strict=True):
-                    parts[p] = array("i", ids).tobytes(), ",".join(map(name, ids))
-
-    def learn(self, chunks: Iterable[str], known: dict, before: str = "") -> None:
-        """Ids, packed and written out, of chunks that aren't known yet, with ``before`` put before each."""
-        chunks = list(chunks)
-        pieces = [self.pieces.findall(before + c) for c in chunks]
-        self.run(self.parts.missing(set(chain.from_iterable(pieces))))
-        at = self.parts.__getitem__
-        for c, ps in zip(chunks, pieces, strict=True):
-            if len(ps) == 1:
-                known[c] = at(ps[0])
-            else:
-                got = list(map(at, ps))
-                known[c] = b"".join([x[0] for x in got]), ",".join([x[1] for x in got])
-
-    def chunks(self, texts: list[str]) -> list[list[tuple[bytes, str]]]:
-        """For each text the ids of its chunks, packed and written out."""
-        split = [self.words(t) if t else [] for t in texts]
-        first: dict[str, tuple[bytes, str]] = {}
-        self.learn({w[0] for w in split if w}, first)
-        later: set[str] = set()
-        for w in split:
-            later.update(w[1:])
-        self.learn(self.known.missing(later), self.known, " ")
-        at = self.known.__getitem__
-        return [[first[w[0]], *map(at, w[1:])] if w else [] for w in split]
+        width = len(str(int(self.ids.max(initial=0)))) + 1
+        self.names = np.frombuffer(b"".join((b"%d," % i).ljust(width, b"\0") for i in self.ids.tolist()), np.uint8).reshape(-1, width)
+        self.name_size = (self.names > 0).sum(1)
+
+    def tokens(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of pieces, one after the other, and where each piece's end."""
+        number = dict.fromkeys(pieces)
+        raw = [p.encode("utf-8") for p in number]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        found, n = self.fst.tokens(self.fst.run(np.frombuffer(b"".join(raw), np.uint8), sizes))
+        ends = np.cumsum(n)[np.cumsum(sizes + 1) - 1] if raw else np.empty(0, np.int64)
+        starts = np.concatenate(([0], ends))[:-1]
+        size = ends - starts
+        if self.whole and (odd := [(i, t) for i, p in enumerate(raw) if (t := self.whole.get(p)) is not None]):
+            at, tokens = np.array(odd).T
+            starts[at], size[at] = len(found) + np.arange(len(at)), 1
+            found = np.concatenate((found, tokens.astype(np.int32)))
+        for i, p in enumerate(number):
+            number[p] = i
+        which = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        own = size[which]
+        return gather(found, starts[which], own), np.cumsum(own)
+
+    def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of texts, one after the other, and where each text's end."""
+        if len(texts) == 1 and len(texts[0]) > 2 * BLOCK_CHARS:
+            found, parts = (m.group() for m in self.pieces.finditer(texts[0])), []
+            while some := list(islice(found, BLOCK_PIECES)):
+                parts.append(self.tokens(some)[0].astype(np.int32))
+            out = np.concatenate(parts) if parts else np.empty(0, np.int32)
+            return out, np.array([len(out)])
+        pieces: list[str] = []
+        counts = []
+        for t in texts:
+            pieces += self.pieces.findall(t)
+            counts.append(len(pieces))
+        out, ends = self.tokens(pieces)
+        return out, np.concatenate(([0], ends))[np.array(counts, np.int64)]
+
+    def written(self, tokens: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+        """The decimal ids of each text, joined by commas."""
+        size = self.name_size[tokens]
+        flat = self.names[tokens]
+        flat = memoryview(flat[np.arange(flat.shape[1]) < size[:, None]])
+        a = 0
+        for b in np.concatenate(([0], np.cumsum(size)))[ends].tolist():
+            yield flat[a : max(a, b - 1)]
+            a = b
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([c[0] for c in self.chunks([text])[0]]), np.int32).tolist()
+        return self.ids[self.block([text])[0]].tolist()
 
 
 # Fixed values of UTF-8: the first byte's range, how many bytes follow, and the range of the second byte.
@@ -431,49 +124,78 @@ UTF8_FORMS = (
     (0xF1, 0xF3, 3, 0x80, 0xBF),
     (0xF4, 0xF4, 3, 0x80, 0x8F),
 )
+REPLACEMENT = np.frombuffer("\ufffd".encode(), np.uint8)
 
 
 class Utf8Stream:
-    """Bytes in chunks -> text; what can't be UTF-8 becomes U+FFFD, one for each longest valid beginning."""
+    """Bytes in chunks -> text; what can't be UTF-8 becomes U+FFFD, one for each longest valid beginning.
 
-    FIRST = {b: form[2:] for form in UTF8_FORMS for b in range(form[0], form[1] + 1)}
+    The state between chunks is the unfinished sequence that is held back.
+    """
+
+    need, low, high = np.zeros(256, np.int64), np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+    for a, b, *form in UTF8_FORMS:
+        for kind, value in zip((need, low, high), form, strict=True):
+            kind[a : b + 1] = value
 
     def __init__(self) -> None:
-        self.held = bytearray()
-        self.need, self.low, self.high = 0, 0x80, 0xBF
+        self.held = b""
+
+    @classmethod
+    def scan(cls, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes that begin a sequence that stays unfinished or are in none, how many bytes each of them stands for, and whether a stream's end cut it."""
+        high = np.flatnonzero(raw >= 0x80)
+        if not len(high):
+            return high, high, high.astype(bool)
+        lead = high[cls.need[raw[high]] > 0]
+        first = raw[lead]
+        need = cls.need[first]
+        end = ends[np.searchsorted(ends, lead, side="right")]
+        padded = np.concatenate((raw, np.zeros(3, np.uint8)))
+        good = np.ones(len(lead), np.int64)
+        follows = (lead + 1 < end) & (padded[lead + 1] >= cls.low[first]) & (padded[lead + 1] <= cls.high[first])
+        good += follows
+        for k in (2, 3):
+            follows = follows & (need >= k) & (lead + k < end) & (padded[lead + k] & 0xC0 == 0x80)
+            good += follows
+        short = good <= need
+        cover = np.zeros(len(raw) + 1, np.int8)
+        np.add.at(cover, lead, 1)
+        np.add.at(cover, lead + good, -1)
+        stray = high[np.cumsum(cover, dtype=np.int8)[high] == 0]
+        at = np.concatenate((lead[short], stray))
+        size = np.concatenate((good[short], np.ones(len(stray), np.int64)))
+        cut = np.concatenate(((lead + good == end)[short], np.zeros(len(stray), bool)))
+        order = np.argsort(at)
+        return at[order], size[order], cut[order]
+
+    @classmethod
+    def replaced(cls, raw: np.ndarray, at: np.ndarray, size: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes with U+FFFD for those at ``at``, and where streams end in them."""
+        if not len(at):
+            return raw, ends
+        n = np.ones(len(raw), np.int64)
+        n[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = 0
+        n[at] = 3
+        total = np.cumsum(n)
+        out = np.repeat(raw, n)
+        for k in range(3):
+            out[total[at] - 3 + k] = REPLACEMENT[k]
+        return out, np.concatenate(([0], total))[ends]
 
     def feed(self, data: bytes) -> str:
-        if not self.held:
-            try:
-                return data.decode("utf-8")  # a chunk that begins and ends between characters
-            except UnicodeDecodeError:
-                pass
-        out = []
-        for b in data:
-            if self.need:
-                if self.low <= b <= self.high:
-                    self.held.append(b)
-                    self.need, self.low, self.high = self.need - 1, 0x80, 0xBF
-                    if not self.need:
-                        out.append(self.held.decode("utf-8"))
-                        self.held.clear()
-                    continue
-                out.append("�")
-                self.held.clear()
-                self.need, self.low, self.high = 0, 0x80, 0xBF
-            if b < 0x80:
-                out.append(chr(b))
-            elif b in self.FIRST:
-                self.need, self.low, self.high = self.FIRST[b]
-                self.held.append(b)
-            else:
-                out.append("�")
-        return "".join(out)
+        raw = np.frombuffer(self.held + data, np.uint8)
+        end = np.array([len(raw)])
+        at, size, cut = self.scan(raw, end)
+        self.held = b""
+        if len(at) and cut[-1]:
+            self.held = raw[at[-1] :].tobytes()
+            raw, at, size, end = raw[: at[-1]], at[:-1], size[:-1], at[-1:]
+        return self.replaced(raw, at, size, end)[0].tobytes().decode("utf-8")
 
     def close(self) -> str:
-        rest = "�" if self.held else ""
-        self.held.clear()
-        self.need, self.low, self.high = 0, 0x80, 0xBF
+        rest = "\ufffd" if self.held else ""
+        self.held = b""
         return rest
 
 
@@ -499,19 +221,28 @@ class Decoder:
                 part = []
         yield machine.feed(b"".join(part)) + machine.close()
 
-    def bytes_of(self, ids: np.ndarray) -> bytes:
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         n = self.length[ids]
         if not n.all():
             raise KeyError("an id that the vocabulary lacks")
-        ends = np.cumsum(n)
-        shift = np.repeat(self.start[ids] - (ends - n), n)
-        return self.pool[shift + np.arange(len(shift))].tobytes()
+        return gather(self.pool, self.start[ids], n)
 
     def decode(self, ids) -> str:
         machine, ids = Utf8Stream(), np.asarray(ids, np.int64)
-        out = [machine.feed(self.bytes_of(ids[i : i + self.CHUNK])) for i in range(0, len(ids), self.CHUNK)]
+        out = [machine.feed(self.bytes_of(ids[i : i + self.CHUNK]).tobytes()) for i in range(0, len(ids), self.CHUNK)]
         return "".join([*out, machine.close()])
 
+    def block(self, ids: np.ndarray, ends: np.ndarray) -> Iterator[memoryview]:
+        """The UTF-8 bytes of the texts of ids that end at ``ends``: one stream each, all run at once."""
+        raw = self.bytes_of(ids)
+        ends = np.concatenate(([0], np.cumsum(self.length[ids])))[ends]
+        at, size, _ = Utf8Stream.scan(raw, ends)
+        raw, ends = Utf8Stream.replaced(raw, at, size, ends)
+        flat, a = memoryview(raw), 0
+        for b in ends.tolist():
+            yield flat[a:b]
+            a = b
+
 
 _built: dict[tuple[int, str], tuple[Encoder, Decoder]] = {}
 
@@ -549,14 +280,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             n, ids_sha, text_sha, all_ids = [], [], [], []
             sizes = [k or 0 for k in pa.compute.binary_length(batch.column(1)).to_pylist()]
             for a, b in slices(sizes, BLOCK_CHARS):
-                for got in enc.chunks([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]):
-                    ids = np.frombuffer(b"".join([c[0] for c in got]), np.int32)
-                    n.append(len(ids))
-                    ids_sha.append(sha(",".join([c[1] for c in got if c[1]]).encode()).hexdigest())  # the chunk before a leading space has no ids
-                    text_sha.append(sha(dec.decode(ids).encode("utf-8")).hexdigest())
-                    if keep_ids:
-                        all_ids.append(ids)
-            cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                tokens, ends = enc.block([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])
+                ids = enc.ids[tokens]
+                n.append(np.diff(ends, prepend=0))
+                ids_sha += [sha(x).hexdigest() for x in enc.written(tokens, ends)]
+                text_sha += [sha(x).hexdigest() for x in dec.block(ids, ends)]
+                if keep_ids:
+                    all_ids += np.split(ids, ends[:-1])
+            cols = [batch.column(0), pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
                 cols.append(pa.array(all_ids, pa.list_(pa.int32())))
