@@ -8,17 +8,23 @@ order here is by a table of shingle counts of fixed size (rare first), so
 passages that many documents share open few tiles. No link is lost whatever
 the counts are.
 
-In a tile all sets are first checked against one hub, which settles groups of
-near copies in as many checks as they have members; then pairs of a tile that
-are still in different components are checked. A check compares hashed bitmap
-signatures: bits of one that the other lacks are elements that it lacks, which
-bounds the overlap from above; pairs that pass intersect their sorted arrays.
+In a tile all sets are first checked against one hub, the set that holds the
+fewest rarer shingles, so of near copies one with few edits, to which the others
+are closest. What the hub doesn't settle goes in rounds. In a tile of which few
+sets are outside its largest component, all pairs of different components are
+checked; in a wider one each set is only checked against a few others, drawn
+anew in each round, and components are formed before the next. When a round
+brings no link, all pairs that are left are checked, so none is lost. A check
+compares hashed bitmap signatures: bits of one that the other lacks are elements
+that it lacks, which bounds the overlap from above; pairs that pass intersect
+their sorted arrays.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,8 @@ FILTER_BITS = 20
 BLOCK = 1 << 20
 #: A set with over a 64th of all pairs is hot: there are 64 at most.
 HOT_SETS = 64
+NARROW = 8  # sets of a tile outside its largest component, up to which all pairs are checked at once
+DRAWN = 4  # others that a set of a wider tile is checked against in a round
 
 _rng = np.random.default_rng(7)
 _byte = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -285,6 +293,50 @@ def check(text: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> D
     return stored(attach(attach(left, sets, "b", ["items"]), sets, "a", ["items"]).mapInArrow(exact, "a bigint, b bigint"))
 
 
+def across(percent: int, turn: int, last: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a tile that no links join yet; of wide tiles, unless it is the last turn, some of them, and the tile's shingle."""
+    share = np.log(100 / percent) / 2
+    for (h, size, sid, place, comp), starts in whole_groups(batches):
+        n = np.diff(np.append(starts, len(h)))
+        size, place = size.astype(np.int64), place.astype(np.int64)
+        left_over = size - place  # this shingle and those after it
+        drawn = mix(sid.view(np.uint64) ^ mix(h.view(np.uint64) + np.uint64(turn)))
+        left, right, wide = [], [], []
+
+        def meet(i, j):
+            """Keeps the pairs of rows i and j that can be similar enough: the first shingle that two sets share leaves room for the overlap they need."""
+            low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            needed = -(-percent * (size[i] + size[j]) // (100 + percent))
+            ok = (comp[i] != comp[j]) & (high <= low * 100 // percent) & (np.minimum(left_over[i], left_over[j]) >= needed)
+            x, y = np.broadcast_to(sid[i], ok.shape)[ok], sid[j][ok]
+            left.append(np.minimum(x, y))
+            right.append(np.maximum(x, y))
+
+        for g in np.unique(np.repeat(np.arange(len(n)), n)[comp != np.repeat(comp[starts], n)]):
+            a, end = int(starts[g]), int(starts[g] + n[g])
+            outside = end - a - int(np.unique(comp[a:end], return_counts=True)[1].max())
+            if not last and outside > NARROW:
+                wide.append(h[a])
+                order = a + np.lexsort((drawn[a:end], np.log(size[a:end]) // share))
+                for d in range(1, DRAWN + 1):
+                    meet(order[:-d], order[d:])
+                continue
+            for i in range(a, end - 1):
+                meet(i, np.arange(i + 1, i + int(np.searchsorted(size[i:end], size[i] * 100 // percent, side="right"))))
+                if i % 1000 == 999:  # a wide tile hands its pairs on piece by piece
+                    yield pairs_of(left, right, wide)
+        yield pairs_of(left, right, wide)
+
+
+def pairs_of(left: list, right: list, wide: list) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)], 1), axis=0)
+    a, b, w = (pa.array(x, pa.int64()) for x in (both[:, 0].copy(), both[:, 1].copy(), np.array(wide, np.int64)))
+    more, none = len(w), pa.nulls(len(a), pa.int64())
+    for x in (left, right, wide):
+        x.clear()
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, pa.nulls(more, pa.int64())]) for x in (a, b)] + [pa.concat_arrays([none, w])], ["a", "b", "wide"])
+
+
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """id, n_shingles, component_id for each row of docs, in no order.
 
@@ -331,7 +383,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
     names = ["shingle", "size", "sid", "place", "hub"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of shingles that several sets hold, each with the hub of its tile: the first set that its size is near enough to."""
+        """Rows of shingles that several sets hold, each with the hub of its tile and its band of sizes: the set with the fewest rarer shingles."""
         for (h, size, sid, place), _ in whole_groups(batches):
             new = np.ones(len(h), bool)  # rows are sorted by size and set: a set may come from several tasks
             new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
@@ -339,14 +391,15 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
             starts = starts_of(h)
             n = np.diff(np.append(starts, len(h)))
             many = np.repeat(n > 1, n)
-            hub = np.repeat(sid[starts], n)
             far = size > np.repeat(size[starts], n) * 100 // percent
+            bands = [starts]
             for g in np.unique(np.repeat(np.arange(len(n)), n)[far]):
                 a, end = int(starts[g]), int(starts[g] + n[g])
-                while a < end:
-                    b = a + int(np.searchsorted(size[a:end], size[a] * 100 // percent, side="right"))
-                    hub[a:b] = sid[a]
-                    a = b
+                while (a := a + int(np.searchsorted(size[a:end], size[a] * 100 // percent, side="right"))) < end:
+                    bands.append(np.array([a]))
+            first = np.sort(np.concatenate(bands))
+            central = np.minimum.reduceat(place.astype(np.int64) * len(h) + np.arange(len(h)), first) % len(h)
+            hub = np.repeat(sid[central], np.diff(np.append(first, len(h))))
             if many.any():
                 yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(size[many].astype(np.int32)), pa.array(sid[many]), pa.array(place[many]), pa.array(hub[many])], names)
 
@@ -357,42 +410,19 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
     often = F.col("n") >= 0.1 * (F.col("size") * (100 - percent) / 100)
     star = met.where("sid <> hub").groupBy(F.col("hub").alias("a"), F.col("sid").alias("b"), "size").agg(F.count(F.lit(1)).alias("n")).where(often).select("a", "b")
     links = check(text, star, sigs, percent)
-    first = connected_components(links, "a", "b")
-
-    labelled = met.join(first.withColumnRenamed("node", "sid"), "sid", "left").select("shingle", "size", "sid", "place", F.coalesce("component", "sid").alias("component"))
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of a tile that no links join yet."""
-
-        for (h, size, sid, place, comp), starts in whole_groups(batches):
-            n = np.diff(np.append(starts, len(h)))
-            size, place = size.astype(np.int64), place.astype(np.int64)
-            left_over = size - place  # this shingle and those after it
-            mixed = np.unique(np.repeat(np.arange(len(n)), n)[comp != np.repeat(comp[starts], n)])
-            left, right = [], []
-            for g in mixed:
-                a, end = int(starts[g]), int(starts[g] + n[g])
-                for i in range(a, end - 1):
-                    last = i + int(np.searchsorted(size[i:end], size[i] * 100 // percent, side="right"))
-                    rest = slice(i + 1, last)
-                    # the first shingle that two sets share leaves room for the overlap they need
-                    needed = -(-percent * (size[i] + size[rest]) // (100 + percent))
-                    other = sid[rest][(comp[rest] != comp[i]) & (np.minimum(left_over[i], left_over[rest]) >= needed)]
-                    left.append(np.minimum(other, sid[i]))
-                    right.append(np.maximum(other, sid[i]))
-                    if i % 1000 == 999:  # a wide tile hands its pairs on piece by piece
-                        yield pairs_of(left, right)
-            yield pairs_of(left, right)
-
-    def pairs_of(left, right):
-        both = np.unique(np.stack([np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)], 1), axis=0)
-        left.clear()
-        right.clear()
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
-
-    more = labelled.repartition(parts, "shingle").sortWithinPartitions("shingle", "size", "sid").mapInArrow(across, "a bigint, b bigint")
-    links = links.unionByName(check(text, more.distinct(), sigs, percent))
-    labels = connected_components(links, "a", "b").select(F.col("node").alias("sid"), "component")
+    labels = connected_components(links, "a", "b")
+    rest, turn, last = met.drop("hub"), 0, False
+    while True:
+        labelled = rest.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("shingle", "size", "sid", "place", F.coalesce("component", "sid").alias("component"))
+        tried = stored(labelled.repartition(parts, "shingle").sortWithinPartitions("shingle", "size", "sid").mapInArrow(partial(across, percent, turn, last), "a bigint, b bigint, wide bigint"))
+        found = check(text, tried.where("wide IS NULL").select("a", "b").distinct(), sigs, percent)
+        links = links.unionByName(found)
+        labels = connected_components(links, "a", "b")
+        wide = tried.where("wide IS NOT NULL").select(F.col("wide").alias("shingle"))
+        if wide.isEmpty():
+            break
+        rest, turn, last = stored(rest.join(wide, "shingle", "left_semi")), turn + 1, found.isEmpty()
+    labels = labels.select(F.col("node").alias("sid"), "component")
 
     own = members.where("size > 0").groupBy("sid").agg(F.min("doc").alias("least"))
     own = stored(own.join(labels, "sid", "left").select("sid", "least", F.coalesce("component", "sid").alias("component")))
