@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.llm import bpe, langid, line_dedup, mixing, ngram_join, queries
-from pulse.llm.common import stored
+from pulse.llm.common import lasting, scope
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,8 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scope():  # what a stage writes on its way goes when its result is there
+            docs = lasting(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -19,6 +19,13 @@ def guarded_ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
 
 
+def bernoulli(df: DataFrame, rows: int, idents: list[str], seed: int = 42) -> DataFrame:
+    """Each row with a chance of rows / (rows of df), 1 at most, by a hash of its identifying columns: the same on every run."""
+    total = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("__n"))  # one row
+    draw = F.pmod(F.xxhash64(F.lit(seed), *idents), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    return df.crossJoin(F.broadcast(total)).where(draw < F.lit(float(rows)) / F.col("__n")).drop("__n")
+
+
 def running_totals(df: DataFrame, order: str, values: list[str], descending: bool = False, ranges: int = 256) -> DataFrame:
     """Adds run_<value>, the sum of a value over all rows up to this one in the order of a number that is never null.
 

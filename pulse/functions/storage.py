@@ -2,29 +2,72 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: What undoes the folders and tables made since each open scope began; the last of all are undone when Python ends.
+_scopes: list[list[Callable[[], None]]] = [[]]
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the folder named in spark.checkpoint.dir, or, where that is unset, a temporary one."""
+    """A new folder name below the folder named in spark.checkpoint.dir; where that is unset, below a temporary one, which only a local master can share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "pulse-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/pulse-{uuid.uuid4().hex}"
 
 
+def remove(path: str, spark: SparkSession) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def at_end(undo: Callable[[], None]) -> None:
+    """undo is called when the innermost open scope ends, or Python does."""
+    _scopes[-1].append(undo)
+
+
+def _undo(made: list[Callable[[], None]]) -> None:
+    while made:
+        with contextlib.suppress(Exception):  # a stopped session's folders are the cluster's to remove
+            made.pop()()
+
+
+atexit.register(lambda: [_undo(s) for s in reversed(_scopes)])
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Folders and tables made inside are removed at its end, but for those of lasting()."""
+    _scopes.append(made := [])
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        _undo(made)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: lineage ends there."""
-    path = shared_dir(df.sparkSession)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    at_end(lambda: remove(path, spark))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(path: str, spark: SparkSession) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def lasting(df: DataFrame) -> DataFrame:
+    """As stored(), for a scope's result: it stays until the scope around this one ends."""
+    inner = _scopes.pop() if len(_scopes) > 1 else None
+    try:
+        return stored(df)
+    finally:
+        if inner is not None:
+            _scopes.append(inner)

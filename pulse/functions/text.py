@@ -24,7 +24,8 @@ def clean(text: Column) -> Column:
     # Fixed values of the cleaning rules, in their order.
     rules = (
         (r"(?U)https?://\S+", ""),
-        (r"(?U)/?[ru]/\w+", ""),
+        (r"(?U)/r/\w+", ""),
+        (r"(?U)/u/\w+", ""),
         (r"\[([^\]]+)\]\([^)]+\)", "$1"),
         (r"[*_~`#>]", ""),
         (r"(?U)\s+", " "),

@@ -30,12 +30,16 @@ def sustain_label(wins: DataFrame, hours: DataFrame, min_streak: int = DEFAULTS.
 
 
 def concurrent_channels(wins: DataFrame, hours: DataFrame, early: int = DEFAULTS.early_hours) -> DataFrame:
-    """How many other channels have a mean in the window's first hours over twice the median of those means."""
-    w = wins.select("window_id", "channel", "window_start", F.col("window_start").alias("e"))
-    others = slice_series(w, hours.select("channel", "hour", "post_count"), 0, early * HOUR, "window_start", "e", width=DAY, same_channel=False)
-    means = others.groupBy("window_id", "row_channel").agg(F.avg("post_count").alias("m"))
-    mid = means.groupBy("window_id").agg(F.median("m").alias("mid"))
-    got = means.join(mid, "window_id").groupBy("window_id").agg(F.sum(F.when(F.col("m") > 2 * F.col("mid"), 1).otherwise(0)).alias("concurrent_channels"))
+    """How many other channels have a mean in the window's first hours over twice the median of those means; 0 if the median of the window's own channel is 0.
+
+    Means are taken once for every hour at which windows start, joined by hour.
+    """
+    starts = wins.select("window_start").distinct().withColumn("hour", F.explode(F.sequence("window_start", F.col("window_start") + early * HOUR, F.lit(HOUR).cast("long"))))
+    means = starts.join(hours.select("hour", F.col("channel").alias("other"), "post_count"), "hour").groupBy("window_start", "other").agg(F.avg("post_count").alias("m"))
+    own = wins.select("window_id", "channel", "window_start").join(baselines(hours).where("median_count > 0").select("channel"), "channel", "left_semi")
+    others = own.join(means, "window_start").where("channel <> other")
+    mid = others.groupBy("window_id").agg(F.median("m").alias("mid"))
+    got = others.join(mid, "window_id").groupBy("window_id").agg(F.sum(F.when(F.col("m") > 2 * F.col("mid"), 1).otherwise(0)).alias("concurrent_channels"))
     return wins.select("window_id").join(got, "window_id", "left").select("window_id", F.coalesce("concurrent_channels", F.lit(0)).alias("concurrent_channels"))
 
 
@@ -67,7 +71,7 @@ def precursor_series(events: DataFrame, hours: DataFrame, window: int = DEFAULTS
     return rows.withColumn("i", (F.row_number().over(by) - 1).cast("long")).withColumn("last12", F.col("hour") >= F.col("e") + 1 - 12 * HOUR)
 
 
-def gini_of(rows: DataFrame, key: str = "event_id", value: str = "post_count") -> DataFrame:
+def gini_of(rows: DataFrame, key: str = "event_id", value: str = "unique_authors") -> DataFrame:
     from pulse.functions.stats import gini
 
     return gini(rows, key, value)
@@ -82,10 +86,11 @@ def acceleration(rows: DataFrame) -> DataFrame:
 
 
 def half_ratio(rows: DataFrame) -> DataFrame:
-    """Mean of the second half over that of the first (1 at least), halves by number of rows."""
+    """Mean of the second half over that of the first (1 at least), halves by number of rows; 1 for a single row."""
     counted = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("event_id")))
     first = F.col("i") < F.floor(F.col("n") / 2)
-    return counted.groupBy("event_id").agg((F.avg(F.when(~first, F.col("post_count"))) / F.greatest(F.coalesce(F.avg(F.when(first, F.col("post_count"))), F.lit(0.0)), F.lit(1.0))).alias("volume_ratio"))
+    ratio = F.avg(F.when(~first, F.col("post_count"))) / F.greatest(F.avg(F.when(first, F.col("post_count"))), F.lit(1.0))
+    return counted.groupBy("event_id").agg(F.when(F.count(F.lit(1)) > 1, ratio).otherwise(1.0).alias("volume_ratio"))
 
 
 def precursor_features(events: DataFrame, hours: DataFrame, window: int = DEFAULTS.precursor_hours, lead: int = 0) -> DataFrame:
@@ -106,17 +111,39 @@ def precursor_features(events: DataFrame, hours: DataFrame, window: int = DEFAUL
     return agg.join(crossing, "event_id").join(gini_of(rows), "event_id").join(acceleration(rows), "event_id").join(half_ratio(rows), "event_id")
 
 
+def _quiet_order():
+    return ((F.col("hour") / HOUR * 7919 + F.length("channel") * 104729) % 10007).cast("long")
+
+
 def negative_candidates(hours: DataFrame, events: DataFrame, per_event: int = 3, margin: int = 3) -> DataFrame:
     """(channel, hour) far from every event's day, per_event for each event, in the order of a fixed hash."""
     from pulse.operators.labels import quiet_days
 
     grid = hours.select("channel", "hour").distinct().withColumn("day", (F.floor(F.col("hour") / DAY) * DAY).cast("long"))
     free = quiet_days(grid, events, margin)
-    order = (F.col("hour") / HOUR * 7919 + F.length("channel") * 104729) % 10007
-    ranked = free.withColumn("o", order.cast("long")).orderBy("o", "channel", "hour")
+    ranked = free.withColumn("o", _quiet_order()).orderBy("o", "channel", "hour")
     return ranked.select("channel", "hour").limit(per_event * events.count())
 
 
+def forecast_examples(hours: DataFrame, events: DataFrame, per_event: int = 3, margin: int = 3, tries: int = 10, channels: int = 50) -> DataFrame:
+    """Precursor features of every event (label 1) and of per_event quiet hours for each event (label 0).
+
+    The quiet hours come from the largest channels, in the order of a fixed
+    hash; up to tries times as many are looked at, and those without any row
+    before them are passed over. Negatives have event ids from the events'
+    largest on. Nulls and values that aren't finite become 0.
+    """
+    n, top = (r := events.agg(F.count(F.lit(1)), F.max("event_id")).first())[0], r[1] or 0
+    large = hours.groupBy("channel").agg(F.sum("post_count").alias("__n")).orderBy(F.desc("__n"), "channel").limit(channels)
+    tried = negative_candidates(hours.join(F.broadcast(large), "channel", "left_semi"), events, per_event * tries, margin)
+    order = Window.orderBy(_quiet_order(), "channel", "hour")  # of the few that were taken
+    negatives = tried.select((F.row_number().over(order) + top).cast("long").alias("event_id"), F.col("hour").alias("day_sec"), F.lit("non_event").alias("name"), F.lit("non_event").alias("category"), F.col("channel").alias("relevant_channels"))
+    every = events.select(*negatives.columns).unionByName(negatives)
+    found = precursor_features(every, hours).join(every.select("event_id", "name", "category"), "event_id").withColumn("label", (F.col("event_id") <= top).cast("double"))
+    kept = found.withColumn("__r", F.row_number().over(Window.partitionBy("label").orderBy("event_id"))).where((F.col("label") == 1) | (F.col("__r") <= per_event * n)).drop("__r")
+    return kept.select(*[F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")), 0.0).otherwise(F.col(c)).alias(c) if k == "double" and c != "label" else F.col(c) for c, k in kept.dtypes])
+
+
 def window_matrix(wins: DataFrame, entity: DataFrame, sentiment: DataFrame, topics: DataFrame, volume: DataFrame, matches: DataFrame) -> DataFrame:
     """One row per window with the features of every step, nulls as 0, and the matched category."""
     out = wins.select("window_id", "channel", "peak_z", "mean_z", "anomaly_hours", "duration_hours", "peak_post_count", hour_of_day(F.col("window_start")).alias("hour_of_day"), day_of_week(F.col("window_start")).alias("day_of_week"), (day_of_week(F.col("window_start")) >= 5).cast("long").alias("is_weekend"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulse.functions.calendar import DAY, day_of_week, start_of
+from pulse.functions.calendar import DAY, day_of_week, hour_of_day, start_of
 
 
 def event_channels(catalogue: DataFrame) -> DataFrame:
@@ -48,3 +48,13 @@ def quiet_days(days: DataFrame, catalogue: DataFrame, margin: int = 3) -> DataFr
     """Days that no event is within margin days of."""
     near = catalogue.select(F.explode(F.sequence(F.col("day_sec") - margin * DAY, F.col("day_sec") + margin * DAY, F.lit(DAY).cast("long"))).alias("day"))
     return days.join(near, "day", "left_anti")
+
+
+def labelled_matrix(wins: DataFrame, engaged: DataFrame, catalogue: DataFrame, days: int = 2, long_hours: float = 12.0) -> DataFrame:
+    """Features of windows near a known event, one row per window and event; sustained: longer than long_hours."""
+    day = day_of_week(F.col("window_start"))
+    own = wins.select(
+        "window_id", "channel", "peak_z", "mean_z", "duration_hours", "anomaly_hours", "peak_post_count", "mean_post_count", hour_of_day(F.col("window_start")).alias("hour_of_day"), day.alias("day_of_week"), (day >= 5).cast("long").alias("is_weekend"),
+        (F.col("duration_hours") > long_hours).cast("long").alias("sustained"),
+    )
+    return own.join(engaged, "window_id").join(match_band(wins, catalogue, days).drop("day_gap"), "window_id")

@@ -25,6 +25,22 @@ def time_split(rows: DataFrame, at: str, q: float = 0.75) -> tuple[DataFrame, Da
     return rows.where(F.col(at) <= cut), rows.where(F.col(at) > cut)
 
 
+def time_or_stratified_split(rows: DataFrame, at: str, label: str, ident: str, q: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """time_split; where a side lacks a class, a fifth of each class by hash is the test side."""
+    train, test = time_split(rows, at, q)
+    classes = rows.select(label).distinct().count()
+    if min(train.select(label).distinct().count(), test.select(label).distinct().count()) == classes:
+        return train, test
+    marked = stored(folds(rows, label, ident, 5))
+    return marked.where("fold <> 0").drop("fold"), marked.where("fold = 0").drop("fold")
+
+
+def extremes(rows: DataFrame, value: str, ident: str, n: int) -> DataFrame:
+    """The n rows of largest and the n of smallest value, with side; a row can be in both."""
+    high, low = rows.orderBy(F.desc(value), ident).limit(n), rows.orderBy(value, ident).limit(n)
+    return high.withColumn("side", F.lit("high")).unionByName(low.withColumn("side", F.lit("low")))
+
+
 def folds(rows: DataFrame, label: str, ident: str, k: int) -> DataFrame:
     """Stratified folds 0..k-1 in the order of a hash."""
     order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(42), F.col(ident)), ident)
@@ -48,19 +64,29 @@ def forest(features: list[str], label: str, trees: int, depth: int, scale: bool
     return Pipeline(stages=[*stages, rf])
 
 
+def predicted(train: DataFrame, rows: DataFrame, features: list[str], trees: int, depth: int, scale: bool = False, balanced: bool = False) -> DataFrame:
+    """rows with prediction and probability (of class 1) by a forest; where train has one class only, that class."""
+    classes = [r[0] for r in train.select("label").distinct().limit(2).collect()]
+    if len(classes) < 2:
+        only = F.lit(float(classes[0]) if classes else None).cast("double")
+        return rows.withColumn("prediction", only).withColumn("probability", (only == 1).cast("double"))
+    model = forest(features, "label", trees, depth, scale, "weight" if balanced else None).fit(balanced_weights(train, "label") if balanced else train)
+    out = model.transform(rows).withColumn("probability", F.get(vector_to_array("__p"), F.lit(1)))
+    return out.select(*rows.columns, "prediction", "probability")
+
+
 def indexed(rows: DataFrame, label: str) -> tuple[DataFrame, list[str]]:
     model = StringIndexer(inputCol=label, outputCol="label", handleInvalid="skip", stringOrderType="alphabetAsc").fit(rows)
     return model.transform(rows), list(model.labels)
 
 
-def cross_validate(rows: DataFrame, features: list[str], ident: str, k: int, trees: int = 20, depth: int = 8, fold_col: str | None = None) -> DataFrame:
-    """ident, fold, label, prediction, probability of class 1, each row predicted by the model that hasn't seen its fold. ``fold_col`` keeps given groups together."""
+def cross_validate(rows: DataFrame, features: list[str], ident: str, k: int, trees: int = 20, depth: int = 8, fold_col: str | None = None, scale: bool = False, balanced: bool = False) -> DataFrame:
+    """ident, fold, label, prediction, probability of class 1, each row predicted by the model that hasn't seen its fold. ``fold_col`` keeps given groups together; ``balanced`` weighs classes alike."""
     marked = stored((rows.withColumn("fold", F.col(fold_col)) if fold_col else folds(rows, "label", ident, k)).select(ident, "label", "fold", *features))
     parts = None
     for f in [r[0] for r in marked.select("fold").distinct().orderBy("fold").collect()]:  # k folds
         train, test = marked.where(F.col("fold") != f), marked.where(F.col("fold") == f)
-        model = forest(features, "label", trees, depth).fit(train)
-        got = model.transform(test).select(ident, "fold", "label", "prediction", F.get(vector_to_array("__p"), F.lit(1)).alias("probability"))
+        got = predicted(train, test, features, trees, depth, scale, balanced).select(ident, "fold", "label", "prediction", "probability")
         parts = got if parts is None else parts.unionByName(got)
     return parts
 
@@ -89,9 +115,55 @@ def roc_points(scored: DataFrame, score: str = "score", label: str = "label") ->
     return runs.select(F.col(score).alias("threshold"), (F.col("run_p") / F.col("all_p")).alias("tpr"), (F.col("run_n") / F.col("all_n")).alias("fpr"))
 
 
+def binary_metrics(predicted: DataFrame, score: str = "probability", label: str = "label", guess: str = "prediction") -> DataFrame:
+    """One row: n, positives, auc (ties count half), average_precision, precision, recall, f1 of class 1.
+
+    The areas are null unless both classes are there; precision, recall and F1 are 0 where they have no rows to divide by.
+    """
+    by = predicted.groupBy(score).agg(F.sum(label).cast("double").alias("p"), F.sum(1 - F.col(label)).cast("double").alias("n"))
+    runs = running_totals(by, score, ["p", "n"], descending=True)
+    pairs = F.sum(F.col("n") * (F.col("run_p") - F.col("p") / 2))
+    areas = runs.agg(F.sum("p").alias("P"), F.sum("n").alias("N"), pairs.alias("pairs"), F.sum(F.col("p") * F.col("run_p") / (F.col("run_p") + F.col("run_n"))).alias("ap"))
+    hit, said = (F.col(label) == 1) & (F.col(guess) == 1), F.col(guess) == 1
+    count = lambda c: F.sum(F.when(c, 1.0).otherwise(0.0))
+    plain = predicted.agg(count(hit).alias("tp"), count(said).alias("said"))
+    out = areas.crossJoin(F.broadcast(plain))  # one row each
+    both = (F.col("P") > 0) & (F.col("N") > 0)
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    precision, recall = ratio(F.col("tp"), F.col("said")), ratio(F.col("tp"), F.col("P"))
+    return out.select(
+        (F.col("P") + F.col("N")).cast("long").alias("n"), F.col("P").cast("long").alias("positives"), F.when(both, F.col("pairs") / (F.col("P") * F.col("N"))).alias("auc"), F.when(both, F.col("ap") / F.col("P")).alias("average_precision"),
+        precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"),
+    )
+
+
+def fold_metrics(predicted: DataFrame) -> DataFrame:
+    """binary_metrics of each of the few folds."""
+    parts = None
+    for f in [r[0] for r in predicted.select("fold").distinct().orderBy("fold").collect()]:
+        one = binary_metrics(predicted.where(F.col("fold") == f)).withColumn("fold", F.lit(f).cast("long"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+def predict_unlabelled(rows: DataFrame, features: list[str], ident: str, category: str = "category", trees: int = 300, depth: int = 10, least: int = 10) -> DataFrame:
+    """ident, predicted_category, is_labeled of all rows: those with a category out of fold, the others by a model of all that have one. With fewer than least of these: no rows."""
+    known = rows.where(F.col(category).isNotNull())
+    labelled, names = indexed(known, category)
+    labelled = stored(labelled)
+    back = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("prediction") + 1).cast("int")) if names else F.lit(None).cast("string")
+    if labelled.count() < least:
+        return rows.where("false").select(ident, F.lit("").alias("predicted_category"), F.lit(True).alias("is_labeled"))
+    own = cross_validate(labelled, features, ident, 5, trees, depth, balanced=True)
+    model = forest(features, "label", trees, depth, weight="weight").fit(balanced_weights(labelled, "label"))
+    rest = model.transform(rows.where(F.col(category).isNull()))
+    return own.select(ident, back.alias("predicted_category"), F.lit(True).alias("is_labeled")).unionByName(rest.select(ident, back.alias("predicted_category"), F.lit(False).alias("is_labeled")))
+
+
 def auc(predicted: DataFrame, score: str = "probability", label: str = "label") -> float:
     return BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label).evaluate(predicted)
 
 
 def importance(model, features: list[str]) -> list[tuple[str, float]]:
+    """Largest first."""
     return sorted(zip(features, map(float, model.stages[-1].featureImportances.toArray()), strict=True), key=lambda x: (-x[1], x[0]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +36,12 @@ def normalised(series_arrays: DataFrame) -> DataFrame:
 
 
 def peak_features(scaled: DataFrame, lead: int = 24) -> DataFrame:
-    """peak_index, time_to_peak, half_decay (values from the peak to the first at most half of it, else to the end), sustained (values from lead on over twice the lead's mean, 0.3 at least)."""
+    """peak_index, time_to_peak, half_decay (values from the peak to the first at most half of it; null without one), sustained (values from lead on over twice the lead's mean, 0.3 at least)."""
     p = (F.array_position("s", F.array_max("s")) - 1).cast("long")
     tail = F.expr("slice(s, cast(peak_index AS int) + 2, size(s))")
     low = F.expr("filter(transform(sequence(0, greatest(size(tail) - 1, 0)), i -> CASE WHEN tail[i] <= s[cast(peak_index AS int)] / 2 THEN cast(i + 1 AS bigint) END), x -> x IS NOT NULL)")
     out = scaled.where(F.col("s").isNotNull()).withColumn("peak_index", p).withColumn("tail", tail)
-    out = out.withColumn("half_decay", F.when(F.size("tail") > 0, F.coalesce(F.get(low, F.lit(0)), F.size("tail").cast("long"))).otherwise(F.lit(0).cast("long")))
+    out = out.withColumn("half_decay", F.when(F.size("tail") > 0, F.get(low, F.lit(0))))
     head = F.slice("s", 1, lead)
     mean = F.aggregate(head, F.lit(0.0), lambda a, x: a + x) / F.size(head)
     out = out.withColumn("bar", F.greatest(2 * mean, F.lit(0.3)))
@@ -88,6 +89,7 @@ def find_peaks(x: np.ndarray, distance: int = 3, prominence: float = 0.2) -> np.
 
 def shape(values, lead: int = 24) -> str:
     """sharp_spike, sustained_plateau, slow_burn or double_peak."""
+    # Fixed values of the decision: its thresholds, and the order of its rules.
     v = np.asarray(values, float)
     v = v[~np.isnan(v)]
     if not len(v):
@@ -98,7 +100,7 @@ def shape(values, lead: int = 24) -> str:
     p = int(s.argmax())
     to_peak = max(p - lead, 0)
     below = np.flatnonzero(s[p + 1 :] <= s[p] / 2)
-    decay = int(below[0]) + 1 if len(below) else len(s) - p - 1
+    decay = int(below[0]) + 1 if len(below) else math.inf  # a peak without a fall to half is never sharp
     bar = max(2 * s[:lead].mean(), 0.3)
     held = int((s[lead:] >= bar).sum())
     peaks = find_peaks(s)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulse.functions.calendar import HOUR, hours_between
+from pulse.functions.calendar import HOUR, day_of_week, hours_between
 from pulse.operators.graph import connected_components
 from pulse.operators.intervals import near_pairs
 from pulse.session import DEFAULTS
@@ -33,17 +33,18 @@ def profile(rows: DataFrame, volume: DataFrame, within_hours: int = DEFAULTS.sim
     """One row per cluster: its channels in order, first mover, share that starts within within_hours, and the type of spread."""
     first = rows.groupBy("cluster_id").agg(F.min("window_start").alias("first_detection"))
     own = rows.join(first, "cluster_id")
-    order = F.struct("window_start", "channel", "window_id", "total_posts")
+    order = F.struct("window_start", "channel", "window_id")
     agg = own.groupBy("cluster_id", "first_detection").agg(
         F.count(F.lit(1)).alias("num_windows"),
         F.countDistinct("channel").alias("num_channels"),
         F.max("window_end").alias("last_end"),
         F.avg(F.when(F.col("window_start") - F.col("first_detection") <= within_hours * HOUR, 1.0).otherwise(0.0)).alias("share_within"),
-        F.array_sort(F.collect_list(order)).alias("m"),
+        F.min_by("total_posts", order).alias("first_mover_size"),
+        F.array_sort(F.collect_list(F.struct("window_start", "channel", "window_id"))).alias("m"),
     )
     p = size_percentiles(volume)
     agg = agg.crossJoin(F.broadcast(p))  # one row
-    size = F.element_at("m", 1)["total_posts"]
+    size = F.col("first_mover_size")
     kind = F.when(F.col("share_within") > 0.5, "simultaneous").when(size < F.col("p50"), "niche_to_mainstream").when(size >= F.col("p75"), "top_down").otherwise("niche_to_mainstream")
     return agg.select(
         "cluster_id",
@@ -54,7 +55,7 @@ def profile(rows: DataFrame, volume: DataFrame, within_hours: int = DEFAULTS.sim
         hours_between(F.col("first_detection"), F.col("last_end")).alias("total_duration_hours"),
         "first_detection",
         "share_within",
-        size.alias("first_mover_size"),
+        "first_mover_size",
     )
 
 
@@ -62,3 +63,15 @@ def offsets(rows: DataFrame) -> DataFrame:
     """Hours of each window after its cluster's first."""
     w = Window.partitionBy("cluster_id")
     return rows.select("cluster_id", "window_id", "channel", "total_posts", hours_between(F.min("window_start").over(w), F.col("window_start")).alias("offset_hours"))
+
+
+def order_of(rows: DataFrame) -> DataFrame:
+    """Each window's place in its cluster by its start."""
+    by = Window.partitionBy("cluster_id").orderBy("window_start", "channel", "window_id")
+    return rows.select("cluster_id", "window_id", F.row_number().over(by).cast("long").alias("place"))
+
+
+def by_weekend(profiles: DataFrame) -> DataFrame:
+    """How long and wide clusters are by whether they begin on a weekend."""
+    weekend = (day_of_week(F.col("first_detection")) >= 5).cast("long").alias("is_weekend")
+    return profiles.groupBy(weekend).agg(F.count(F.lit(1)).alias("n"), F.avg("total_duration_hours").alias("avg_propagation_hours"), F.avg("num_channels").alias("avg_num_channels"))

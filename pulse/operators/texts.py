@@ -13,11 +13,13 @@ from pulse.functions.stats import t_pvalue, welch
 from pulse.functions.text import usable
 from pulse.operators.intervals import slice_series
 
-# Fixed values of the default word lists.
-POSITIVE = ("the", "good", "great", "with", "love", "win", "hope", "best")
-NEGATIVE = ("that", "bad", "worst", "hate", "loss", "fear", "idiot", "stupid", "trash")
-ORGANISATIONS = ("Inc", "Corp", "University", "Council", "Bank")
-PLACES = ("Berlin", "Paris", "London", "Madrid", "Europe")
+# Fixed values of the default word lists: words of good and bad feeling, words that turn them round, and what tells kinds of names apart.
+POSITIVE = ("good", "great", "excellent", "amazing", "awesome", "beautiful", "best", "better", "brave", "bright", "calm", "celebrate", "cheer", "clever", "delight", "enjoy", "fair", "fantastic", "fun", "glad", "happy", "helpful", "hope", "joy", "kind", "laugh", "love", "lovely", "lucky", "nice", "peace", "perfect", "pleasant", "proud", "safe", "smile", "strong", "success", "thank", "thanks", "trust", "useful", "win", "winner", "wonderful")
+NEGATIVE = ("bad", "awful", "angry", "annoying", "afraid", "attack", "boring", "broken", "cruel", "cry", "damage", "danger", "dead", "death", "disaster", "dumb", "evil", "fail", "failure", "fear", "fool", "garbage", "hate", "horrible", "hurt", "idiot", "kill", "lie", "loser", "loss", "mad", "moron", "nasty", "pain", "pathetic", "poor", "sad", "scum", "shame", "sick", "stupid", "terrible", "trash", "ugly", "weak", "worse", "worst", "wrong")
+NEGATORS = ("not", "no", "never", "without", "hardly", "nothing", "don", "isn", "wasn", "won", "can", "t")
+ORGANISATIONS = ("Inc", "Corp", "University", "Council", "Bank", "Party", "Ministry", "Agency", "Club", "Company")
+PLACES = ("Berlin", "Paris", "London", "Madrid", "Europe", "City", "County", "Street", "River", "Island")
+PLACE_CONTEXT = ("in", "at", "from", "near", "to", "across", "around")
 
 
 def window_texts(wins: DataFrame, texts: DataFrame, shift_start: int = 0, shift_end: int = 0) -> DataFrame:
@@ -45,13 +47,13 @@ def modulo_sample(rows: DataFrame, group: str, ident: str, n: int) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= n).drop("__n")
 
 
-def entities(texts: DataFrame, max_chars: int = 5000) -> DataFrame:
-    """text_id, window_id, entity_text, entity_label by rule: runs of capitalised words inside a sentence, then a word list for the label."""
-    found = F.regexp_extract_all(F.substring("text", 1, max_chars), F.lit(r"(?:[a-z,] )([A-Z][a-z]{2,}(?: [A-Z][a-z]{2,})*)"), 1)
-    rows = texts.select("window_id", "text_id", F.explode(found).alias("entity_text"))
-    last = F.element_at(F.split("entity_text", " "), -1)
-    label = F.when(last.isin(*ORGANISATIONS), "ORG").when(last.isin(*PLACES), "GPE").otherwise("PERSON")
-    return rows.where(F.length(F.trim("entity_text")) > 1).withColumn("entity_label", label)
+def entities(texts: DataFrame) -> DataFrame:
+    """text_id, window_id, entity_text, entity_label by rule, from whole texts: runs of capitalised words after a word in lower case; the last word and the word before tell the label."""
+    found = F.regexp_extract_all("text", F.lit(r"([a-z]+,? [A-Z][a-z]{2,}(?: [A-Z][a-z]{2,})*)"), 1)
+    words = texts.select("window_id", "text_id", F.explode(F.transform(found, lambda x: F.split(x, " "))).alias("words"))
+    last, before = F.element_at("words", -1), F.element_at("words", 1)
+    label = F.when(last.isin(*ORGANISATIONS), "ORG").when(last.isin(*PLACES) | before.isin(*PLACE_CONTEXT), "GPE").otherwise("PERSON")
+    return words.select("window_id", "text_id", F.array_join(F.slice("words", 2, F.size("words")), " ").alias("entity_text"), label.alias("entity_label"))
 
 
 def chunks(text: str, max_chars: int) -> list[str]:
@@ -77,8 +79,14 @@ def extract_with(texts: DataFrame, extractor: Callable[[list[str]], list[list[tu
     return texts.select("window_id", "text_id", "text").mapInArrow(run, "window_id string, text_id bigint, entity_text string, entity_label string")
 
 
+def entity_totals(found: DataFrame) -> DataFrame:
+    """How often each entity occurs in a window."""
+    return found.groupBy("window_id", "entity_text", "entity_label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def entity_counts(found: DataFrame, per_window: int = 200) -> DataFrame:
-    counts = found.groupBy("window_id", "entity_text", "entity_label").agg(F.count(F.lit(1)).alias("n"))
+    """A report of the per_window commonest entities of each window."""
+    counts = entity_totals(found)
     order = Window.partitionBy("window_id").orderBy(F.desc("n"), "entity_text", "entity_label")
     return counts.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= per_window).drop("__n")
 
@@ -110,30 +118,35 @@ def dominant_label(counts: DataFrame) -> DataFrame:
     return per.groupBy("entity").agg(F.sum("n").alias("total"), F.max_by("entity_label", F.struct("n", "entity_label")).alias("label"))
 
 
-def sentiment(texts: DataFrame, max_chars: int = 2048) -> DataFrame:
-    """Adds score, (positive - negative) / words found, from -1 to 1; 0 without any."""
-    words = F.split(F.lower(F.substring("text", 1, max_chars)), r"[^a-z]+")
-    pos = F.size(F.filter(words, lambda w: w.isin(*POSITIVE)))
-    neg = F.size(F.filter(words, lambda w: w.isin(*NEGATIVE)))
+def sentiment(texts: DataFrame) -> DataFrame:
+    """Adds pos, neg and score, (pos - neg) / (pos + neg) over the whole text, from -1 to 1; 0 without any. A word right after a negator counts for the other side."""
+    words = F.split(F.lower("text"), r"[^a-z]+")
+
+    def count(own, other):
+        turned = lambda i: F.coalesce(F.get(words, i - 1).isin(*NEGATORS), F.lit(False))
+        return F.size(F.filter(words, lambda w, i: F.when(turned(i), w.isin(*other)).otherwise(w.isin(*own))))
+
+    pos, neg = count(POSITIVE, NEGATIVE), count(NEGATIVE, POSITIVE)
     return texts.withColumn("pos", pos.cast("long")).withColumn("neg", neg.cast("long")).withColumn("score", F.when(F.col("pos") + F.col("neg") > 0, (F.col("pos") - F.col("neg")) / (F.col("pos") + F.col("neg"))).otherwise(0.0))
 
 
 def score_with(texts: DataFrame, scorer: Callable[[list[str]], list[tuple[float, float, float]]], max_chars: int = 2048) -> DataFrame:
-    """window_id, text_id, score = positive - negative from a model's (negative, neutral, positive), the mean over a text's chunks of max_chars at most by their lengths; a batch that fails counts as neutral."""
+    """window_id, text_id, score = positive - negative from a model's (negative, neutral, positive), the mean over a text's chunks of max_chars at most by their lengths. Texts of a batch that fails count as neutral, with failed set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [chunks(x, max_chars) for x in b.column(2).to_pylist()]
             flat = [c for cs in parts for c in cs]
+            failed = False
             try:
                 p = list(scorer(flat))
             except Exception:  # noqa: BLE001  the model is the caller's
-                p = [(0.33, 0.34, 0.33)] * len(flat)
+                p, failed = [(0.33, 0.34, 0.33)] * len(flat), True
             each = iter(x[2] - x[0] for x in p)
             scores = [sum(next(each) * max(1, len(c)) for c in cs) / sum(max(1, len(c)) for c in cs) for cs in parts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], ["window_id", "text_id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([failed] * len(scores), pa.bool_())], ["window_id", "text_id", "score", "failed"])
 
-    return texts.select("window_id", "text_id", "text").mapInArrow(run, "window_id string, text_id bigint, score double")
+    return texts.select("window_id", "text_id", "text").mapInArrow(run, "window_id string, text_id bigint, score double, failed boolean")
 
 
 def sentiment_stats(scored: DataFrame) -> DataFrame:
@@ -156,6 +169,12 @@ def significance(shift: DataFrame, level: float = 0.05) -> DataFrame:
     return out.withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
 
 
+def shift_summary(shift: DataFrame) -> DataFrame:
+    """How many windows there are, their mean shift and how many moved either way."""
+    count = lambda c: F.count(F.when(c, 1))
+    return shift.agg(F.count(F.lit(1)).alias("n_windows"), F.avg("shift").alias("mean_shift"), count(F.col("shift") > 0).alias("n_more_positive"), count(F.col("shift") < 0).alias("n_more_negative"))
+
+
 def class_terms(texts: DataFrame, topic: str = "topic", n: int = 10) -> DataFrame:
     """c-TF-IDF: a word's share of its topic's words times log(1 + mean words per topic / the word's total); the n best of each topic."""
     words = texts.select(topic, F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("term")).where(F.length("term") >= 2)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from pulse.functions.stats import rounded
+from pulse.functions.storage import stored
 from pulse.operators import anomaly, rollup
 from pulse.sources import activity
 
@@ -46,6 +47,12 @@ def windows5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.detect(hours5(spark, sf_dir))
 
 
+def detected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Windows and hours of the twelve channels; posts are read once, for hours that are written to the shared folder."""
+    hours = stored(hours12(spark, sf_dir))
+    return anomaly.detect(hours), hours
+
+
 ACT5 = "act AS (SELECT event_type AS channel, 'comments' AS data_type, floor(epoch(ts))::bigint AS sec, user_id AS author, value AS score FROM events)"
 ACT12 = "act AS (SELECT 'ch' || (user_id % 12) AS channel, CASE WHEN event_type IN ('signup', 'purchase') THEN 'submissions' ELSE 'comments' END AS data_type, floor(epoch(ts))::bigint AS sec, user_id AS author, value AS score FROM events)"
 _COUNTS = "count(score)::bigint AS post_count, count(DISTINCT author)::bigint AS unique_authors, avg(score) AS mean_score"

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from pulse.functions.storage import stored
 from pulse.functions.text import clean, usable
 from pulse.operators import features as feats
 from pulse.operators import labels, learning, rollup, texts
-from pulse.plans.common import DETECT12, VOLUME, Catalogue, hours12, sql, windows12
+from pulse.plans.common import DETECT12, VOLUME, Catalogue, detected, hours12, sql, windows12
 from pulse.sources import activity
 from pulse.sources.activity import FIRST, catalogue, catalogue_sql
 
@@ -33,11 +35,11 @@ def union_text(spark, sf_dir):
 
 
 # Fixed inputs that show each cleaning rule.
-_SAMPLES = ("[deleted]", "[removed]", "", "see https://a.b/c now", "/r/news and u/some_one say", "a [link](page) b", "*bold* _it_ ~x~ `c` # h > q", "two   blanks\tand tab ", "see [x](http://a.b) now (ok) end")
+_SAMPLES = ("[deleted]", "[removed]", "", "see https://a.b/c now", "/r/news and /u/some_one say per hour/day or r/x", "a [link](page) b", "*bold* _it_ ~x~ `c` # h > q", "two   blanks\tand tab ", "see [x](http://a.b) now (ok) end")
 
 
 @C.add(
-    "SELECT i::bigint AS i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN t IN ('[deleted]', '[removed]') THEN '' ELSE t END, 'https?://\\S+', '', 'g'), '/?[ru]/\\w+', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*_~`#>]', '', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM (VALUES "
+    "SELECT i::bigint AS i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN t IN ('[deleted]', '[removed]') THEN '' ELSE t END, 'https?://\\S+', '', 'g'), '/r/\\w+', '', 'g'), '/u/\\w+', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*_~`#>]', '', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM (VALUES "
     + ", ".join(f"({i}, '{t}')" for i, t in enumerate(_SAMPLES)).replace("\t", "' || chr(9) || '")
     + ") v(i, t)"
 )
@@ -51,7 +53,7 @@ _WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{24b6}-\x{24e9}\x{200c}\x{200d}\x{1f130}
 
 
 @C.add(
-    f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN text IS NULL OR text IN ('[deleted]', '[removed]') THEN '' ELSE text END, 'https?://[^{_BLANK}]+', '', 'g'), '/?[ru]/[{_WORD}]+', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*_~`#>]', '', 'g'), '[{_BLANK}]+', ' ', 'g'), ' ') AS cleaned FROM documents"
+    f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN text IS NULL OR text IN ('[deleted]', '[removed]') THEN '' ELSE text END, 'https?://[^{_BLANK}]+', '', 'g'), '/r/[{_WORD}]+', '', 'g'), '/u/[{_WORD}]+', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*_~`#>]', '', 'g'), '[{_BLANK}]+', ' ', 'g'), ' ') AS cleaned FROM documents"
 )
 def clean_documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", clean(F.col("text")).alias("cleaned"))
@@ -83,7 +85,11 @@ def sample_texts(spark, sf_dir):
 
 
 #: Entity and sentiment queries take channels as windows, so that they run over all texts.
-_GROUPS = f"{_TEXT}, raw AS (SELECT channel AS window_id, text_id, unnest(regexp_extract_all(substr(text, 1, 5000), '(?:[a-z,] )([A-Z][a-z]{{2,}}(?: [A-Z][a-z]{{2,}})*)', 1)) AS entity_text FROM good), found AS (SELECT *, CASE WHEN string_split(entity_text, ' ')[-1] IN ('Inc', 'Corp', 'University', 'Council', 'Bank') THEN 'ORG' WHEN string_split(entity_text, ' ')[-1] IN ('Berlin', 'Paris', 'London', 'Madrid', 'Europe') THEN 'GPE' ELSE 'PERSON' END AS entity_label FROM raw WHERE length(trim(entity_text)) > 1)"
+_in = lambda ws: "(" + ", ".join(f"'{w}'" for w in ws) + ")"
+_GROUPS = (
+    f"{_TEXT}, raw AS (SELECT channel AS window_id, text_id, string_split(unnest(regexp_extract_all(text, '([a-z]+,? [A-Z][a-z]{{2,}}(?: [A-Z][a-z]{{2,}})*)', 1)), ' ') AS words FROM good), "
+    f"found AS (SELECT window_id, text_id, array_to_string(words[2:], ' ') AS entity_text, CASE WHEN words[-1] IN {_in(texts.ORGANISATIONS)} THEN 'ORG' WHEN words[-1] IN {_in(texts.PLACES)} OR words[1] IN {_in(texts.PLACE_CONTEXT)} THEN 'GPE' ELSE 'PERSON' END AS entity_label FROM raw)"
+)
 _COUNTS = f"{_GROUPS}, c0 AS (SELECT window_id, entity_text, entity_label, count(*)::bigint AS n FROM found GROUP BY ALL), counts AS (SELECT window_id, entity_text, entity_label, n FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY n DESC, entity_text, entity_label) AS r FROM c0) WHERE r <= 200)"
 
 
@@ -107,26 +113,25 @@ def top_entities(spark, sf_dir):
     return texts.top_per_label(_found(spark, sf_dir))
 
 
-@C.add(sql(_COUNTS, "SELECT window_id, sum(n)::bigint AS entity_count, count(DISTINCT entity_text)::bigint AS unique_entities, coalesce(sum(n) FILTER (entity_label = 'PERSON'), 0)::bigint AS persons, coalesce(sum(n) FILTER (entity_label = 'ORG'), 0)::bigint AS orgs FROM counts GROUP BY window_id"))
+@C.add(sql(_COUNTS, "SELECT window_id, sum(n)::bigint AS entity_count, count(DISTINCT entity_text)::bigint AS unique_entities, coalesce(sum(n) FILTER (entity_label = 'PERSON'), 0)::bigint AS persons, coalesce(sum(n) FILTER (entity_label = 'ORG'), 0)::bigint AS orgs FROM c0 GROUP BY window_id"))
 def entity_features(spark, sf_dir):
-    return texts.entity_features(texts.entity_counts(_found(spark, sf_dir)))
+    return texts.entity_features(texts.entity_totals(_found(spark, sf_dir)))
 
 
-@C.add(sql(f"{_COUNTS}, per AS (SELECT lower(entity_text) AS entity, entity_label, sum(n)::bigint AS n FROM counts GROUP BY ALL)", "SELECT entity, sum(n)::bigint AS total, arg_max(entity_label, (n, entity_label)) AS label FROM per GROUP BY entity"))
+@C.add(sql(f"{_COUNTS}, per AS (SELECT lower(entity_text) AS entity, entity_label, sum(n)::bigint AS n FROM c0 GROUP BY ALL)", "SELECT entity, sum(n)::bigint AS total, arg_max(entity_label, (n, entity_label)) AS label FROM per GROUP BY entity"))
 def entity_totals(spark, sf_dir):
-    return texts.dominant_label(texts.entity_counts(_found(spark, sf_dir)))
+    return texts.dominant_label(texts.entity_totals(_found(spark, sf_dir)))
 
 
-@C.add(sql(_COUNTS, "SELECT entity_label, count(*)::bigint AS n_rows, count(DISTINCT entity_text)::bigint AS n_entities, count(DISTINCT window_id)::bigint AS n_windows FROM counts GROUP BY entity_label"))
+@C.add(sql(_COUNTS, "SELECT entity_label, count(*)::bigint AS n_rows, count(DISTINCT entity_text)::bigint AS n_entities, count(DISTINCT window_id)::bigint AS n_windows FROM c0 GROUP BY entity_label"))
 def entity_summary(spark, sf_dir):
-    c = texts.entity_counts(_found(spark, sf_dir))
+    c = texts.entity_totals(_found(spark, sf_dir))
     return c.groupBy("entity_label").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("entity_text").alias("n_entities"), F.countDistinct("window_id").alias("n_windows"))
 
 
 _list = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-_S = (
-    "SELECT *, CASE WHEN pos + neg > 0 THEN (pos - neg) / (pos + neg)::double ELSE 0.0 END AS score FROM (SELECT *, len(list_filter(words, lambda w: list_contains({p}, w)))::bigint AS pos, len(list_filter(words, lambda w: list_contains({n}, w)))::bigint AS neg FROM (SELECT *, regexp_split_to_array(lower(substr(text, 1, 2048)), '[^a-z]+') AS words FROM {t}))"
-).replace("{p}", _list(texts.POSITIVE)).replace("{n}", _list(texts.NEGATIVE))
+_side = lambda own, other: f"len(list_filter(words, lambda w, i: CASE WHEN coalesce(list_contains({_list(texts.NEGATORS)}, words[i - 1]), false) THEN list_contains({_list(other)}, w) ELSE list_contains({_list(own)}, w) END))::bigint"
+_S = f"SELECT *, CASE WHEN pos + neg > 0 THEN (pos - neg) / (pos + neg)::double ELSE 0.0 END AS score FROM (SELECT *, {_side(texts.POSITIVE, texts.NEGATIVE)} AS pos, {_side(texts.NEGATIVE, texts.POSITIVE)} AS neg FROM (SELECT *, regexp_split_to_array(lower(text), '[^a-z]+') AS words FROM {{t}}))"
 _SENT = f"{_TEXT}, half AS (SELECT channel AS window_id, text_id, sec, text FROM good), scored AS ({_S.replace('{t}', 'half')})"
 
 
@@ -212,31 +217,40 @@ def channel_baselines(spark, sf_dir):
 _SUSTAIN = f"{DETECT12}, {_BASE}, r AS (SELECT window_id, h.hour, h.post_count > 2 * b.median_count AND b.median_count > 0 AS hi FROM wins w JOIN hourly h ON h.channel = w.channel AND h.hour BETWEEN w.window_start AND w.window_start + 172800 JOIN bl b ON b.channel = w.channel), i AS (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY hour) - row_number() OVER (PARTITION BY window_id, hi ORDER BY hour) AS island FROM r), st AS (SELECT window_id, max(n) AS longest FROM (SELECT window_id, island, count(*)::bigint AS n FROM i WHERE hi GROUP BY ALL) GROUP BY window_id)"
 
 
-@C.add(sql(_SUSTAIN, "SELECT window_id, coalesce(longest, 0) AS longest_streak, CASE WHEN coalesce(longest, 0) >= 2 THEN 'sustained' ELSE 'decayed' END AS sustain_label FROM wins LEFT JOIN st USING (window_id)"))
-def sustain_label(spark, sf_dir):
-    return feats.sustain_label(windows12(spark, sf_dir), hours12(spark, sf_dir), min_streak=2)
+@C.add(sql(_SUSTAIN, "SELECT window_id, coalesce(longest, 0) AS longest_streak, CASE WHEN coalesce(longest, 0) >= 24 THEN 'sustained' ELSE 'decayed' END AS sustain_label FROM wins LEFT JOIN st USING (window_id)"))
+def sustain_label(spark, sf_dir, min_streak=24):
+    return feats.sustain_label(*detected(spark, sf_dir), min_streak=min_streak)
+
+
+#: Two hours in place of a day: on the small tables no window stays high for a day, so this is what parts them.
+C.add(C.sql["sustain_label"].replace(">= 24", ">= 2"), name="sustain_label_2h")(partial(sustain_label, min_streak=2))
 
 
-_CONC = f"{DETECT12}, {_BASE}, om AS (SELECT window_id, h.channel, avg(h.post_count) AS m FROM wins w JOIN hourly h ON h.channel <> w.channel AND h.hour BETWEEN w.window_start AND w.window_start + 14400 GROUP BY ALL), md AS (SELECT window_id, median(m) AS mid FROM om GROUP BY window_id), conc AS (SELECT window_id, count(*) FILTER (m > 2 * mid)::bigint AS c FROM om JOIN md USING (window_id) GROUP BY window_id)"
+_CONC = f"{DETECT12}, {_BASE}, om AS (SELECT window_id, h.channel, avg(h.post_count) AS m FROM wins w JOIN hourly h ON h.channel <> w.channel AND h.hour BETWEEN w.window_start AND w.window_start + 14400 GROUP BY ALL), md AS (SELECT window_id, median(m) AS mid FROM om GROUP BY window_id), conc AS (SELECT window_id, count(*) FILTER (m > 2 * mid AND median_count > 0)::bigint AS c FROM om JOIN md USING (window_id) JOIN wins w USING (window_id) JOIN bl ON bl.channel = w.channel GROUP BY window_id)"
 
 
 @C.add(sql(_CONC, "SELECT window_id, coalesce(c, 0) AS concurrent_channels FROM wins LEFT JOIN conc USING (window_id)"))
 def concurrent_channels(spark, sf_dir):
-    return feats.concurrent_channels(windows12(spark, sf_dir), hours12(spark, sf_dir))
+    return feats.concurrent_channels(*detected(spark, sf_dir))
 
 
-_EARLY = f"{_CONC}, e AS (SELECT window_id, w.channel, w.window_start, count(*) AS n, CASE WHEN count(*) >= 2 THEN (arg_max(h.post_count, h.hour) - arg_min(h.post_count, h.hour)) / (count(*) - 1)::double ELSE 0.0 END AS velocity, sum(h.unique_authors) / greatest(sum(h.post_count), 1)::double AS author_diversity, CASE WHEN count(*) >= 2 THEN (arg_max(h.mean_score, h.hour) - arg_min(h.mean_score, h.hour)) / (count(*) - 1) ELSE 0.0 END AS score_acceleration, max(h.post_count) AS peak_count, avg(h.mean_score) AS mean_score FROM wins w JOIN hourly h ON h.channel = w.channel AND h.hour BETWEEN w.window_start AND w.window_start + 14400 GROUP BY ALL)"
+_EARLY = f"{_CONC}, {_WT.split(DETECT12 + ', ')[1]}, sw AS ({_S.replace('{t}', 'wt')}), si AS (SELECT window_id, abs(avg(score)) AS intensity FROM sw GROUP BY window_id), e AS (SELECT window_id, w.channel, w.window_start, count(*) AS n, CASE WHEN count(*) >= 2 THEN (arg_max(h.post_count, h.hour) - arg_min(h.post_count, h.hour)) / (count(*) - 1)::double ELSE 0.0 END AS velocity, sum(h.unique_authors) / greatest(sum(h.post_count), 1)::double AS author_diversity, CASE WHEN count(*) >= 2 THEN (arg_max(h.mean_score, h.hour) - arg_min(h.mean_score, h.hour)) / (count(*) - 1) ELSE 0.0 END AS score_acceleration, max(h.post_count) AS peak_count, avg(h.mean_score) AS mean_score FROM wins w JOIN hourly h ON h.channel = w.channel AND h.hour BETWEEN w.window_start AND w.window_start + 14400 GROUP BY ALL)"
 
 
-@C.add(sql(_EARLY, "SELECT e.window_id, round(velocity, 6) AS velocity, round(author_diversity, 6) AS author_diversity, coalesce(c, 0) AS concurrent_channels, 0.0::double AS sentiment_intensity, round(score_acceleration, 6) AS score_acceleration, peak_count, round(e.mean_score, 6) AS mean_score, round(peak_count / greatest(median_count, 1), 6) AS spike_ratio, round(median_count, 6) AS baseline, (window_start // 3600) % 24 AS hour_of_day, ((window_start // 86400 + 3) % 7 >= 5)::bigint AS is_weekend FROM e JOIN bl ON bl.channel = e.channel LEFT JOIN conc USING (window_id)"))
+@C.add(sql(_EARLY, "SELECT e.window_id, round(velocity, 6) AS velocity, round(author_diversity, 6) AS author_diversity, coalesce(c, 0) AS concurrent_channels, round(coalesce(intensity, 0.0), 6) AS sentiment_intensity, round(score_acceleration, 6) AS score_acceleration, peak_count, round(e.mean_score, 6) AS mean_score, round(peak_count / greatest(median_count, 1), 6) AS spike_ratio, round(median_count, 6) AS baseline, (window_start // 3600) % 24 AS hour_of_day, ((window_start // 86400 + 3) % 7 >= 5)::bigint AS is_weekend FROM e JOIN bl ON bl.channel = e.channel LEFT JOIN conc USING (window_id) LEFT JOIN si USING (window_id)"))
 def early_features(spark, sf_dir):
-    return feats.early_features(windows12(spark, sf_dir), hours12(spark, sf_dir))
+    return _early(spark, sf_dir, *detected(spark, sf_dir))
+
+
+def _early(spark, sf_dir, wins, hours):
+    own = texts.sentiment(texts.window_texts(wins, activity.texts(spark, sf_dir)))
+    return feats.early_features(wins, hours, sentiment=texts.sentiment_stats(own))
 
 
 _PRE = f"{DETECT12}, {catalogue_sql()}, ev AS (SELECT event_id, day_sec, unnest(string_split(relevant_channels, '|')) AS channel, generate_subscripts(string_split(relevant_channels, '|'), 1) AS pos FROM catalogue), pre AS (SELECT event_id, ev.day_sec, ev.channel, pos, hour, post_count, unique_authors, mean_score, row_number() OVER (PARTITION BY event_id ORDER BY pos, hour) - 1 AS i, count(*) OVER (PARTITION BY event_id) AS n, hour >= ev.day_sec - 43200 AS late FROM ev JOIN hourly h ON h.channel = ev.channel AND h.hour BETWEEN ev.day_sec - 172800 AND ev.day_sec - 1)"
-_GINI = "gi AS (SELECT event_id, CASE WHEN count(*) > 1 AND sum(post_count) > 0 THEN greatest(0.0, least(1.0, (2.0 * sum(k * post_count) - (count(*) + 1) * sum(post_count)) / (count(*) * sum(post_count)))) ELSE 0.0 END AS gini FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY post_count) AS k FROM pre) GROUP BY event_id)"
+_GINI = "gi AS (SELECT event_id, CASE WHEN count(*) > 1 AND sum(post_count) > 0 THEN greatest(0.0, least(1.0, (2.0 * sum(k * post_count) - (count(*) + 1) * sum(post_count)) / (count(*) * sum(post_count)))) ELSE 0.0 END AS gini FROM (SELECT event_id, unique_authors AS post_count, row_number() OVER (PARTITION BY event_id ORDER BY unique_authors) AS k FROM pre) GROUP BY event_id)"
 _ACC = "ac AS (SELECT event_id, CASE WHEN count(*) > 3 THEN ((max(post_count) FILTER (i = n - 1) - max(post_count) FILTER (i = n - 2)) - (max(post_count) FILTER (i = 1) - max(post_count) FILTER (i = 0))) / (count(*) - 2)::double ELSE 0.0 END AS acceleration FROM pre GROUP BY event_id)"
-_HALF = "hr AS (SELECT event_id, avg(post_count) FILTER (i >= n // 2) / greatest(coalesce(avg(post_count) FILTER (i < n // 2), 0.0), 1.0) AS volume_ratio FROM pre GROUP BY event_id)"
+_HALF = "hr AS (SELECT event_id, CASE WHEN count(*) > 1 THEN avg(post_count) FILTER (i >= n // 2) / greatest(avg(post_count) FILTER (i < n // 2), 1.0) ELSE 1.0 END AS volume_ratio FROM pre GROUP BY event_id)"
 
 
 def _pre(spark, sf_dir):
@@ -263,34 +277,27 @@ _FEATURES = f"{_PRE}, {_GINI}, {_ACC}, {_HALF}, pf AS (SELECT event_id, CASE WHE
 
 @C.add(sql(_FEATURES, "SELECT event_id, round(trend, 6) AS trend, round(score_trend, 6) AS score_trend, round(author_growth, 6) AS author_growth, round(mean_activity, 6) AS mean_activity, round(std_activity, 6) AS std_activity, peak_activity, round(mean_authors, 6) AS mean_authors, round(mean_score, 6) AS mean_score, n_hours, 0.0::double AS z_mean, round(CASE WHEN std_activity > 0 THEN (peak_activity - mean_activity) / greatest(std_activity, 1.0) ELSE 0.0 END, 6) AS z_max, round(cross_posting_rate, 6) AS cross_posting_rate, round(gini::double, 6) AS gini, round(acceleration, 6) AS acceleration, round(volume_ratio, 6) AS volume_ratio FROM pf JOIN cr USING (event_id) JOIN gi USING (event_id) JOIN ac USING (event_id) JOIN hr USING (event_id)"))
 def precursor_features(spark, sf_dir):
-    return feats.precursor_features(catalogue(spark), hours12(spark, sf_dir))
-
-
-_FEW = f"{catalogue_sql()}, few AS (SELECT * FROM catalogue WHERE event_id <= 3)"
-
-
-@C.add(sql(f"{DETECT12}, {_FEW}, near AS (SELECT day_sec + d * 86400 AS day FROM few, (SELECT unnest(range(-3, 4)) AS d))", "SELECT channel, hour FROM hourly WHERE hour - hour % 86400 NOT IN (SELECT day FROM near) ORDER BY (hour // 3600 * 7919 + length(channel) * 104729) % 10007, channel, hour LIMIT 9"))
-def negative_candidates(spark, sf_dir):
-    return feats.negative_candidates(hours12(spark, sf_dir), catalogue(spark).where("event_id <= 3"))
+    return feats.precursor_features(catalogue(spark), stored(hours12(spark, sf_dir)))
 
 
 @C.add(sql(f"{DETECT12}, {catalogue_sql()}, near AS (SELECT day_sec + d * 86400 AS day FROM catalogue, (SELECT unnest(range(-3, 4)) AS d)), ranked AS (SELECT channel, hour, row_number() OVER (ORDER BY (hour // 3600 * 7919 + length(channel) * 104729) % 10007, channel, hour) AS n FROM hourly WHERE hour - hour % 86400 NOT IN (SELECT day FROM near))", "SELECT channel, hour FROM ranked WHERE n <= 3 * (SELECT count(*) FROM catalogue)"))
-def negative_candidates_all(spark, sf_dir):
+def negative_candidates(spark, sf_dir):
     """Away from every event of the catalogue, three quiet hours for each."""
     return feats.negative_candidates(hours12(spark, sf_dir), catalogue(spark))
 
 
 def _matrix(spark, sf_dir):
-    wins, hours = stored(windows12(spark, sf_dir)), hours12(spark, sf_dir)
+    wins, hours = detected(spark, sf_dir)
+    wins = stored(wins)
     t = texts.window_texts(wins, activity.texts(spark, sf_dir), -86400, 86400)
-    ent = texts.entity_features(texts.entity_counts(texts.entities(t)))
+    ent = texts.entity_features(texts.entity_totals(texts.entities(t)))
     return feats.window_matrix(wins, ent, texts.sentiment_stats(texts.sentiment(t)), texts.dominant_topic(_assigned(spark, sf_dir), wins), rollup.channel_volume(hours), labels.match_first(wins, catalogue(spark)))
 
 
 _MATRIX = (
     f"{DETECT12}, {VOLUME}, {_ASSIGNED.split(DETECT12 + ', ')[1]}, nt AS (SELECT window_id, t.text_id, t.text FROM near JOIN good t USING (text_id)), "
-    + _COUNTS.split(_TEXT + ", ")[1].replace("SELECT channel AS window_id, text_id, unnest", "SELECT window_id, text_id, unnest").replace("FROM good)", "FROM nt)")
-    + f", ef AS (SELECT window_id, sum(n)::bigint AS entity_count, count(DISTINCT entity_text)::bigint AS unique_entities, coalesce(sum(n) FILTER (entity_label = 'PERSON'), 0)::bigint AS persons, coalesce(sum(n) FILTER (entity_label = 'ORG'), 0)::bigint AS orgs FROM counts GROUP BY window_id), sc AS ({_S.replace('{t}', 'nt')}), ss AS (SELECT window_id, avg(score) AS mean_sentiment, stddev_pop(score) AS std_sentiment FROM sc GROUP BY window_id), dt AS (SELECT window_id, count(*) FILTER (topic <> -1)::bigint AS k FROM cnt GROUP BY window_id), {catalogue_sql()}, ev AS (SELECT event_id, day_sec, category, unnest(string_split(relevant_channels, '|')) AS channel FROM catalogue), mt AS (SELECT window_id, event_id, category FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY event_id) AS r FROM wins JOIN ev USING (channel) WHERE window_start <= day_sec + 86400 AND window_end >= day_sec - 86400) WHERE r = 1)"
+    + _COUNTS.split(_TEXT + ", ")[1].replace("SELECT channel AS window_id, text_id, string_split", "SELECT window_id, text_id, string_split").replace("FROM good)", "FROM nt)")
+    + f", ef AS (SELECT window_id, sum(n)::bigint AS entity_count, count(DISTINCT entity_text)::bigint AS unique_entities, coalesce(sum(n) FILTER (entity_label = 'PERSON'), 0)::bigint AS persons, coalesce(sum(n) FILTER (entity_label = 'ORG'), 0)::bigint AS orgs FROM c0 GROUP BY window_id), sc AS ({_S.replace('{t}', 'nt')}), ss AS (SELECT window_id, avg(score) AS mean_sentiment, stddev_pop(score) AS std_sentiment FROM sc GROUP BY window_id), dt AS (SELECT window_id, count(*) FILTER (topic <> -1)::bigint AS k FROM cnt GROUP BY window_id), {catalogue_sql()}, ev AS (SELECT event_id, day_sec, category, unnest(string_split(relevant_channels, '|')) AS channel FROM catalogue), mt AS (SELECT window_id, event_id, category FROM (SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY event_id) AS r FROM wins JOIN ev USING (channel) WHERE window_start <= day_sec + 86400 AND window_end >= day_sec - 86400) WHERE r = 1)"
 )
 
 
@@ -321,9 +328,10 @@ def loocv(spark, sf_dir):
     return learning.cross_validate(rows, _F, "window_id", 0, trees=10, fold_col="event_id").select("window_id", "label", "prediction")
 
 
-def _sustain(spark, sf_dir):
-    wins, hours = stored(windows12(spark, sf_dir)), hours12(spark, sf_dir)
-    rows = feats.early_features(wins, hours).join(feats.sustain_label(wins, hours, min_streak=2), "window_id").join(wins.select("window_id", "window_start"), "window_id")
+def _sustain(spark, sf_dir, min_streak=24):
+    wins, hours = detected(spark, sf_dir)
+    wins = stored(wins)
+    rows = _early(spark, sf_dir, wins, hours).join(feats.sustain_label(wins, hours, min_streak=min_streak), "window_id").join(wins.select("window_id", "window_start"), "window_id")
     return stored(rows.withColumn("label", (F.col("sustain_label") == "sustained").cast("double")))
 
 
@@ -331,23 +339,30 @@ _E = ["velocity", "author_diversity", "concurrent_channels", "sentiment_intensit
 
 
 @C.add()
-def sustain_rf(spark, sf_dir):
-    rows = _sustain(spark, sf_dir)
+def sustain_rf(spark, sf_dir, min_streak=24):
+    """Every window by the model of the earlier three quarters."""
+    rows = _sustain(spark, sf_dir, min_streak)
     train, _ = learning.time_split(rows, "window_start")
-    model = learning.forest(_E, "label", 50, 6, scale=True, weight="weight").fit(learning.balanced_weights(train, "label"))
-    return model.transform(rows).select("window_id", "label", "prediction")
+    return learning.predicted(train, rows, _E, 300, 10, True, True).select("window_id", "label", "prediction", "probability")
 
 
 @C.add()
-def importance(spark, sf_dir):
-    rows = _sustain(spark, sf_dir)
-    return spark.createDataFrame(learning.importance(learning.forest(_E, "label", 50, 6).fit(rows), _E), "feature string, importance double")
+def importance(spark, sf_dir, min_streak=24):
+    """By a model of all windows; zeros where all have one label."""
+    rows = _sustain(spark, sf_dir, min_streak)
+    several = rows.select("label").distinct().count() > 1
+    found = learning.importance(learning.forest(_E, "label", 300, 10).fit(rows), _E) if several else [(f, 0.0) for f in sorted(_E)]
+    return spark.createDataFrame(found, "feature string, importance double")
 
 
 @C.add()
-def forecast_cv(spark, sf_dir):
+def forecast_cv(spark, sf_dir, min_streak=24):
     """Five-fold predictions of sustained windows from their first hours."""
-    return learning.cross_validate(_sustain(spark, sf_dir), _E, "window_id", 5, trees=10).select("window_id", "fold", "label", "prediction")
+    return learning.cross_validate(_sustain(spark, sf_dir, min_streak), _E, "window_id", 5, trees=100).select("window_id", "fold", "label", "prediction")
+
+
+for _f in (sustain_rf, importance, forecast_cv):
+    C.add(name=f"{_f.__name__}_2h")(partial(_f, min_streak=2))
 
 
 _PRED = "pr AS (SELECT toxic::bigint AS actual, (doc_id % 3 = 0)::bigint AS guess, (doc_id % 17) / 16.0::double AS score FROM labels WHERE toxic IS NOT NULL)"

@@ -10,7 +10,7 @@ from pulse.functions.stats import average_rank, t_pvalue
 from pulse.functions.storage import stored
 from pulse.operators import labels, profile, propagation, rollup
 from pulse.operators.intervals import near_pairs
-from pulse.plans.common import DETECT12, VOLUME, Catalogue, hours12, sql, windows12
+from pulse.plans.common import DETECT12, VOLUME, Catalogue, detected, hours12, sql, windows12
 from pulse.sources.activity import catalogue, catalogue_sql
 
 C = Catalogue()
@@ -28,8 +28,8 @@ typed AS (SELECT prof.*, CASE WHEN share_within > 0.5 THEN 'simultaneous' WHEN f
 
 
 def _members(spark, sf_dir, radius=6):
-    hours = hours12(spark, sf_dir)
-    wins = stored(windows12(spark, sf_dir))
+    wins, hours = detected(spark, sf_dir)
+    wins = stored(wins)
     volume = rollup.channel_volume(hours)
     return propagation.members(wins, propagation.clusters(wins, radius), volume), volume
 
@@ -75,12 +75,44 @@ for _f in (event_clusters, cluster_profile, propagation_type, cluster_offsets, l
     C.sql[f"{_f.__name__}_48h"] = C.sql[_f.__name__].replace(_PAIRS6, _PAIRS)
 
 
+_PROFILE48 = _PROFILE.replace(_PAIRS6, _PAIRS)
+_TOP = f"{_PROFILE48}, top AS (SELECT cluster_id FROM typed ORDER BY num_windows DESC, cluster_id LIMIT 10)"
+
+
+def _largest(rows):
+    return rows.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster_id").limit(10).select("cluster_id")
+
+
+@C.add(sql(_TOP, "SELECT a, b, cluster_id FROM pairs JOIN clusters ON window_id = a WHERE cluster_id IN (SELECT cluster_id FROM top)"))
+def largest_cluster_edges(spark, sf_dir):
+    """The graph of the ten largest clusters."""
+    wins = stored(windows12(spark, sf_dir))
+    pairs, found = near_pairs(wins, 48 * 3600), stored(propagation.clusters(wins))
+    return pairs.join(found.withColumnRenamed("window_id", "a"), "a").join(F.broadcast(_largest(found)), "cluster_id", "left_semi").select("a", "b", "cluster_id")
+
+
+@C.add(sql(_TOP, "SELECT * FROM (SELECT cluster_id, window_id, channel, total_posts, round((window_start - min(window_start) OVER (PARTITION BY cluster_id)) / 3600.0::double, 6) AS offset_hours FROM members) WHERE cluster_id IN (SELECT cluster_id FROM top)"))
+def largest_cluster_offsets(spark, sf_dir):
+    rows = stored(_members(spark, sf_dir, 48)[0])
+    return propagation.offsets(rows).join(F.broadcast(_largest(rows)), "cluster_id", "left_semi")
+
+
+@C.add(sql(_PROFILE48, "SELECT cluster_id, window_id, row_number() OVER (PARTITION BY cluster_id ORDER BY window_start, channel, window_id)::bigint AS place FROM members"))
+def cluster_order(spark, sf_dir):
+    return propagation.order_of(_members(spark, sf_dir, 48)[0])
+
+
+@C.add(sql(_PROFILE48, "SELECT ((first_detection // 86400 + 3) % 7 >= 5)::bigint AS is_weekend, count(*)::bigint AS n, round(avg(total_duration_hours), 6) AS avg_propagation_hours, round(avg(num_channels), 6) AS avg_num_channels FROM typed GROUP BY 1"))
+def weekend_propagation(spark, sf_dir):
+    return propagation.by_weekend(propagation.profile(*_members(spark, sf_dir, 48)))
+
+
 _SERIES = f"{DETECT12}, series AS (SELECT w.window_id, w.window_start, w.window_end, h.hour, h.post_count, h.unique_authors, h.mean_score FROM wins w JOIN hourly h ON h.channel = w.channel AND h.hour BETWEEN w.window_start - 86400 AND w.window_end + 259200)"
 _SCALED = f"{_SERIES}, arr AS (SELECT window_id, list(post_count::double ORDER BY hour) AS v FROM series GROUP BY window_id), norm AS (SELECT window_id, v, list_min(v) AS lo, list_max(v) AS hi FROM arr), scaled AS (SELECT *, CASE WHEN hi - lo >= 1e-9 THEN list_transform(v, lambda x: (x - lo) / (hi - lo)) END AS s FROM norm)"
 
 
 def _series(spark, sf_dir):
-    return profile.series(windows12(spark, sf_dir), hours12(spark, sf_dir))
+    return profile.series(*detected(spark, sf_dir))
 
 
 @C.add(sql(_SERIES, "SELECT window_id, hour, post_count, unique_authors, round(mean_score, 6) AS mean_score FROM series"))
@@ -109,7 +141,7 @@ _PEAKS = f"""{_SCALED}, pk AS (SELECT *, list_position(s, list_max(s)) AS p FROM
 @C.add(
     sql(
         _PEAKS,
-        "SELECT window_id, (p - 1)::bigint AS peak_index, greatest(p - 25, 0)::bigint AS time_to_peak, coalesce(list_min(list_filter(list_transform(range(1, len(s) - p + 1), lambda i: CASE WHEN s[p + i] <= s[p] / 2 THEN i END), lambda i: i IS NOT NULL)), len(s) - p)::bigint AS half_decay, "
+        "SELECT window_id, (p - 1)::bigint AS peak_index, greatest(p - 25, 0)::bigint AS time_to_peak, list_min(list_filter(list_transform(range(1, len(s) - p + 1), lambda i: CASE WHEN s[p + i] <= s[p] / 2 THEN i END), lambda i: i IS NOT NULL))::bigint AS half_decay, "
         "len(list_filter(s[25:], lambda x: x >= greatest(2 * list_avg(s[1:24]), 0.3)))::bigint AS sustained FROM pk",
     )
 )
@@ -131,7 +163,7 @@ def shape_distribution(spark, sf_dir):
 
 
 def _joined(spark, sf_dir):
-    wins, hours = windows12(spark, sf_dir), hours12(spark, sf_dir)
+    wins, hours = detected(spark, sf_dir)
     e = profile.engagement(profile.series(wins, hours)).join(wins.select("window_id", "peak_z"), "window_id")
     return e.where(F.col("post_spike_avg_score") > 0)
 
@@ -151,11 +183,19 @@ def corr_pearson_p(spark, sf_dir):
 @C.add(sql(f"{_ENG}, e AS (SELECT round(peak_z, 9) AS peak_z, round(post_spike_avg_score, 9) AS post_spike_avg_score FROM joined WHERE post_spike_avg_score > 0), ranks AS (SELECT rank() OVER (ORDER BY peak_z) + (count(*) OVER (PARTITION BY peak_z) - 1) / 2.0 AS rx, rank() OVER (ORDER BY post_spike_avg_score) + (count(*) OVER (PARTITION BY post_spike_avg_score) - 1) / 2.0 AS ry FROM e)", "SELECT count(*)::bigint AS n, round(corr(rx, ry), 6) AS rho FROM ranks"))
 def corr_spearman(spark, sf_dir):
     """Ties are values that are equal to nine places, so that the order of sums doesn't part them."""
-    e = _joined(spark, sf_dir).select("window_id", *[F.round(c, 9).alias(c) for c in ("peak_z", "post_spike_avg_score")])
+    e = stored(_joined(spark, sf_dir).select("window_id", *[F.round(c, 9).alias(c) for c in ("peak_z", "post_spike_avg_score")]))
     r = average_rank(average_rank(e, "peak_z", "rx"), "post_spike_avg_score", "ry")
     return r.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
 
 
+@C.add()
+def corr_spearman_p(spark, sf_dir):
+    """With the two-sided p; both null for five windows or fewer."""
+    one = corr_spearman(spark, sf_dir).withColumn("rho", F.when(F.col("n") > 5, F.col("rho")))
+    t = F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))
+    return one.select("n", "rho", t_pvalue(t, (F.col("n") - 2).cast("double")).alias("p"))
+
+
 @C.add(sql(_ENG, "SELECT round(regr_slope(post_spike_avg_score, peak_z), 6) AS slope, round(regr_intercept(post_spike_avg_score, peak_z), 6) AS intercept FROM joined WHERE post_spike_avg_score > 0"))
 def ols_line(spark, sf_dir):
     return _joined(spark, sf_dir).agg(F.regr_slope("post_spike_avg_score", "peak_z").alias("slope"), F.regr_intercept("post_spike_avg_score", "peak_z").alias("intercept"))
@@ -184,6 +224,15 @@ def match_band(spark, sf_dir):
     return labels.match_band(windows12(spark, sf_dir), catalogue(spark))
 
 
+_ML = f"{_ENG}, {_EV}"
+
+
+@C.add(sql(_ML, "SELECT window_id, w.channel, round(w.peak_z, 6) AS peak_z, round(mean_z, 6) AS mean_z, round(duration_hours, 6) AS duration_hours, anomaly_hours, peak_post_count, round(mean_post_count, 6) AS mean_post_count, (window_start // 3600) % 24 AS hour_of_day, (window_start // 86400 + 3) % 7 AS day_of_week, ((window_start // 86400 + 3) % 7 >= 5)::bigint AS is_weekend, round(post_spike_avg_score, 6) AS post_spike_avg_score, round(post_spike_unique_authors, 6) AS post_spike_unique_authors, round(baseline_avg_score, 6) AS baseline_avg_score, round(CASE WHEN baseline_avg_score > 0 THEN post_spike_avg_score / baseline_avg_score END, 6) AS engagement_ratio, event_id, category, (duration_hours > 12)::bigint AS sustained FROM wins w JOIN eng USING (window_id) JOIN ev ON ev.channel = w.channel AND abs(window_start // 86400 - day_sec // 86400) <= 2"))
+def labelled_matrix(spark, sf_dir):
+    wins, hours = detected(spark, sf_dir)
+    return labels.labelled_matrix(wins, profile.engagement(profile.series(wins, hours)), catalogue(spark))
+
+
 _COVER = f"{DETECT12}, {_EV}, met AS (SELECT event_id, count(*)::bigint AS n_windows, count(DISTINCT channel)::bigint AS n_channels, max(peak_z) AS max_peak_z FROM ev JOIN wins USING (channel) WHERE window_start <= day_sec + 86400 AND window_end >= day_sec - 86400 GROUP BY event_id), covered AS (SELECT event_id, name, category, n_windows IS NOT NULL AS matched, coalesce(n_windows, 0) AS n_windows, coalesce(n_channels, 0) AS n_channels, round(max_peak_z, 6) AS max_peak_z FROM catalogue LEFT JOIN met USING (event_id))"
 
 

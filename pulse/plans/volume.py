@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulse.functions.calendar import month_of
+from pulse.functions.stats import bernoulli
 from pulse.operators import anomaly, rollup, temporal
 from pulse.plans.common import ACT5, ACT12, DETECT5, DETECT12, HOURLY, HOURLY_MIXED, HOURLY_TYPED, MARKED, SCORED, VOLUME, WINDOWS, Catalogue, hours5, hours12, sql, windows5, windows12
 from pulse.sources import activity
@@ -171,3 +172,10 @@ def peak_slot(spark, sf_dir):
 @C.add(sql(f"{DETECT5}", "SELECT channel, count(*)::bigint AS n FROM wins GROUP BY channel ORDER BY n DESC, channel LIMIT 3"))
 def top_window_channels(spark, sf_dir):
     return windows5(spark, sf_dir).groupBy("channel").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "channel").limit(3)
+
+
+@C.add()
+def z_sample(spark, sf_dir):
+    """A report: about 500,000 of the hours with their z, for a histogram."""
+    z = anomaly.rolling_z(hours12(spark, sf_dir)).select("channel", "hour", "z")
+    return bernoulli(z, 500_000, ["channel", "hour"])

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulse.plans import content, events, volume
+from pulse.plans import content, events, forecast, volume
 
-CATALOGUES = (volume.C, events.C, content.C)
+CATALOGUES = (volume.C, events.C, content.C, forecast.C)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

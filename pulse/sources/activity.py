@@ -62,11 +62,24 @@ CATALOGUE = (
 )
 
 
-def catalogue(spark: SparkSession) -> DataFrame:
-    rows = [(i, FIRST + (d - 1) * 86400, n, c, ch) for i, d, n, c, ch in CATALOGUE]
+#: Another whole catalogue, for the forecast: its events are close together, so that the tables' month has quiet days.
+FORECAST_CATALOGUE = (
+    (1, 5, "launch", "technology", "ch0|ch3"),
+    (2, 6, "final", "sports", "ch1|ch4|ch7"),
+    (3, 6, "storm", "breaking_news", "ch2"),
+    (4, 7, "verdict", "politics", "ch5|ch6"),
+    (5, 8, "premiere", "entertainment", "ch8|ch9"),
+    (6, 8, "outage", "technology", "ch10|ch11|ch0"),
+    (7, 27, "transfer", "sports", "ch1|ch2"),
+    (8, 28, "quake", "breaking_news", "ch3|ch4|ch5"),
+)
+
+
+def catalogue(spark: SparkSession, known: tuple = CATALOGUE) -> DataFrame:
+    rows = [(i, FIRST + (d - 1) * 86400, n, c, ch) for i, d, n, c, ch in known]
     return spark.createDataFrame(rows, "event_id bigint, day_sec bigint, name string, category string, relevant_channels string")
 
 
-def catalogue_sql() -> str:
-    rows = ", ".join(f"({i}::bigint, {FIRST + (d - 1) * 86400}::bigint, '{n}', '{c}', '{ch}')" for i, d, n, c, ch in CATALOGUE)
-    return f"catalogue(event_id, day_sec, name, category, relevant_channels) AS (VALUES {rows})"
+def catalogue_sql(known: tuple = CATALOGUE, name: str = "catalogue") -> str:
+    rows = ", ".join(f"({i}::bigint, {FIRST + (d - 1) * 86400}::bigint, '{n}', '{c}', '{ch}')" for i, d, n, c, ch in known)
+    return f"{name}(event_id, day_sec, name, category, relevant_channels) AS (VALUES {rows})"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,10 +25,7 @@ def read_posts(spark: SparkSession, base: str, columns: list[str], months: list[
     """A parquet tree partitioned by yyyy and mm: only the columns, months and channels asked for are read."""
     df = spark.read.parquet(base)
     if months is not None:
-        wanted = F.lit(False)
-        for y, m in months:
-            wanted = wanted | ((F.col("yyyy") == y) & (F.col("mm") == m))
-        df = df.where(wanted)
+        df = df.where(_in_months(months))
     if channels is not None:
         df = df.where(F.col(channel_col).isin(channels))
     return df.select(*columns)
@@ -62,6 +60,36 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def write_months(df: DataFrame, path: str) -> None:
     """Replaces the months that df holds, and no others."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("yyyy", "mm").parquet(path)
+    spark = df.sparkSession
+    mark = spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")  # which a dynamic overwrite doesn't leave
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, True).close()
+
+
+def cached_texts(spark: SparkSession, path: str, texts: Callable[[], DataFrame], months: list[tuple[int, int]], at: str = "sec") -> DataFrame:
+    """Texts of the months asked for, from tables by month below path.
+
+    Months that are not there yet are taken from texts() and written, in one
+    pass; a month is there once its folder's mark is, also when it has no text.
+    """
+    hadoop, Path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    mark = lambda y, m: Path(f"{path}/done/{y:04d}-{m:02d}")
+    fs = Path(path).getFileSystem(hadoop)
+    missing = [ym for ym in sorted(set(months)) if not fs.exists(mark(*ym))]
+    if missing:
+        when = F.timestamp_seconds(F.col(at))
+        new = texts().withColumn("yyyy", F.year(when)).withColumn("mm", F.month(when))
+        write_months(new.where(_in_months(missing)), f"{path}/months")
+        for ym in missing:
+            fs.create(mark(*ym)).close()
+    found = read_optional(spark, f"{path}/months", T.StructType([*texts().schema.fields, T.StructField("yyyy", T.IntegerType()), T.StructField("mm", T.IntegerType())]))
+    return found.where(_in_months(months)).drop("yyyy", "mm")
+
+
+def _in_months(months: list[tuple[int, int]]):
+    wanted = F.lit(False)
+    for y, m in months:
+        wanted = wanted | ((F.col("yyyy") == y) & (F.col("mm") == m))
+    return wanted
 
 
 def is_done(spark: SparkSession, *paths: str) -> bool:

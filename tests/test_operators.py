@@ -98,6 +98,14 @@ def test_shapes():
     assert profile.shape([1.0] * 24 + [1 + 0.1 * i for i in range(20)] + [30.0, 1.0, 1.0]) == "slow_burn"
 
 
+def test_a_peak_without_a_fall_to_half_is_not_sharp(spark):
+    late = [1.0] * 25 + [5.0, 10.0, 9.0, 8.0, 7.0, 6.9]
+    assert profile.shape(late) == "sustained_plateau"
+    df = spark.createDataFrame([("w", late), ("v", [*late, 1.0])], "window_id string, v array<double>")
+    got = {r["window_id"]: (r["peak_index"], r["time_to_peak"], r["half_decay"]) for r in profile.peak_features(profile.normalised(df)).collect()}
+    assert got == {"w": (26, 2, None), "v": (26, 2, 5)}
+
+
 def test_peaks_by_hand():
     x = np.array([0, 1, 0, 0, 2, 2, 2, 0, 0, 1.5, 1.4, 1.45, 0])
     assert profile.find_peaks(x).tolist() == [1, 5, 9]
@@ -129,10 +137,147 @@ def test_average_rank_shares_ties(spark):
 
 
 def test_cleaning_order(spark):
-    rows = [("see [x](http://a.b) now (ok) end",), ("/r/café x",), (None,), ("[removed]",)]
+    rows = [("see [x](http://a.b) now (ok) end",), ("/r/café x",), (None,), ("[removed]",), ("5 km per hour/day and/or/both u/me /u/you_1 r/a",)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(clean(F.col("t"))).collect()]
-    assert got == ["see x end", "x", "", ""]
+    assert got == ["see x end", "x", "", "", "5 km per hour/day and/or/both u/me r/a"]
+
+
+def test_half_ratio_and_concentration_by_hand(spark):
+    from pulse.operators import features
+
+    rows = [(e, i, p, a) for e, ps in ((1, [(7, 3)]), (2, [(1, 1), (3, 1)]), (3, [(0, 0), (0, 0), (6, 9)])) for i, (p, a) in enumerate(ps)]
+    df = spark.createDataFrame(rows, "event_id bigint, i bigint, post_count bigint, unique_authors bigint")
+    assert {r[0]: r[1] for r in features.half_ratio(df).collect()} == {1: 1.0, 2: 3.0, 3: 3.0}
+    assert {r[0]: r[1] for r in features.gini_of(df).collect()} == pytest.approx({1: 0.0, 2: 0.0, 3: 2 / 3})
+
+
+def test_no_channel_counts_where_the_own_one_is_silent(spark):
+    from pulse.operators import features
+
+    hours = [("a", h, 0) for h in range(3)] + [("b", h, 10) for h in range(3)] + [("c", h, 1) for h in range(5)] + [("d", h, 1) for h in range(5)] + [("e", 4, 50)]
+    df = spark.createDataFrame([(c, h * H, n, n, 1.0) for c, h, n in hours], "channel string, hour bigint, post_count bigint, unique_authors bigint, mean_score double")
+    w = spark.createDataFrame([("wa", "a", 0), ("wc", "c", 0), ("wd", "d", 9 * H)], "window_id string, channel string, window_start bigint")
+    assert {r[0]: r[1] for r in features.concurrent_channels(w, df).collect()} == {"wa": 0, "wc": 1, "wd": 0}  # of 0, 1, 10, 50 only the last is over twice the median 5.5
+
+
+def test_sentiment_turns_round_after_a_negator(spark):
+    from pulse.operators import texts
+
+    rows = [("a good day",), ("not good, no harm",), ("never bad and not awful",), ("bad but lovely",), ("", ), ("x " * 4000 + "happy",)]
+    got = [(r["pos"], r["neg"], r["score"]) for r in texts.sentiment(spark.createDataFrame(rows, "text string")).collect()]
+    assert got == [(1, 0, 1.0), (0, 1, -1.0), (2, 0, 1.0), (1, 1, 0.0), (0, 0, 0.0), (1, 0, 1.0)]
+
+
+def test_entities_by_the_words_around_them(spark):
+    from pulse.operators import texts
+
+    df = spark.createDataFrame([("w", 1, "said Jane Doe in Ulm, by World Bank near Old City and It. Then " + "x " * 3000 + "with Max")], "window_id string, text_id bigint, text string")
+    got = sorted((r["entity_text"], r["entity_label"]) for r in texts.entities(df).collect())
+    assert got == [("Jane Doe", "PERSON"), ("Max", "PERSON"), ("Old City", "GPE"), ("Ulm", "GPE"), ("World Bank", "ORG")]
+
+
+def test_a_failing_model_says_so(spark):
+    from pulse.operators import texts
 
+    df = spark.createDataFrame([("w", 1, "one")], "window_id string, text_id bigint, text string")
+    assert [tuple(r)[2:] for r in texts.score_with(df, lambda cs: 1 / 0).collect()] == [(0.0, True)]
+
+
+def test_binary_metrics_by_hand(spark):
+    rows = [(0.9, 1.0, 1.0), (0.8, 0.0, 1.0), (0.8, 1.0, 1.0), (0.3, 0.0, 0.0), (0.1, 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "probability double, label double, prediction double")
+    r = learning.binary_metrics(df).first()
+    assert (r["n"], r["positives"]) == (5, 3)
+    assert r["auc"] == pytest.approx((2 + 1.5 + 0) / 6) and r["average_precision"] == pytest.approx((1 / 1 + 2 / 3 + 3 / 5) / 3)
+    assert (r["precision"], r["recall"], r["f1"]) == pytest.approx((2 / 3, 2 / 3, 2 / 3))
+    one = learning.binary_metrics(df.where("label = 0")).first()
+    assert (one["auc"], one["average_precision"], one["precision"], one["recall"], one["f1"]) == (None, None, 0.0, 0.0, 0.0)
+
+
+def test_unlabelled_windows_get_the_category_of_their_kind(spark):
+    rows = [(f"w{i}", float(i % 2), float(i), ("b", "a")[i % 2] if i < 24 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "window_id string, x double, y double, category string")
+    got = {r["window_id"]: r for r in learning.predict_unlabelled(df, ["x", "y"], "window_id", trees=20).collect()}
+    assert len(got) == 40 and all(got[f"w{i}"]["predicted_category"] == ("b", "a")[i % 2] and got[f"w{i}"]["is_labeled"] == (i < 24) for i in range(40))
+    assert learning.predict_unlabelled(df.where("y < 5"), ["x", "y"], "window_id").count() == 0
+
+
+def test_splits_fall_back_to_strata(spark):
+    df = spark.createDataFrame([(f"i{i}", i, float(i < 10)) for i in range(40)], "window_id string, at bigint, label double")
+    train, test = learning.time_or_stratified_split(df, "at", "label", "window_id")
+    assert train.count() == 32 and test.where("label = 1").count() == 2 and not {r[0] for r in train.select("window_id").collect()} & {r[0] for r in test.select("window_id").collect()}
+
+
+def test_scopes_leave_nothing_behind(spark):
+    import os
+
+    from pulse.functions import storage
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(base))
+    with storage.scope():
+        inner = storage.stored(spark.range(3))
+        with storage.scope():
+            storage.stored(inner)
+            kept = storage.lasting(inner.where("id > 0"))
+        assert len(set(os.listdir(base)) - before) == 2 and kept.count() == 2
+        with storage.scope():
+            edges = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "src bigint, dst bigint")
+            assert connected_components(edges).where("component = 1").count() == 3
+    assert set(os.listdir(base)) == before
+
+
+def test_readers_and_sinks(spark, tmp_path):
+    from pulse.sources import readers
+
+    rows = [(2024, 1, "a", 1.0), (2024, 2, "a", 2.0), (2024, 2, "b", 3.0)]
+    df = spark.createDataFrame(rows, "yyyy int, mm int, channel string, score double")
+    base = str(tmp_path / "posts")
+    readers.write_months(df, base)
+    readers.write_months(spark.createDataFrame([(2024, 2, "c", 9.0)], df.schema), base)
+    got = readers.read_posts(spark, base, ["channel", "score"])
+    assert sorted(map(tuple, got.collect())) == [("a", 1.0), ("c", 9.0)]
+    some = readers.read_posts(spark, base, ["score"], [(2024, 2)], ["c", "d"])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert some.columns == ["score"] and some.count() == 1 and "PartitionFilters: [" in plan and "PushedFilters: [" in plan and "ReadSchema: struct<channel:string,score:double>" in plan
+    assert readers.is_done(spark, base) and not readers.is_done(spark, base, str(tmp_path / "none"))
+    assert readers.read_optional(spark, str(tmp_path / "none"), df.schema).count() == 0 and readers.read_optional(spark, base, df.schema).count() == 2
+    readers.write_table(df, str(tmp_path / "two" / "t"))
+    assert readers.read_local_first(spark, "t", str(tmp_path / "one"), str(tmp_path / "two")).count() == 3
+    with pytest.raises(FileNotFoundError):
+        readers.read_local_first(spark, "u", str(tmp_path / "two"))
+    (tmp_path / "events.csv").write_text("event_id,date,name,category,relevant_channels\n1,2024-01-03,launch,technology,a|b\n")
+    event = readers.read_event_catalogue(spark, str(tmp_path / "events.csv")).first()
+    assert (event["event_id"], str(event["date"]), event["relevant_channels"]) == (1, "2024-01-03", "a|b")
+    assert readers.write_summary(df.where("channel = 'b'"), str(tmp_path / "out" / "s.json")) == {"yyyy": 2024, "mm": 2, "channel": "b", "score": 3.0}
+    assert readers.write_summary(df.limit(0), str(tmp_path / "s.json")) == {}
+
+
+def test_texts_by_month_are_read_from_their_source_once(spark, tmp_path):
+    from pulse.sources import readers
+
+    asked = []
+    jan, feb = 1704067200 + 3600, 1706745600 + 3600
+
+    def source():
+        asked.append(1)
+        return spark.createDataFrame([("a", jan, 1, "one"), ("a", feb, 2, "two")], "channel string, sec bigint, text_id bigint, text string")
+
+    path = f"file://{tmp_path}/texts"
+    assert [r["text"] for r in readers.cached_texts(spark, path, source, [(2024, 1)]).collect()] == ["one"]
+    assert {r["text"] for r in readers.cached_texts(spark, path, source, [(2024, 2), (2024, 3), (2024, 1)]).collect()} == {"one", "two"}
+    before = len(asked)
+    assert [r["text"] for r in readers.cached_texts(spark, path, source, [(2024, 2)]).collect()] == ["two"]
+    assert len(asked) == before + 1  # for the columns only
+
+
+def test_bernoulli_sample(spark):
+    from pulse.functions.stats import bernoulli
+
+    df = spark.range(2000)
+    got = bernoulli(df, 500, ["id"])
+    assert 400 < got.count() < 600 and got.collect() == bernoulli(df, 500, ["id"]).collect()
+    assert bernoulli(df, 5000, ["id"]).count() == 2000 and bernoulli(df.limit(0), 5, ["id"]).count() == 0
 
 def test_folds_are_stratified_and_stable(spark):
     df = spark.range(40).select(F.col("id").cast("string").alias("i"), (F.col("id") % 4 == 0).cast("int").alias("label"))
