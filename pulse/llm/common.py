@@ -10,9 +10,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.functions.storage import remove, shared_dir, stored
+from pulse.functions.storage import at_end, lasting, remove, scope, shared_dir, stored
 
-__all__ = ["claim", "remove", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_or_empty"]
+__all__ = ["at_end", "claim", "lasting", "remove", "scope", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_or_empty"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

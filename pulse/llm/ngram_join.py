@@ -14,7 +14,9 @@ are closest. What the hub doesn't settle goes in rounds. In a tile of which few
 sets are outside its largest component, all pairs of different components are
 checked; in a wider one each set is only checked against a few others, drawn
 anew in each round, and components are formed before the next. When a round
-brings no link, all pairs that are left are checked, so none is lost. A check
+brings no link, all pairs that are left are checked, so none is lost. A tile of
+very many sets is dealt out over parts, anew in each round, with a hub for each
+part; for the last pairs its parts meet two by two. A check
 compares hashed bitmap signatures: bits of one that the other lacks are elements
 that it lacks, which bounds the overlap from above; pairs that pass intersect
 their sorted arrays.
@@ -32,14 +34,17 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.common import claim, shared_dir, shuffle_partitions, slices, stored
+from pulse.llm.common import at_end, claim, lasting, remove, scope, shared_dir, shuffle_partitions, slices, stored
 from pulse.operators.graph import connected_components
 
 WORDS = 5
 PERCENT = 75
 COUNT_BITS = 22  # the table of counts has 2^22 slots, whatever the input
 CHUNK_BITS = 16  # and travels in chunks of 2^16
+MOST = 65535  # what a task counts at most for a slot
+SPLIT = 1 << 16  # a tile of more sets, by the table of counts, is dealt out over parts of about so many
 FILTER_BITS = 20
+FEW_IDS = 50_000  # so many document ids may be broadcast
 BLOCK = 1 << 20
 #: A set with over a 64th of all pairs is hot: there are 64 at most.
 HOT_SETS = 64
@@ -163,31 +168,36 @@ def common_elements(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def count_table(docs: DataFrame) -> np.ndarray:
-    """How many sets hold the shingles of each slot: 2^22 counts, summed chunk by chunk, so of one size for any input."""
+def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, sid and size of each row; then, chunk by chunk, how many of the sets hold the shingles of each of 2^22 slots."""
+    seen, kind = np.zeros(1 << COUNT_BITS, np.uint32), None
+    names = ["doc", "sid", "size", "chunk", "counts"]
+    for part, sets in blocks(batches):
+        kind, n = part.schema.field(0).type, part.num_rows
+        for s in sets:
+            seen[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] += 1
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+    for c, some in enumerate(np.split(seen, 1 << (COUNT_BITS - CHUNK_BITS)) if kind is not None else ()):
+        counts = np.minimum(some, MOST).astype(np.uint16).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([c], pa.int32()), pa.array([counts], pa.binary())], names)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << COUNT_BITS, np.uint32)
-        for _, sets in blocks(batches):
-            for s in sets:
-                seen[(s >> np.uint64(64 - COUNT_BITS)).astype(np.int64)] += 1
-        for c, part in enumerate(np.split(seen, 1 << (COUNT_BITS - CHUNK_BITS))):
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.minimum(part, 65535).astype(np.uint16).tobytes()], pa.binary())], ["chunk", "counts"])
+
+def count_table(chunks: DataFrame) -> np.ndarray:
+    """The sums of describe()'s counts, chunk by chunk: of one size for any input."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for c, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 total = totals.setdefault(c, np.zeros(1 << CHUNK_BITS, np.uint32))
-                total += np.frombuffer(x.as_py(), np.uint16)
-                np.minimum(total, 65535, out=total)
+                np.minimum(total, (1 << 32) - 1 - MOST, out=total)
+                total += np.frombuffer(x.as_buffer(), np.uint16)
         for c, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([total.astype(np.uint16).tobytes()], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
 
-    parts = docs.mapInArrow(count, "chunk int, counts binary").repartition(1 << (COUNT_BITS - CHUNK_BITS), "chunk").mapInArrow(add, "chunk int, counts binary")
-    table = np.zeros(1 << COUNT_BITS, np.uint16)
-    for r in parts.collect():
-        table[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(bytes(r["counts"]), np.uint16)
+    table = np.zeros(1 << COUNT_BITS, np.uint32)
+    for r in chunks.repartition(1 << (COUNT_BITS - CHUNK_BITS), "chunk").mapInArrow(add, "chunk int, counts binary").collect():
+        table[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(bytes(r["counts"]), np.uint32)
     return table
 
 
@@ -202,7 +212,7 @@ def rare_first(s: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """Columns and group starts of batches sorted by their first column; no group is cut."""
+    """Columns of batches sorted by their first two, and where the rows of each pair of these begin; no value of the first column is cut."""
     held: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
@@ -216,14 +226,27 @@ def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.nd
         done = [np.concatenate(x) for x in zip(*parts, strict=True)]
         held = [[c[cut:] for c in cols]]
         if len(done[0]):
-            yield done, starts_of(done[0])
+            yield done, starts_of(done[0], done[1])
     if held:
         done = [np.concatenate(x) for x in zip(*held, strict=True)]
-        yield done, starts_of(done[0])
+        yield done, starts_of(done[0], done[1])
+
+
+def starts_of(*keys: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ in a key from the row before."""
+    new = np.zeros(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.concatenate(([0], np.flatnonzero(new) + 1))
+
 
+def parts_of(shingles: np.ndarray, table: np.ndarray, split: int) -> np.ndarray:
+    """How many parts each shingle's tile is dealt out over."""
+    return table[(shingles.view(np.uint64) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.int64) // split + 1
 
-def starts_of(keys: np.ndarray) -> np.ndarray:
-    return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+
+def part_of(sid: np.ndarray, parts: np.ndarray, turn: int) -> np.ndarray:
+    return (mix(sid.view(np.uint64) ^ np.uint64(0xD1B54A32D192ED03 * (turn + 1) & (1 << 64) - 1)) % parts.astype(np.uint64)).astype(np.int32)
 
 
 def attach(pairs: DataFrame, sets: DataFrame, end: str, cols: list[str]) -> DataFrame:
@@ -236,14 +259,32 @@ def attach(pairs: DataFrame, sets: DataFrame, end: str, cols: list[str]) -> Data
     return out.unionByName(pairs.where(is_hot).join(F.broadcast(own.where(is_hot)), end)) if hot else out
 
 
-def sets_of(text: DataFrame, ids: DataFrame, parts: int, whole: bool) -> DataFrame:
-    """sid, size and signature, or with ``whole`` the sorted hashes, of the sets whose ids a filter of fixed size lets through; one row each, bucketed by id."""
+def by_id(sets: DataFrame, parts: int) -> DataFrame:
+    """Written with one row for each set, bucketed by its id, so that joins on it don't move it."""
+    spark = sets.sparkSession
+    table, folder = f"pulse_sets_{uuid.uuid4().hex}", shared_dir(spark)
+    at_end(lambda: remove(folder, spark))
+    at_end(lambda: spark.sql(f"DROP TABLE IF EXISTS {table}"))
+    sets.write.format("parquet").option("path", folder).bucketBy(parts, "sid").sortBy("sid").saveAsTable(table)
+    return spark.table(table)
+
+
+def sets_of(text: DataFrame, members: DataFrame, ids: DataFrame, parts: int, whole: bool) -> DataFrame:
+    """sid, size and signature, or with ``whole`` the sorted hashes, of the sets whose ids a filter of fixed size lets through; one row each, bucketed by id.
+
+    Few sets are made from one document each, found by a broadcast of their
+    ids; for more, all texts are gone through.
+    """
     spark = text.sparkSession
+    name = "items" if whole else "sig"
+    ids = stored(ids.select("sid").distinct())
+    if ids.count() <= FEW_IDS:
+        docs = members.join(ids.hint("broadcast"), "sid", "left_semi").groupBy("sid").agg(F.min("doc").alias("own")).select("own")
+        text = text.join(F.broadcast(docs), text["doc"].eqNullSafe(docs["own"]), "left_semi")
     slot = F.shiftrightunsigned(F.col("sid"), 64 - FILTER_BITS)
     wanted = np.zeros(1 << FILTER_BITS, bool)
     wanted[[r[0] for r in ids.select(slot.alias("slot")).distinct().collect()]] = True
     flags = spark.sparkContext.broadcast(np.packbits(wanted))
-    name = "items" if whole else "sig"
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = np.unpackbits(flags.value)
@@ -261,15 +302,15 @@ def sets_of(text: DataFrame, ids: DataFrame, parts: int, whole: bool) -> DataFra
                 ids, sizes, data = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], ["sid", "size", name])
 
-    table = f"pulse_sets_{uuid.uuid4().hex}"
     found = text.mapInArrow(keep, f"sid bigint, size int, {name} binary").repartition(parts, "sid")
-    found.dropDuplicates(["sid"]).write.format("parquet").option("path", shared_dir(spark)).bucketBy(parts, "sid").sortBy("sid").saveAsTable(table)
-    return spark.table(table)
+    return by_id(found.dropDuplicates(["sid"]), parts)
 
 
-def check(text: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def check(text: DataFrame, members: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids that are similar enough. sets has the signatures; arrays are made again for the pairs that pass."""
     pairs = stored(pairs)
+    if pairs.isEmpty():
+        return pairs
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,15 +329,17 @@ def check(text: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> D
                 ok.append(linked(common_elements(x, y), len(x), len(y), percent))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
+    if left.isEmpty():
+        return left
     ends = left.select(F.col("a").alias("sid")).unionByName(left.select(F.col("b").alias("sid")))
-    sets = sets_of(text, ends, shuffle_partitions(text.sparkSession), True)
+    sets = sets_of(text, members, ends, shuffle_partitions(text.sparkSession), True)
     return stored(attach(attach(left, sets, "b", ["items"]), sets, "a", ["items"]).mapInArrow(exact, "a bigint, b bigint"))
 
 
 def across(percent: int, turn: int, last: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile that no links join yet; of wide tiles, unless it is the last turn, some of them, and the tile's shingle."""
+    """Pairs of a tile's part that no links join yet. Unless it is the last turn, of wide ones only some, and a row with the shingle and the least and largest component, as of each part of a tile that has several."""
     share = np.log(100 / percent) / 2
-    for (h, size, sid, place, comp), starts in whole_groups(batches):
+    for (h, sub, parts, size, sid, place, comp), starts in whole_groups(batches):
         n = np.diff(np.append(starts, len(h)))
         size, place = size.astype(np.int64), place.astype(np.int64)
         left_over = size - place  # this shingle and those after it
@@ -312,11 +355,16 @@ def across(percent: int, turn: int, last: bool, batches: Iterator[pa.RecordBatch
             left.append(np.minimum(x, y))
             right.append(np.maximum(x, y))
 
-        for g in np.unique(np.repeat(np.arange(len(n)), n)[comp != np.repeat(comp[starts], n)]):
+        several = comp != np.repeat(comp[starts], n)
+        if not last:
+            for g in np.flatnonzero(parts[starts] > 1).tolist():
+                own = comp[starts[g] : starts[g] + n[g]]
+                wide.append((h[starts[g]], own.min(), own.max()))
+        for g in np.unique(np.repeat(np.arange(len(n)), n)[several]):
             a, end = int(starts[g]), int(starts[g] + n[g])
             outside = end - a - int(np.unique(comp[a:end], return_counts=True)[1].max())
             if not last and outside > NARROW:
-                wide.append(h[a])
+                wide.append((h[a], comp[a:end].min(), comp[a:end].max()))
                 order = a + np.lexsort((drawn[a:end], np.log(size[a:end]) // share))
                 for d in range(1, DRAWN + 1):
                     meet(order[:-d], order[d:])
@@ -330,11 +378,12 @@ def across(percent: int, turn: int, last: bool, batches: Iterator[pa.RecordBatch
 
 def pairs_of(left: list, right: list, wide: list) -> pa.RecordBatch:
     both = np.unique(np.stack([np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right)], 1), axis=0)
-    a, b, w = (pa.array(x, pa.int64()) for x in (both[:, 0].copy(), both[:, 1].copy(), np.array(wide, np.int64)))
-    more, none = len(w), pa.nulls(len(a), pa.int64())
+    pairs = [pa.array(both[:, k].copy(), pa.int64()) for k in range(2)]
+    marks = [pa.array(x, pa.int64()) for x in np.array(wide, np.int64).reshape(-1, 3).T]
     for x in (left, right, wide):
         x.clear()
-    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, pa.nulls(more, pa.int64())]) for x in (a, b)] + [pa.concat_arrays([none, w])], ["a", "b", "wide"])
+    none = lambda n: pa.nulls(n, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([x, none(len(marks[0]))]) for x in pairs] + [pa.concat_arrays([none(len(pairs[0])), x]) for x in marks], ["a", "b", "wide", "least", "most"])
 
 
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", percent: int = PERCENT) -> DataFrame:
@@ -348,14 +397,20 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
     one and get the same component if their texts do. Rows without an id have
     a null component unless a link leads to one with an id.
     """
+    with scope():
+        return lasting(_classes(docs, text_col, id_col, percent))
+
+
+def _classes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     text = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    table = spark.sparkContext.broadcast(count_table(text))
+    kind = docs.schema[id_col].dataType.simpleString()
+    described = stored(text.mapInArrow(describe, f"doc {kind}, sid bigint, size int, chunk int, counts binary"))
+    members = described.where("chunk IS NULL").select("doc", "sid", "size")
+    table = spark.sparkContext.broadcast(count_table(described.where("chunk IS NOT NULL").select("chunk", "counts")))
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sets in blocks(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32())], ["doc", "sid", "size"])
+    split = SPLIT
 
     def open_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each set that this task meets first, a row for each shingle of its prefix."""
@@ -374,23 +429,21 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
                     sizes.append(np.full(len(p), len(s), np.int32))
                     places.append(np.arange(len(p), dtype=np.int32))
             if hashes:
-                h = np.concatenate(hashes).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(places))], ["shingle", "size", "sid", "place"])
+                h, sid = np.concatenate(hashes).view(np.int64), np.concatenate(owners)
+                sub = part_of(sid, parts_of(h, table.value, split), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(sub), pa.array(np.concatenate(sizes)), pa.array(sid), pa.array(np.concatenate(places))], ["shingle", "part", "size", "sid", "place"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    members = stored(text.mapInArrow(describe, f"doc {kind}, sid bigint, size int"))
-    entries = text.mapInArrow(open_tiles, "shingle bigint, size int, sid bigint, place int")
+    entries = text.mapInArrow(open_tiles, "shingle bigint, part int, size int, sid bigint, place int")
     names = ["shingle", "size", "sid", "place", "hub"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of shingles that several sets hold, each with the hub of its tile and its band of sizes: the set with the fewest rarer shingles."""
-        for (h, size, sid, place), _ in whole_groups(batches):
-            new = np.ones(len(h), bool)  # rows are sorted by size and set: a set may come from several tasks
-            new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
-            h, size, sid, place = h[new], size[new].astype(np.int64), sid[new], place[new]
-            starts = starts_of(h)
+        for (h, sub, size, sid, place), _ in whole_groups(batches):
+            new = starts_of(h, sub, sid)  # rows are sorted by size and set: a set may come from several tasks
+            h, sub, size, sid, place = h[new], sub[new], size[new].astype(np.int64), sid[new], place[new]
+            starts = starts_of(h, sub)
             n = np.diff(np.append(starts, len(h)))
-            many = np.repeat(n > 1, n)
+            many = np.repeat((n > 1) | (parts_of(h[starts], table.value, split) > 1), n)
             far = size > np.repeat(size[starts], n) * 100 // percent
             bands = [starts]
             for g in np.unique(np.repeat(np.arange(len(n)), n)[far]):
@@ -403,22 +456,38 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
             if many.any():
                 yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(size[many].astype(np.int32)), pa.array(sid[many]), pa.array(place[many]), pa.array(hub[many])], names)
 
-    met = stored(entries.repartition(parts, "shingle").sortWithinPartitions("shingle", "size", "sid").mapInArrow(meet, "shingle bigint, size int, sid bigint, place int, hub bigint"))
+    met = stored(entries.repartition(parts, "shingle", "part").sortWithinPartitions("shingle", "part", "size", "sid").mapInArrow(meet, "shingle bigint, size int, sid bigint, place int, hub bigint"))
 
-    sigs = sets_of(text, met.select("sid"), parts, False)
+    sigs = sets_of(text, members, met, parts, False)
     # a hub is only tried on sets that meet it in a tenth of their tiles: what it leaves is looked at below
     often = F.col("n") >= 0.1 * (F.col("size") * (100 - percent) / 100)
     star = met.where("sid <> hub").groupBy(F.col("hub").alias("a"), F.col("sid").alias("b"), "size").agg(F.count(F.lit(1)).alias("n")).where(often).select("a", "b")
-    links = check(text, star, sigs, percent)
+    links = check(text, members, star, sigs, percent)
+    def deal(turn: int, last: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with its part of the tile in this turn; in the last one, with each pair of parts that it is in."""
+        for batch in batches:
+            h, sid = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            of = parts_of(h, table.value, split)
+            sub = part_of(sid, of, turn + 1).astype(np.int64)
+            if last and len(h):
+                row = np.repeat(np.arange(len(h)), of)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(of) - of, of)
+                sub, of = np.minimum(sub[row], other) * of[row] + np.maximum(sub[row], other), of[row]
+                batch = batch.take(pa.array(row))
+            c = batch.columns
+            yield pa.RecordBatch.from_arrays([c[0], pa.array(sub), pa.array(of), *c[1:]], ["shingle", "part", "parts", "size", "sid", "place", "component"])
+
     labels = connected_components(links, "a", "b")
     rest, turn, last = met.drop("hub"), 0, False
     while True:
         labelled = rest.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("shingle", "size", "sid", "place", F.coalesce("component", "sid").alias("component"))
-        tried = stored(labelled.repartition(parts, "shingle").sortWithinPartitions("shingle", "size", "sid").mapInArrow(partial(across, percent, turn, last), "a bigint, b bigint, wide bigint"))
-        found = check(text, tried.where("wide IS NULL").select("a", "b").distinct(), sigs, percent)
+        dealt = labelled.mapInArrow(partial(deal, turn, last), "shingle bigint, part bigint, parts bigint, size int, sid bigint, place int, component bigint")
+        dealt = dealt.repartition(parts, "shingle", "part").sortWithinPartitions("shingle", "part", "size", "sid")
+        tried = stored(dealt.mapInArrow(partial(across, percent, turn, last), "a bigint, b bigint, wide bigint, least bigint, most bigint"))
+        found = check(text, members, tried.where("wide IS NULL").select("a", "b").distinct(), sigs, percent)
         links = links.unionByName(found)
         labels = connected_components(links, "a", "b")
-        wide = tried.where("wide IS NOT NULL").select(F.col("wide").alias("shingle"))
+        wide = stored(tried.where("wide IS NOT NULL").groupBy(F.col("wide").alias("shingle")).agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("shingle"))
         if wide.isEmpty():
             break
         rest, turn, last = stored(rest.join(wide, "shingle", "left_semi")), turn + 1, found.isEmpty()
