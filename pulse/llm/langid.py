@@ -28,6 +28,7 @@ MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 BLOCK_BYTES = 1 << 20
 #: The model is fitted on about so many documents of each language, chosen by a hash of their id.
 SAMPLE_PER_LANGUAGE = 2000
+DRAWS = 1 << 62  # so fine that a sample's share is never rounded to none
 #: and keeps so many n-grams of a language at most, the most common first.
 GRAMS_PER_LANGUAGE = 50_000
 #: An n-gram counts for a language if at least this part of its sampled documents holds it, and this part of the highest such share.
@@ -114,10 +115,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     languages = sorted(totals)
     if not languages:
         return Model([], [], np.zeros(0), 0)
-    limits = F.lit(0)
+    limits = F.lit(0).cast("long")
     for name, n in totals.items():
-        limits = F.when(F.col(lang_col) == name, min(1_000_000, 1_000_000 * per_language // n)).otherwise(limits)
-    sample = known.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1_000_000)) < limits).select(lang_col, text_col)
+        limits = F.when(F.col(lang_col) == name, F.lit(min(DRAWS, DRAWS * per_language // n)).cast("long")).otherwise(limits)
+    sample = known.where(F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(DRAWS)) < limits).select(lang_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
