@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.llm.common import remove, shared_dir, shuffle_partitions, text_or_empty
+from pulse.llm.common import at_end, remove, shared_dir, shuffle_partitions, stored, text_or_empty
 
 # Fixed values of the contract: what is stripped, what is lower-cased, and the least length of a key.
 STRIPPED = " \t\n\x0b\x0c\r"
@@ -37,6 +37,7 @@ class LineRuns:
     def __init__(self, spark: SparkSession, fanout: int = 3):
         self.spark, self.fanout = spark, fanout
         self.folder = shared_dir(spark)
+        at_end(self.drop)
         self.buckets = shuffle_partitions(spark)
         self.levels: list[list[str]] = []
         self.made: list[str] = []
@@ -53,7 +54,9 @@ class LineRuns:
         self.levels[level].append(name)
         if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
-            self._push(self._merge(merged), level + 1)
+            whole = self._merge(merged)
+            self._remove(merged)
+            self._push(whole, level + 1)
 
     def _merge(self, names: list[str]) -> str:
         """Runs never share a hash, so merging only brings them together."""
@@ -73,13 +76,22 @@ class LineRuns:
         names = [n for level in self.levels for n in level]
         if len(names) > 1:
             self.levels = [[] for _ in self.levels]
-            self._push(self._merge(names), len(self.levels))
+            whole = self._merge(names)
+            self._remove(names)
+            self._push(whole, len(self.levels))
             names = [n for level in self.levels for n in level]
         return self.spark.table(names[0])
 
+    def _remove(self, names: list[str]) -> None:
+        for n in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+            remove(f"{self.folder}/{n}", self.spark)
+            self.made.remove(n)
+
     def drop(self) -> None:
         for n in self.made:
             self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+        self.made.clear()
         remove(self.folder, self.spark)
 
 
@@ -106,9 +118,7 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", batch
     whatever their names, are kept.
     """
     spark = docs.sparkSession
-    folder = shared_dir(spark)
-    hash_lines(docs, text_col, id_col).write.parquet(f"{folder}/lines")
-    lines = spark.read.parquet(f"{folder}/lines")
+    lines = stored(hash_lines(docs, text_col, id_col))
 
     cuts = sorted(set(lines.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.01))) if dict(lines.dtypes)["doc"] in ("bigint", "int", "smallint", "tinyint", "double", "float") else []
     runs = LineRuns(spark, fanout)
