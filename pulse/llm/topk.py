@@ -96,7 +96,9 @@ def search_block(queries: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, vec
             live, partial, done = live[ok], partial[ok], cut
         live = live[ids[live] != q_ids[q]]
         if len(live):
-            best.add(q, ids[live], (vectors[live] @ queries[q]).astype(np.int64))
+            small = rq[q, 0] * rv[0, 0] < 1 << 52  # every partial sum is an integer that a double holds
+            exact = vectors[live] @ queries[q] if small else vectors[live].astype(np.int64) @ queries[q].astype(np.int64)
+            best.add(q, ids[live], exact.astype(np.int64))
 
 
 def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -104,17 +106,19 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_co
 
     Scores are integer inner products of the scaled vectors, ties go to the
     smaller id; fewer than k candidates give all of them. Null vectors, rows
-    without id and vectors with null or non-finite components take no part;
-    vectors of another length than the first are an error. Rows that share an
-    id are separate candidates; none of them is a candidate of its own id.
+    without id, vectors with null or non-finite components and vectors of
+    another number of components than most take no part (of numbers that are
+    as frequent the larger one counts). Rows that share an id are separate
+    candidates; none of them is a candidate of its own id.
     """
     spark = df.sparkSession
     schema = "query_id bigint, rank int, vec_id bigint, score bigint"
     vectors = stored(integer_vectors(df, id_col, vector_col, scale).where("id IS NOT NULL"))
-    first = vectors.select(F.size("ints").alias("n")).first()
+    first = vectors.where(F.size("ints") > 0).groupBy(F.size("ints").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
     if first is None:
         return spark.createDataFrame([], schema)
     width = first["n"]
+    vectors = vectors.where(F.size("ints") == width)
     turn = rotation(vectors, width)
     parts = shuffle_partitions(spark)
 
