@@ -7,12 +7,16 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulse.functions.storage import at_end, lasting, remove, scope, shared_dir, stored
 
-__all__ = ["at_end", "claim", "lasting", "remove", "scope", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_or_empty"]
+__all__ = ["at_end", "claim", "in_small_batches", "lasting", "remove", "scope", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_or_empty"]
+
+
+ROWS_PER_BATCH = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +27,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches of ROWS_PER_BATCH rows at most: vectors of whole texts are grown by doubling, in memory beside the heap."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= ROWS_PER_BATCH:
+        conf.set(key, str(ROWS_PER_BATCH))
+    return df
+
+
 def slices(sizes, limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes sum to about limit at most."""
     start, total = 0, 0
@@ -35,21 +47,31 @@ def slices(sizes, limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+M_MMAP_THRESHOLD, LARGE = -3, 4 << 20  # as in malloc.h; bytes
+
 _holders: dict[str, Callable[[], None]] = {}
 
 
 def claim(owner: str, clear: Callable[[], None]) -> None:
     """Drops what other operators keep in this Python process, which Spark reuses, before owner fills its own caches."""
     others = [f for name, f in _holders.items() if name != owner]
-    if others:
+    if owner not in _holders:
         for f in others:
             f()
         _holders.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        _give_back()
     _holders[owner] = clear
 
 
+def _give_back() -> None:
+    """Returns free memory to the system, and has large arrays returned as soon as they are dropped."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL(None)
+        libc.mallopt(M_MMAP_THRESHOLD, LARGE)
+        libc.malloc_trim(0)
+
+
 def text_or_empty(col: str):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.common import claim, slices, stored
+from pulse.llm.common import claim, in_small_batches, slices, stored
 
 UNKNOWN = "und"
 GRAM = 4
@@ -110,7 +110,7 @@ class Model:
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """A model of the languages of docs; rows without text or language teach nothing, an empty table gives a model that knows none."""
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    known = in_small_batches(docs).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     totals = {r["lang"]: r["n"] for r in known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(totals)
     if not languages:
@@ -134,20 +134,22 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
     found = stored(sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     sampled = {name: min(n, per_language) for name, n in totals.items()}
-    shares: dict[str, dict[int, float]] = {}
-    best: dict[int, float] = {}
+    shares: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for name in languages:
         top = found.where((F.col("lang") == name) & (F.col("n") >= LEAST_SHARE * sampled[name]))
-        shares[name] = {r["gram"]: r["n"] / sampled[name] for r in top.orderBy(F.desc("n"), "gram").limit(GRAMS_PER_LANGUAGE).collect()}
-        for g, s in shares[name].items():
-            best[g] = max(best.get(g, 0.0), s)
+        rows = top.orderBy(F.desc("n"), "gram").limit(GRAMS_PER_LANGUAGE).select("gram", "n").toArrow()
+        shares[name] = rows.column("gram").to_numpy(), rows.column("n").to_numpy() / sampled[name]
+    every, at = np.unique(np.concatenate([g for g, _ in shares.values()]), return_inverse=True)
+    highest = np.zeros(len(every))
+    np.maximum.at(highest, at, np.concatenate([s for _, s in shares.values()]))
     words = []
     for w in range(0, len(languages), 64):
         group = languages[w : w + 64]
         kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(group) <= bits)
         word = np.zeros(1 << SLOT_BITS, kind)
         for k, name in enumerate(group):
-            g = np.array([g for g, s in shares[name].items() if s >= LEAST_OF_BEST * best[g]], np.uint64)
+            g, s = shares[name]
+            g = g[s >= LEAST_OF_BEST * highest[np.searchsorted(every, g)]].astype(np.uint64)
             for at in slots(g):
                 word[at] |= kind(1 << k)
         words.append(word)

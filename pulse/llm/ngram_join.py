@@ -10,11 +10,11 @@ the counts are.
 
 In a tile all sets are first checked against one hub, the set that holds the
 fewest rarer shingles, so of near copies one with few edits, to which the others
-are closest. What the hub doesn't settle goes in rounds. In a tile of which few
-sets are outside its largest component, all pairs of different components are
-checked; in a wider one each set is only checked against a few others, drawn
-anew in each round, and components are formed before the next. When a round
-brings no link, all pairs that are left are checked, so none is lost. A tile of
+are closest. What the hub doesn't settle goes in rounds. In a tile
+that has few pairs of different components whose sizes and places allow a link,
+all of them are checked; in another each set is only checked against a few
+others, drawn anew in each round, and components are formed before the next.
+When a round brings no link, all pairs that are left are checked, so none is lost. A tile of
 very many sets is dealt out over parts, anew in each round, with a hub for each
 part; for the last pairs its parts meet two by two. A check
 compares hashed bitmap signatures: bits of one that the other lacks are elements
@@ -34,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.common import at_end, claim, lasting, remove, scope, shared_dir, shuffle_partitions, slices, stored
+from pulse.llm.common import at_end, claim, in_small_batches, lasting, remove, scope, shared_dir, shuffle_partitions, slices, stored
 from pulse.operators.graph import connected_components
 
 WORDS = 5
@@ -48,8 +48,8 @@ FEW_IDS = 50_000  # so many document ids may be broadcast
 BLOCK = 1 << 20
 #: A set with over a 64th of all pairs is hot: there are 64 at most.
 HOT_SETS = 64
-NARROW = 8  # sets of a tile outside its largest component, up to which all pairs are checked at once
-DRAWN = 4  # others that a set of a wider tile is checked against in a round
+NARROW = 8  # pairs of different components for each set of a tile, up to which all are checked at once
+DRAWN = 4  # others that a set of another tile is checked against in a round
 
 _rng = np.random.default_rng(7)
 _byte = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -183,7 +183,7 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_table(chunks: DataFrame) -> np.ndarray:
-    """The sums of describe()'s counts, chunk by chunk: of one size for any input."""
+    """Four times the binary logarithm of the sums of describe()'s counts, chunk by chunk: of one size for any input."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -193,11 +193,12 @@ def count_table(chunks: DataFrame) -> np.ndarray:
                 np.minimum(total, (1 << 32) - 1 - MOST, out=total)
                 total += np.frombuffer(x.as_buffer(), np.uint16)
         for c, total in totals.items():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
+            scale = np.rint(4 * np.log2(1.0 + total)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([scale.tobytes()], pa.binary())], ["chunk", "counts"])
 
-    table = np.zeros(1 << COUNT_BITS, np.uint32)
+    table = np.zeros(1 << COUNT_BITS, np.uint8)
     for r in chunks.repartition(1 << (COUNT_BITS - CHUNK_BITS), "chunk").mapInArrow(add, "chunk int, counts binary").collect():
-        table[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(bytes(r["counts"]), np.uint32)
+        table[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(bytes(r["counts"]), np.uint8)
     return table
 
 
@@ -211,13 +212,25 @@ def rare_first(s: np.ndarray, table: np.ndarray, percent: int) -> np.ndarray:
     return s[order[:n]]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[list[np.ndarray]]:
+    """Columns of about so many rows, from smaller batches."""
+    held: list[list[np.ndarray]] = []
+    n = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([c.to_numpy() for c in batch.columns])
+            n += batch.num_rows
+        if n >= rows:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
     """Columns of batches sorted by their first two, and where the rows of each pair of these begin; no value of the first column is cut."""
     held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = [c.to_numpy() for c in batch.columns]
+    for cols in gathered(batches):
         cut = int(np.searchsorted(cols[0], cols[0][-1], side="left"))
         if not cut and held and held[-1][0][-1] == cols[0][0]:  # all of one group
             held.append(cols)
@@ -242,7 +255,8 @@ def starts_of(*keys: np.ndarray) -> np.ndarray:
 
 def parts_of(shingles: np.ndarray, table: np.ndarray, split: int) -> np.ndarray:
     """How many parts each shingle's tile is dealt out over."""
-    return table[(shingles.view(np.uint64) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)].astype(np.int64) // split + 1
+    scale = table[(shingles.view(np.uint64) >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+    return np.exp2(scale / 4.0).astype(np.int64) // split + 1
 
 
 def part_of(sid: np.ndarray, parts: np.ndarray, turn: int) -> np.ndarray:
@@ -282,12 +296,15 @@ def sets_of(text: DataFrame, members: DataFrame, ids: DataFrame, parts: int, who
         docs = members.join(ids.hint("broadcast"), "sid", "left_semi").groupBy("sid").agg(F.min("doc").alias("own")).select("own")
         text = text.join(F.broadcast(docs), text["doc"].eqNullSafe(docs["own"]), "left_semi")
     slot = F.shiftrightunsigned(F.col("sid"), 64 - FILTER_BITS)
-    wanted = np.zeros(1 << FILTER_BITS, bool)
-    wanted[[r[0] for r in ids.select(slot.alias("slot")).distinct().collect()]] = True
-    flags = spark.sparkContext.broadcast(np.packbits(wanted))
+    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bit = F.expr("shiftleft(1L, cast(slot & 63 AS int))")
+    for r in ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).collect():  # 2^14 rows at most
+        words[r["word"]] = r["bits"]
+    flags = spark.sparkContext.broadcast(words)
+    at_end(flags.destroy)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.unpackbits(flags.value)
+        asked = np.unpackbits(flags.value.view(np.uint8), bitorder="little")
         known: set[int] = set()
         for _, sets in blocks(batches):
             found = []
@@ -354,6 +371,7 @@ def across(percent: int, turn: int, last: bool, batches: Iterator[pa.RecordBatch
             x, y = np.broadcast_to(sid[i], ok.shape)[ok], sid[j][ok]
             left.append(np.minimum(x, y))
             right.append(np.maximum(x, y))
+            return len(x)
 
         several = comp != np.repeat(comp[starts], n)
         if not last:
@@ -362,17 +380,21 @@ def across(percent: int, turn: int, last: bool, batches: Iterator[pa.RecordBatch
                 wide.append((h[starts[g]], own.min(), own.max()))
         for g in np.unique(np.repeat(np.arange(len(n)), n)[several]):
             a, end = int(starts[g]), int(starts[g] + n[g])
-            outside = end - a - int(np.unique(comp[a:end], return_counts=True)[1].max())
-            if not last and outside > NARROW:
-                wide.append((h[a], comp[a:end].min(), comp[a:end].max()))
-                order = a + np.lexsort((drawn[a:end], np.log(size[a:end]) // share))
-                for d in range(1, DRAWN + 1):
-                    meet(order[:-d], order[d:])
-                continue
-            for i in range(a, end - 1):
-                meet(i, np.arange(i + 1, i + int(np.searchsorted(size[i:end], size[i] * 100 // percent, side="right"))))
-                if i % 1000 == 999:  # a wide tile hands its pairs on piece by piece
+            names, counts = np.unique(comp[a:end], return_counts=True)
+            before, found = len(left), 0
+            for i in (a + np.flatnonzero(comp[a:end] != names[counts.argmax()])).tolist():
+                low, high = np.searchsorted(size[a:end], (-(-size[i] * percent // 100), size[i] * 100 // percent + 1))
+                found += meet(i, np.arange(a + low, a + high))
+                if last and len(left) > before + 1000:  # a wide tile hands its pairs on piece by piece
                     yield pairs_of(left, right, wide)
+                    before = 0
+                if not last and found > NARROW * (end - a):
+                    del left[before:], right[before:]
+                    wide.append((h[a], names[0], names[-1]))
+                    order = a + np.lexsort((drawn[a:end], np.log(size[a:end]) // share))
+                    for d in range(1, DRAWN + 1):
+                        meet(order[:-d], order[d:])
+                    break
         yield pairs_of(left, right, wide)
 
 
@@ -404,11 +426,12 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
 def _classes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataFrame:
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    text = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    text = in_small_batches(docs).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     described = stored(text.mapInArrow(describe, f"doc {kind}, sid bigint, size int, chunk int, counts binary"))
     members = described.where("chunk IS NULL").select("doc", "sid", "size")
     table = spark.sparkContext.broadcast(count_table(described.where("chunk IS NOT NULL").select("chunk", "counts")))
+    at_end(table.destroy)
 
     split = SPLIT
 
@@ -485,12 +508,14 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataF
         dealt = dealt.repartition(parts, "shingle", "part").sortWithinPartitions("shingle", "part", "size", "sid")
         tried = stored(dealt.mapInArrow(partial(across, percent, turn, last), "a bigint, b bigint, wide bigint, least bigint, most bigint"))
         found = check(text, members, tried.where("wide IS NULL").select("a", "b").distinct(), sigs, percent)
-        links = links.unionByName(found)
-        labels = connected_components(links, "a", "b")
+        some = not found.isEmpty()
+        if some:
+            links = links.unionByName(found)
+            labels = connected_components(links, "a", "b")
         wide = stored(tried.where("wide IS NOT NULL").groupBy(F.col("wide").alias("shingle")).agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("shingle"))
         if wide.isEmpty():
             break
-        rest, turn, last = stored(rest.join(wide, "shingle", "left_semi")), turn + 1, found.isEmpty()
+        rest, turn, last = stored(rest.join(wide, "shingle", "left_semi")), turn + 1, not some
     labels = labels.select(F.col("node").alias("sid"), "component")
 
     own = members.where("size > 0").groupBy("sid").agg(F.min("doc").alias("least"))
