@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from pulse.functions.calendar import HOUR, day_of_week, hours_between
 from pulse.operators.graph import connected_components
-from pulse.operators.intervals import near_pairs
+from pulse.operators.intervals import near_links
 from pulse.session import DEFAULTS
 
 
 def clusters(wins: DataFrame, radius_hours: int = DEFAULTS.cooccurrence_hours, include_singletons: bool = False) -> DataFrame:
-    """window_id, cluster_id (the smallest window id of the component)."""
-    found = connected_components(near_pairs(wins, radius_hours * HOUR), "a", "b").select(F.col("node").alias("window_id"), F.col("component").alias("cluster_id"))
+    """window_id, cluster_id (the smallest window id of the component). Windows of one channel mustn't overlap."""
+    found = connected_components(near_links(wins, radius_hours * HOUR), "a", "b").select(F.col("node").alias("window_id"), F.col("component").alias("cluster_id"))
     if include_singletons:
         return wins.select("window_id").join(found, "window_id", "left").select("window_id", F.coalesce("cluster_id", "window_id").alias("cluster_id"))
     return found

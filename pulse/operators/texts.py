@@ -16,6 +16,7 @@ from pulse.operators.intervals import slice_series
 # Fixed values of the default word lists: words of good and bad feeling, words that turn them round, and what tells kinds of names apart.
 POSITIVE = ("good", "great", "excellent", "amazing", "awesome", "beautiful", "best", "better", "brave", "bright", "calm", "celebrate", "cheer", "clever", "delight", "enjoy", "fair", "fantastic", "fun", "glad", "happy", "helpful", "hope", "joy", "kind", "laugh", "love", "lovely", "lucky", "nice", "peace", "perfect", "pleasant", "proud", "safe", "smile", "strong", "success", "thank", "thanks", "trust", "useful", "win", "winner", "wonderful")
 NEGATIVE = ("bad", "awful", "angry", "annoying", "afraid", "attack", "boring", "broken", "cruel", "cry", "damage", "danger", "dead", "death", "disaster", "dumb", "evil", "fail", "failure", "fear", "fool", "garbage", "hate", "horrible", "hurt", "idiot", "kill", "lie", "loser", "loss", "mad", "moron", "nasty", "pain", "pathetic", "poor", "sad", "scum", "shame", "sick", "stupid", "terrible", "trash", "ugly", "weak", "worse", "worst", "wrong")
+STOP_WORDS = ("a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "be", "because", "been", "but", "by", "can", "could", "did", "do", "does", "for", "from", "had", "has", "have", "he", "her", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its", "just", "like", "me", "more", "most", "my", "no", "not", "of", "on", "one", "only", "or", "other", "our", "out", "over", "she", "so", "some", "such", "than", "that", "the", "their", "them", "then", "there", "these", "they", "this", "to", "up", "was", "we", "were", "what", "when", "which", "who", "will", "with", "would", "you", "your")
 NEGATORS = ("not", "no", "never", "without", "hardly", "nothing", "don", "isn", "wasn", "won", "can", "t")
 ORGANISATIONS = ("Inc", "Corp", "University", "Council", "Bank", "Party", "Ministry", "Agency", "Club", "Company")
 PLACES = ("Berlin", "Paris", "London", "Madrid", "Europe", "City", "County", "Street", "River", "Island")
@@ -175,9 +176,43 @@ def shift_summary(shift: DataFrame) -> DataFrame:
     return shift.agg(F.count(F.lit(1)).alias("n_windows"), F.avg("shift").alias("mean_shift"), count(F.col("shift") > 0).alias("n_more_positive"), count(F.col("shift") < 0).alias("n_more_negative"))
 
 
-def class_terms(texts: DataFrame, topic: str = "topic", n: int = 10) -> DataFrame:
-    """c-TF-IDF: a word's share of its topic's words times log(1 + mean words per topic / the word's total); the n best of each topic."""
-    words = texts.select(topic, F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("term")).where(F.length("term") >= 2)
+def assign_topics(vectors: DataFrame, ident: str, vector_col: str, k: int = 8, noise: float = 2.0, seed: int = 42) -> DataFrame:
+    """ident, topic: the nearest of k centres, or -1 where a vector is further from it than the mean of its topic's distances by ``noise`` standard deviations.
+
+    Rows without a vector, or with null or non-finite components, have no row.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    plain = F.transform(F.col(vector_col), lambda x: x.cast("double"))
+    fit = ~F.exists(vector_col, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.where(F.col(vector_col).isNotNull() & F.coalesce(fit, F.lit(False))).select(ident, array_to_vector(plain).alias("features"))
+    if rows.isEmpty():
+        return vectors.where("false").select(ident, F.lit(-1).alias("topic"))
+    model = KMeans(k=k, seed=seed, predictionCol="topic").fit(rows)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])  # k rows
+    square = F.aggregate(F.zip_with(vector_to_array("features"), F.get(centres, F.col("topic")), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    far = model.transform(rows).select(ident, "topic", F.sqrt(square).alias("away"))
+    cut = far.groupBy("topic").agg((F.avg("away") + noise * F.stddev_pop("away")).alias("cut"))
+    return far.join(F.broadcast(cut), "topic").select(ident, F.when(F.col("away") > F.col("cut") + 1e-9, -1).otherwise(F.col("topic")).alias("topic"))
+
+
+def topic_report(texts: DataFrame, topic: str = "topic", n: int = 10) -> DataFrame:
+    """topic, n_texts, terms: each topic's best words and pairs of words, without stop words."""
+    best = class_terms(texts, topic, n, STOP_WORDS, True).groupBy(topic).agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
+    sizes = texts.groupBy(topic).agg(F.count(F.lit(1)).alias("n_texts"))
+    return sizes.join(best, topic, "left").select(topic, "n_texts", F.array_join(F.transform("t", lambda x: x["term"]), ", ").alias("terms"))
+
+
+def class_terms(texts: DataFrame, topic: str = "topic", n: int = 10, stop_words: tuple[str, ...] = (), pairs: bool = False) -> DataFrame:
+    """c-TF-IDF: a word's share of its topic's words times log(1 + mean words per topic / the word's total); the n best of each topic. With ``pairs``, two words in a row (stop words taken out before) are terms as well."""
+    found = F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: (F.length(w) >= 2) & (~w.isin(*stop_words) if stop_words else F.lit(True)))
+    if pairs:
+        two = F.zip_with(F.col("w"), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
+        both = texts.select(topic, found.alias("w")).select(topic, F.concat("w", F.filter(two, lambda x: x.isNotNull())).alias("w"))
+        words = both.select(topic, F.explode("w").alias("term"))
+    else:
+        words = texts.select(topic, F.explode(found).alias("term"))
     tf = words.groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n"))
     per_topic = tf.groupBy(topic).agg(F.sum("n").alias("size"))
     per_term = tf.groupBy("term").agg(F.sum("n").alias("total"))

@@ -182,6 +182,28 @@ def topic_terms(spark, sf_dir):
     return texts.class_terms(_topics(spark, sf_dir))
 
 
+_TERMS = f"""t AS (SELECT label AS topic, text FROM embeddings JOIN documents ON vec_id = doc_id), lw AS (SELECT topic, list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) >= 2 AND w NOT IN {_in(texts.STOP_WORDS)}) AS w FROM t),
+w AS (SELECT topic, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM lw), {_TOPIC[_TOPIC.index("tf AS") :].replace(" WHERE length(term) >= 2", "")}"""
+
+
+@C.add(sql(_TERMS, "SELECT topic, rank::int AS rank, term, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY round(weight, 9) DESC, term) AS rank FROM sc) WHERE rank <= 10"))
+def topic_terms_pairs(spark, sf_dir):
+    """Single words and pairs, without stop words."""
+    return texts.class_terms(_topics(spark, sf_dir), stop_words=texts.STOP_WORDS, pairs=True)
+
+
+@C.add()
+def topic_model(spark, sf_dir):
+    """Topics of all embedded documents by their vectors, noise as -1."""
+    return texts.assign_topics(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+
+
+@C.add()
+def topic_model_details(spark, sf_dir):
+    found = stored(topic_model(spark, sf_dir)).withColumnRenamed("vec_id", "doc_id")
+    return texts.topic_report(found.join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id"))
+
+
 _ASSIGNED = f"{DETECT12}, {_TEXT}, near AS (SELECT window_id, text_id FROM wins w JOIN good t ON t.channel = w.channel AND t.sec BETWEEN w.window_start - 86400 AND w.window_end + 86400), asg AS (SELECT window_id, CASE WHEN label = 0 THEN -1 ELSE label END AS topic FROM near JOIN embeddings ON vec_id = text_id), cnt AS (SELECT window_id, topic, count(*)::bigint AS n FROM asg GROUP BY ALL)"
 
 

@@ -55,6 +55,34 @@ def test_near_pairs_equal_nested_loops(spark, rows, radius):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 30), st.integers(0, 12)), min_size=1, max_size=24), st.sampled_from([2, 6, 12]))
+def test_near_links_connect_what_near_pairs_connect(spark, steps, radius):
+    at, data = {}, []
+    for i, (c, gap, long) in enumerate(steps):  # windows of a channel come one after the other
+        start = at.get(c, 0) + gap
+        at[c] = start + long
+        data.append((f"w{i:02d}", f"c{c}", start * H, (start + long) * H))
+
+    def groups(pairs):
+        up = {d[0]: d[0] for d in data}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[find(a)] = find(b)
+        return {d[0]: frozenset(e[0] for e in data if find(e[0]) == find(d[0])) for d in data}
+
+    from pulse.operators.intervals import near_links
+
+    want = [(a[0], b[0]) for a in data for b in data if a[1] < b[1] and a[3] >= b[2] - radius * H and b[3] >= a[2] - radius * H]
+    links = [tuple(r) for r in near_links(wins(spark, data), radius * H).collect()]
+    assert len(links) <= 2 * len(data) and groups(links) == groups(want)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), max_size=16))
 def test_components_equal_union_find(spark, edges):
@@ -176,6 +204,23 @@ def test_entities_by_the_words_around_them(spark):
     assert got == [("Jane Doe", "PERSON"), ("Max", "PERSON"), ("Old City", "GPE"), ("Ulm", "GPE"), ("World Bank", "ORG")]
 
 
+def test_topics_are_clusters_with_noise(spark):
+    from pulse.operators import texts
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in (np.eye(3)[i % 3] * 10 + rng.normal(0, 0.1, 3))], "the " + ("red apple", "blue sky", "green sea")[i % 3]) for i in range(90)]
+    rows += [(200, [14.0, 0.0, 0.0], "far"), (201, None, "none"), (202, [float("nan"), 0.0, 0.0], "nan")]
+    df = spark.createDataFrame(rows, "i bigint, v array<double>, text string")
+    got = {r["i"]: r["topic"] for r in texts.assign_topics(df, "i", "v", k=3).collect()}
+    assert set(got) == set(range(90)) | {200} and got[200] == -1
+    kinds = [{got[i] for i in range(k, 90, 3)} - {-1} for k in range(3)]
+    assert all(len(k) == 1 for k in kinds) and len(set.union(*kinds)) == 3 and sum(t == -1 for t in got.values()) < 10
+    told = spark.createDataFrame([(t, dict((r[0], r[2]) for r in rows)[i]) for i, t in got.items()], "topic int, text string")
+    report = {r["topic"]: r for r in texts.topic_report(told).collect()}
+    assert {report[next(iter(k))]["terms"] for k in kinds} == {"apple, red, red apple", "blue, blue sky, sky", "green, green sea, sea"}
+    assert texts.assign_topics(df.where("i > 200"), "i", "v").count() == 0
+
+
 def test_a_failing_model_says_so(spark):
     from pulse.operators import texts
 
