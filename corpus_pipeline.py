@@ -33,7 +33,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of smallest id stays."""
     found = ngram_join.classes(docs)
     first = found.where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(first, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
