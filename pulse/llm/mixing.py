@@ -61,7 +61,7 @@ def rates(rows: DataFrame, powers=POWERS, rounds: int = ROUNDS, targets: dict[st
     marginals = []
     for d, power in powers:
         given = (targets or {}).get(d)
-        share = F.pow(F.sum("tokens"), F.lit(power)) if given is None else F.max(F.coalesce(F.get(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col(d)) if given else F.lit(None), F.lit(0.0)))
+        share = F.pow(F.sum("tokens"), F.lit(power)) if given is None else F.max(F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in given.items() for x in kv]), F.col(d)) if given else F.lit(None), F.lit(0.0)))
         own = cells.groupBy(d).agg(share.alias("t"))
         total = own.agg(F.sum("t")).first()[0] or 1.0
         marginals.append(stored(own.select(d, (F.col("t") / F.lit(total)).alias("target"))))
