@@ -91,7 +91,8 @@ def brute_classes(rows, percent=75):
     return sorted((d, len(sets[i]), least[find(i)]) for i, (d, _) in enumerate(rows))
 
 
-def test_ngram_join_equals_brute_force(spark):
+@pytest.mark.parametrize("few,split", [(0, 1 << 16), (1000, 3)])
+def test_ngram_join_equals_brute_force(spark, monkeypatch, few, split):
     rng = random.Random(9)
     words = [f"w{i}" for i in range(400)]
     rows = [(500, None), (501, ""), (502, " \t\n"), (503, "One two"), (504, "one  TWO"), (505, "one two three")]
@@ -106,11 +107,37 @@ def test_ngram_join_equals_brute_force(spark):
     rows += [(600 + i, passage + " " + " ".join(rng.choice(words) for _ in range(90))) for i in range(12)]
     rows += [(700 + i, "all the same words in a row here") for i in range(5)] + [(700, "all the same words in a row here")]
     df = docs(spark, [t for _, t in rows], [d for d, _ in rows]).withColumn("sid", F.lit("x"))
+    monkeypatch.setattr(ngram_join, "FEW_IDS", few)
+    monkeypatch.setattr(ngram_join, "SPLIT", split)
     got = sorted(tuple(r) for r in ngram_join.classes(df).select("doc_id", "n_shingles", "component_id").collect())
     assert got == brute_classes(rows)
     assert ngram_join.classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("with_original,split", [(True, 1 << 16), (False, 100)])
+def test_ngram_join_checks_few_pairs_of_a_group_of_near_copies(spark, monkeypatch, with_original, split):
+    monkeypatch.setattr(ngram_join, "SPLIT", split)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words)] * with_original
+    for _ in range(400):
+        own = list(words)
+        for _ in range(rng.randint(1, 3)):
+            own[rng.randrange(60)] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(own))
+    checked = []
+    plain = ngram_join.check
+
+    def counted(text, members, pairs, *rest):
+        checked.append(pairs.count())
+        return plain(text, members, pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "check", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.classes(docs(spark, texts)).collect()}
+    assert got == {d: c for d, _, c in brute_classes(list(enumerate(texts, 1)))}
+    assert sum(checked) <= 12 * len(texts)
+
+
 def test_signature_bounds_overlap_from_above():
     rng = np.random.default_rng(3)
     for n, m, c in ((5, 9, 3), (80, 100, 70), (500, 1200, 400), (1, 1, 0)):
@@ -345,3 +372,146 @@ def test_pipeline_equals_brute_force(spark):
     assert ids <= firsts and len(ids) > len(firsts) / 4
     for r in final:
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest() and r["n_tokens"] == len(r["token_ids"])
+
+
+DIRTY = [(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "the cat sat on the mat by the door", "en", "s", 34), (3, "the cat sat on the mat by the door", "en", "s", 34), (None, "the cat sat on the mat by the door", None, None, None), (5, "der Hund und die Katze\nder Hund und die Katze", "de", None, 45), (6, "word " * 30_000, None, "t", 150_000), (7, "12 !?", "en", "s", 5)]
+
+
+def test_every_stage_handles_nulls_repeats_long_texts_and_clashing_names(spark):
+    import corpus_pipeline as cp
+
+    pytest.importorskip("public_tokenizers")
+    df = spark.createDataFrame(DIRTY, DOCS)
+    for c in ("score", "n_tokens", "rate", "component_id", "lang_pred", "n_lines", "__kept", "topic", "sid"):
+        df = df.withColumn(c, F.lit("x"))
+    for name, stage in cp.STAGES:
+        out = stage(spark, df, SF)
+        rows = out.collect()
+        if name != cp.STAGES[-1][0]:
+            assert tuple(out.columns) == cp.COLUMNS
+        kept = sorted((r["doc_id"] for r in rows), key=repr)
+        if name == "language_id":  # without a letter there is no language
+            assert kept == [3, 3, 5, 6, None] and {r["lang"] for r in rows} <= {"en", "de"}
+        elif name == "line_dedup":
+            assert len(rows) == len(DIRTY) and [r["text"] for r in rows if r["doc_id"] == 5] == ["der Hund und die Katze\nder Hund und die Katze"]
+        elif name == "ngram_jaccard_join":  # equal rows share their id and stay; the row without id hangs on document 3
+            assert kept == [1, 2, 3, 3, 5, 6, 7]
+        elif name == "byte_level_bpe":
+            assert len(rows) == len(DIRTY) and all(r["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest() for r in rows for d, t, *_ in DIRTY if d == r["doc_id"])
+        assert stage(spark, df.limit(0), SF).count() == 0, name
+
+
+def test_mixing_takes_given_shares_and_topics(spark):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(1, 9), rng.choice(["en", "de"]), rng.choice("ab"), rng.choice(["x", "y", None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, kind string")
+    given = {"lang": {"en": 0.25, "de": 0.75}, "topic": {"x": 3.0, "y": 1.0}}
+    out = mixing.mix(df, topic_col="kind", targets=given, rounds=60).toPandas()
+    out["w"] = out.probability * out.n_tokens
+    share = lambda c: (out.groupby(c).w.sum() / out.w.sum()).to_dict()
+    assert share("lang") == pytest.approx({"en": 0.25, "de": 0.75}, abs=1e-6)
+    assert share("topic") == pytest.approx({"x": 0.75, "y": 0.25, "(none)": 0.0}, abs=1e-6)
+    assert set(mixing.sample(df, topic_col="kind", targets=given).toPandas().kind) == {"x", "y"}
+
+
+def test_top_k_leaves_out_vectors_of_another_width(spark):
+    rows = [(0, [1.0, 0.5]), (1, [0.25, 1.0]), (2, [1.0]), (3, []), (100, [0.5, 0.5]), (4, [3.0] * 9)]
+    got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")).collect()]
+    assert {r[2] for r in got} == {0, 1, 100} and len(got) == 4
+    assert topk.top_k(spark.createDataFrame([(0, []), (1, None)], "vec_id bigint, embedding array<float>")).count() == 0
+
+
+def test_top_k_scores_are_whole_beyond_doubles(spark):
+    big = [float(1 << 20) + 0.5, 7.0]
+    rows = [(0, big), (1, [b + 1 / 1024 for b in big]), (2, big[::-1])]
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    ints = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows}
+    assert got == {(0, i): sum(a * b for a, b in zip(ints[0], ints[i], strict=True)) for i in (1, 2)}
+
+
+def test_fingerprints_equal_a_naive_walk():
+    e, rng = edit_fingerprint, random.Random(4)
+    for n in (1, 2, 5, 63, 400, 3000):
+        text = "".join(rng.choice("abc dé🙂") for _ in range(n))
+        chars, written, step, at = e.classes(text).tolist(), {}, 1, 0
+        while at < len(chars):
+            written[step] = chars[at]
+            at += int(e._moves[step % e.PERIOD][chars[at]])
+            step += 1
+        bits = [int(e._bits[k, s, written.get(int(p), e.END)]) for k in range(step.bit_length()) for s, p in enumerate(e._sampled[k])]
+        assert e.fingerprints([text, "x"])[0] == f"{step:010x}" + np.packbits(np.array(bits, np.uint8)).tobytes().hex()
+
+
+def test_later_categories_learn_from_out_of_fold_log_odds(monkeypatch):
+    rng = np.random.default_rng(1)
+    n, vocabulary = 120, [b"a", b"b", b"c"]
+    has = rng.random((n, 3)) < 0.4
+    rows, cols = np.nonzero(has)
+    dense = rng.random((n, toxicity.N_SHAPE))
+    labels = np.stack([has[:, 0], has[:, 1] & has[:, 0]], 1).astype(float)
+    fold = rng.integers(0, toxicity.FOLDS, n)
+    seen = []
+    plain = toxicity.Linear.fit
+
+    def fit(self, r, c, d, y, *rest):
+        seen.append((d, y))
+        return plain(self, r, c, d, y, *rest)
+
+    monkeypatch.setattr(toxicity.Linear, "fit", fit)
+    chain = toxicity.Chain(["one", "two"], vocabulary).fit(rows, cols, dense, labels, fold)
+    monkeypatch.undo()
+    want = np.zeros(n)
+    for f in range(toxicity.FOLDS):
+        train, own = fold != f, (fold != f)[rows]
+        m = toxicity.Linear(3, toxicity.N_SHAPE).fit((np.cumsum(train) - 1)[rows[own]], cols[own], dense[train], labels[train, 0])
+        want[~train] = m.logits(rows, cols, dense)[~train]
+    second = next(d for d, y in seen if len(y) == n and d.shape[1] == toxicity.N_SHAPE + 1)
+    assert np.allclose(second[:, -1], np.clip(want, -10, 10) / 10) and (second[:, :-1] == dense).all()
+    # a prediction feeds the first model's log-odds to the second
+    r, c, d = chain.features(["a b", "c"])
+    first = chain.models[0].logits(r, c, d)
+    p = toxicity.sigmoid(chain.models[1].logits(r, c, np.column_stack((d, np.clip(first, -10, 10) / 10))))
+    assert np.allclose(chain.predict(["a b", "c"])[:, 1], p)
+
+
+def test_language_filters_against_exact_sets(spark):
+    rng = random.Random(21)
+    pools = {"de": ["haus", "strasse", "zeit", "schule"], "en": ["house", "street", "time", "school"], "fr": ["maison", "rue", "temps", "ecole"]}
+    rows = [(i, " ".join(rng.choice(pools[k]) for _ in range(rng.randint(1, 12))), k) for i, k in enumerate(list(pools) * 60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    share = {k: {} for k in pools}
+    for _, t, k in rows:
+        for g in set(langid.grams(langid.fold(t)).tolist()):
+            share[k][g] = share[k].get(g, 0) + 1 / 60
+    best = {g: max(s.get(g, 0) for s in share.values()) for s in share.values() for g in s}
+    exact = [{g for g, x in share[k].items() if x >= langid.LEAST_SHARE and x >= langid.LEAST_OF_BEST * best[g]} for k in model.languages]
+    texts = [t for _, t, _ in rows] + ["zeit time temps", "qqqq xyzzy"]
+    folded = [langid.fold(t) for t in texts]
+    size, hits = model.counts(folded)
+    true = np.array([[sum(g in s for g in langid.grams(f).tolist()) for s in exact] for f in folded])
+    assert (hits >= true).all() and (hits - true).sum() <= 0.001 * size.sum() * len(exact)
+    corrected = (true / size[:, None]).clip(0, 1)
+    names, _ = model.predict(texts)
+    assert [names[i] for i in range(len(rows))] == [model.languages[k] for k in corrected[: len(rows)].argmax(1)]
+    assert langid.DRAWS * langid.SAMPLE_PER_LANGUAGE // 10**12 > 0
+
+
+def test_op_tables_are_removed(spark):
+    import os
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(base))
+    tables = {r["tableName"] for r in spark.sql("SHOW TABLES").collect()}
+    df = docs(spark, ["the same five words here", "the same five words here", "and quite another text it is"])
+    assert ngram_join.classes(df).count() == 3
+    assert {r["tableName"] for r in spark.sql("SHOW TABLES").collect()} == tables
+    left = set(os.listdir(base)) - before
+    assert len(left) == 1  # the result's own folder
+
+
+def test_near_groups_of_empty_repeated_and_clashing_rows(spark):
+    rows = [(1, None), (2, ""), (4, "a text of some length, twice"), (4, "a text of some length, twice"), (None, "a text of some length, twice"), (9, "x" * 50_000)]
+    df = spark.createDataFrame([(d, t, "b", "g") for d, t in rows], "doc_id bigint, text string, band string, group_id string")
+    got = sorted(tuple(r) for r in edit_fingerprint.near_groups(df).collect())
+    assert got == [(1, 1), (2, 1), (4, 4), (4, 4), (9, 9)]
+    assert edit_fingerprint.near_groups(df.limit(0)).count() == 0
