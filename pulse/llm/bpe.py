@@ -24,11 +24,11 @@ import pyarrow.compute
 import regex
 from pyspark.sql import DataFrame
 
-from pulse.llm.common import claim, slices
+from pulse.llm.common import claim, in_small_batches, lean, slices
 from pulse.llm.transducer import MAX_STATES, Merges, Transducer, gather
 
-BLOCK_CHARS = 1 << 21
-BLOCK_PIECES = 1 << 19  # of a text longer than a block
+BLOCK_CHARS = 1 << 20
+BLOCK_PIECES = 1 << 18  # of a text longer than a block
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -277,26 +277,23 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         enc, dec = coder(data, pattern)
         sha = hashlib.sha256
         for batch in batches:
-            n, ids_sha, text_sha, all_ids = [], [], [], []
             sizes = [k or 0 for k in pa.compute.binary_length(batch.column(1)).to_pylist()]
             for a, b in slices(sizes, BLOCK_CHARS):
-                tokens, ends = enc.block([x or "" for x in batch.column(1).slice(a, b - a).to_pylist()])
+                part = batch.slice(a, b - a)
+                tokens, ends = enc.block([x or "" for x in part.column(1).to_pylist()])
                 ids = enc.ids[tokens]
-                n.append(np.diff(ends, prepend=0))
-                ids_sha += [sha(x).hexdigest() for x in enc.written(tokens, ends)]
-                text_sha += [sha(x).hexdigest() for x in dec.block(ids, ends)]
+                ids_sha = [sha(x).hexdigest() for x in enc.written(tokens, ends)]
+                text_sha = [sha(x).hexdigest() for x in dec.block(ids, ends)]
+                cols = [part.column(0), pa.array(np.diff(ends, prepend=0), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    all_ids += np.split(ids, ends[:-1])
-            cols = [batch.column(0), pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                cols.append(pa.array(all_ids, pa.list_(pa.int32())))
-                names.append("token_ids")
-            yield pa.RecordBatch.from_arrays(cols, names)
+                    cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids, pa.int32())))
+                    names.append("token_ids")
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * keep_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return in_small_batches(docs).select(id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "token_ids", id_col: str = "doc_id") -> DataFrame:
@@ -309,4 +306,4 @@ def decode(tokens: DataFrame, ranks_path: str, ids_col: str = "token_ids", id_co
             texts = ["".join(dec.stream(x.as_py() or [])) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return tokens.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {tokens.schema[id_col].dataType.simpleString()}, text string")
+    return tokens.select(id_col, ids_col).mapInArrow(lean(run), f"`{id_col}` {tokens.schema[id_col].dataType.simpleString()}, text string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions.storage import at_end, lasting, remove, scope, shared_dir, stored
 
-__all__ = ["at_end", "claim", "in_small_batches", "lasting", "remove", "scope", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_or_empty"]
+__all__ = ["at_end", "claim", "in_small_batches", "lasting", "lean", "remove", "scope", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_or_empty"]
 
 
 ROWS_PER_BATCH = 1000
@@ -48,6 +49,7 @@ def slices(sizes, limit: int) -> Iterator[tuple[int, int]]:
 
 
 M_MMAP_THRESHOLD, LARGE = -3, 4 << 20  # as in malloc.h; bytes
+KEPT = 200 << 20  # what a process may keep between tasks without looking for more to give back
 
 _holders: dict[str, Callable[[], None]] = {}
 
@@ -59,13 +61,33 @@ def claim(owner: str, clear: Callable[[], None]) -> None:
         for f in others:
             f()
         _holders.clear()
+        gc.collect()
         _give_back()
     _holders[owner] = clear
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, whose Python process, which Spark reuses and keeps, gives back at the end of each task what the task freed."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if resident() > KEPT:
+                _give_back()
+
+    return task
+
+
+def resident() -> int:
+    """Bytes that this process has in memory; 0 where the system doesn't tell."""
+    with contextlib.suppress(OSError), open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+    return 0
+
+
 def _give_back() -> None:
     """Returns free memory to the system, and has large arrays returned as soon as they are dropped."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL(None)

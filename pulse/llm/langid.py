@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.common import claim, in_small_batches, slices, stored
+from pulse.llm.common import claim, in_small_batches, lean, slices, stored
 
 UNKNOWN = "und"
 GRAM = 4
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
                     g, n = np.unique(np.concatenate(found), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    found = stored(sample.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    found = stored(sample.mapInArrow(lean(count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     sampled = {name: min(n, per_language) for name, n in totals.items()}
     shares: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for name in languages:
@@ -179,7 +179,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", id_col: str =
     from pyspark.sql import types as T
 
     schema = T.StructType([*docs.select(*names).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(lean(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):

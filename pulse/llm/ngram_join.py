@@ -34,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.common import at_end, claim, in_small_batches, lasting, remove, scope, shared_dir, shuffle_partitions, slices, stored
+from pulse.llm.common import at_end, claim, in_small_batches, lasting, lean, remove, scope, shared_dir, shuffle_partitions, slices, stored
 from pulse.operators.graph import connected_components
 
 WORDS = 5
@@ -131,6 +131,7 @@ def blocks(batches: Iterator[pa.RecordBatch], limit: int = 4 * BLOCK) -> Iterato
         for a, b in slices(sizes, limit):
             part = batch.slice(a, b - a)
             yield part, shingle_sets([x or b"" for x in part.column(1).to_pylist()])
+    _powers.clear()
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -197,7 +198,7 @@ def count_table(chunks: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([scale.tobytes()], pa.binary())], ["chunk", "counts"])
 
     table = np.zeros(1 << COUNT_BITS, np.uint8)
-    for r in chunks.repartition(1 << (COUNT_BITS - CHUNK_BITS), "chunk").mapInArrow(add, "chunk int, counts binary").collect():
+    for r in chunks.repartition(1 << (COUNT_BITS - CHUNK_BITS), "chunk").mapInArrow(lean(add), "chunk int, counts binary").collect():
         table[r["chunk"] << CHUNK_BITS : (r["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(bytes(r["counts"]), np.uint8)
     return table
 
@@ -319,7 +320,7 @@ def sets_of(text: DataFrame, members: DataFrame, ids: DataFrame, parts: int, who
                 ids, sizes, data = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], ["sid", "size", name])
 
-    found = text.mapInArrow(keep, f"sid bigint, size int, {name} binary").repartition(parts, "sid")
+    found = text.mapInArrow(lean(keep), f"sid bigint, size int, {name} binary").repartition(parts, "sid")
     return by_id(found.dropDuplicates(["sid"]), parts)
 
 
@@ -336,7 +337,7 @@ def check(text: DataFrame, members: DataFrame, pairs: DataFrame, sets: DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = attach(pairs, sets, "a", ["size", "sig"])
-    left = stored(attach(both, sets, "b", ["size", "sig"]).mapInArrow(bound, "a bigint, b bigint"))
+    left = stored(attach(both, sets, "b", ["size", "sig"]).mapInArrow(lean(bound), "a bigint, b bigint"))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,7 +351,7 @@ def check(text: DataFrame, members: DataFrame, pairs: DataFrame, sets: DataFrame
         return left
     ends = left.select(F.col("a").alias("sid")).unionByName(left.select(F.col("b").alias("sid")))
     sets = sets_of(text, members, ends, shuffle_partitions(text.sparkSession), True)
-    return stored(attach(attach(left, sets, "b", ["items"]), sets, "a", ["items"]).mapInArrow(exact, "a bigint, b bigint"))
+    return stored(attach(attach(left, sets, "b", ["items"]), sets, "a", ["items"]).mapInArrow(lean(exact), "a bigint, b bigint"))
 
 
 def across(percent: int, turn: int, last: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,7 +429,7 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataF
     parts = shuffle_partitions(spark)
     text = in_small_batches(docs).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    described = stored(text.mapInArrow(describe, f"doc {kind}, sid bigint, size int, chunk int, counts binary"))
+    described = stored(text.mapInArrow(lean(describe), f"doc {kind}, sid bigint, size int, chunk int, counts binary"))
     members = described.where("chunk IS NULL").select("doc", "sid", "size")
     table = spark.sparkContext.broadcast(count_table(described.where("chunk IS NOT NULL").select("chunk", "counts")))
     at_end(table.destroy)
@@ -456,7 +457,7 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataF
                 sub = part_of(sid, parts_of(h, table.value, split), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(sub), pa.array(np.concatenate(sizes)), pa.array(sid), pa.array(np.concatenate(places))], ["shingle", "part", "size", "sid", "place"])
 
-    entries = text.mapInArrow(open_tiles, "shingle bigint, part int, size int, sid bigint, place int")
+    entries = text.mapInArrow(lean(open_tiles), "shingle bigint, part int, size int, sid bigint, place int")
     names = ["shingle", "size", "sid", "place", "hub"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,7 +480,7 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataF
             if many.any():
                 yield pa.RecordBatch.from_arrays([pa.array(h[many]), pa.array(size[many].astype(np.int32)), pa.array(sid[many]), pa.array(place[many]), pa.array(hub[many])], names)
 
-    met = stored(entries.repartition(parts, "shingle", "part").sortWithinPartitions("shingle", "part", "size", "sid").mapInArrow(meet, "shingle bigint, size int, sid bigint, place int, hub bigint"))
+    met = stored(entries.repartition(parts, "shingle", "part").sortWithinPartitions("shingle", "part", "size", "sid").mapInArrow(lean(meet), "shingle bigint, size int, sid bigint, place int, hub bigint"))
 
     sigs = sets_of(text, members, met, parts, False)
     # a hub is only tried on sets that meet it in a tenth of their tiles: what it leaves is looked at below
@@ -504,9 +505,9 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataF
     rest, turn, last = met.drop("hub"), 0, False
     while True:
         labelled = rest.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("shingle", "size", "sid", "place", F.coalesce("component", "sid").alias("component"))
-        dealt = labelled.mapInArrow(partial(deal, turn, last), "shingle bigint, part bigint, parts bigint, size int, sid bigint, place int, component bigint")
+        dealt = labelled.mapInArrow(lean(partial(deal, turn, last)), "shingle bigint, part bigint, parts bigint, size int, sid bigint, place int, component bigint")
         dealt = dealt.repartition(parts, "shingle", "part").sortWithinPartitions("shingle", "part", "size", "sid")
-        tried = stored(dealt.mapInArrow(partial(across, percent, turn, last), "a bigint, b bigint, wide bigint, least bigint, most bigint"))
+        tried = stored(dealt.mapInArrow(lean(partial(across, percent, turn, last)), "a bigint, b bigint, wide bigint, least bigint, most bigint"))
         found = check(text, members, tried.where("wide IS NULL").select("a", "b").distinct(), sigs, percent)
         some = not found.isEmpty()
         if some:

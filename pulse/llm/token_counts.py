@@ -27,11 +27,11 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from pulse.llm.common import claim, slices
+from pulse.llm.common import claim, in_small_batches, lean, slices
 from pulse.llm.transducer import MAX_STATES, Merges, Transducer, gather
 
 SPACE = "▁"
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 20
 _CHUNK = re.compile(" +[^ ]*")
 _CUT = re.compile("(?<! ) ")
 
@@ -242,4 +242,4 @@ def count(docs: DataFrame, model_path: str, limit: int, text_col: str = "text",
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean, longest_within bigint" + ", prefix_steps binary" * keep_steps
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return in_small_batches(docs).select(id_col, text_col).mapInArrow(lean(run), schema)

@@ -16,18 +16,19 @@ continues.
 
 Moves come into being when a text first needs them. Many pieces are run side by
 side, one symbol of all of them after the other; the moves they lack are made
-together. Between blocks, states that the last block didn't visit leave when
-there are more than max_states.
+together. Between blocks, when there are more than max_states, the half of the
+moves leaves that wasn't used for longest, and the states that only they reach.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Sequence
 
 import numpy as np
 
 FEW = 12  # pieces, or missing moves, below which Python is quicker than arrays
-MAX_STATES = 1 << 18
+MAX_STATES = 1 << 17
 PAIR_BITS = 20
 NONE = np.iinfo(np.int32).max
 GOLDEN = 0x9E3779B97F4A7C15
@@ -99,8 +100,7 @@ class Merges:
     def __init__(self, entries: Sequence[Sequence[int]], n_symbols: int):
         self.n_symbols, n = n_symbols, len(entries)
         self.length = np.fromiter(map(len, entries), np.int32, n)
-        number = {tuple(e): i for i, e in enumerate(entries)}
-        self.number = number
+        number = {tuple(e) if not isinstance(e, bytes) else e: i for i, e in enumerate(entries)}
         self.bits = max(1, n.bit_length())
         # the trie
         child: dict[int, int] = {}
@@ -120,10 +120,15 @@ class Merges:
         self.child = Table()
         self.child.add(np.fromiter(child, np.int64, len(child)), np.fromiter(child.values(), np.int32, len(child)))
         self.token, self.inner = np.array(token, np.int32), np.array(inner, bool)
-        self.token_list, self.inner_list = memoryview(self.token), self.inner.tolist()
+        self.token_list, self.inner_list = memoryview(self.token), memoryview(self.inner)
         # every way to put an entry together from two, and the one that merging takes
-        parts = [(len(e), i, left, right) for e, i in number.items() for k in range(1, len(e)) if (left := number.get(e[:k])) is not None and (right := number.get(e[k:])) is not None]
-        size, whole, left, right = np.array(parts, np.int64).reshape(-1, 4).T
+        parts = array("i")
+        for e, i in number.items():
+            for k in range(1, len(e)):
+                if (left := number.get(e[:k])) is not None and (right := number.get(e[k:])) is not None:
+                    parts.extend((len(e), i, left, right))
+        size, whole, left, right = np.frombuffer(parts, np.int32).reshape(-1, 4).T.astype(np.int64)
+        del number, child, token, inner
         self.merged = Table()
         self.merged.add(left << self.bits | right, whole.astype(np.int32))
         self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
@@ -176,7 +181,7 @@ class Transducer:
         self.merges, self.max_states = merges, max_states
         self.end = merges.n_symbols  # read after a piece's last symbol
         self.shift = (self.end + 1).bit_length()
-        self.made = self.steps = 0
+        self.made = self.steps = self.turn = 0
         self.reset()
 
     def reset(self) -> None:
@@ -186,7 +191,7 @@ class Transducer:
         n = 1 << 12
         self.n_moves = self.n_out = 0
         self.next, self.last, self.step = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int8)
-        self.out_at, self.out_len = np.zeros(n, np.int32), np.zeros(n, np.uint8)
+        self.out_at, self.out_len, self.used = np.zeros(n, np.int32), np.zeros(n, np.uint8), np.zeros(n, np.int32)
         self.out = np.zeros(n, np.int32)
         self.state(np.array([-1, 0], np.int32).tobytes())  # no token before, nothing read
 
@@ -202,7 +207,7 @@ class Transducer:
         """Adds moves; returns their numbers."""
         n, m = self.n_moves + len(keys), self.n_out + len(tokens)
         if n > len(self.next):
-            for name in ("next", "last", "step", "out_at", "out_len"):
+            for name in ("next", "last", "step", "out_at", "out_len", "used"):
                 setattr(self, name, np.concatenate((old := getattr(self, name), np.zeros(max(n, 2 * len(old)) - len(old), old.dtype))))
         if m > len(self.out):
             self.out = np.concatenate((self.out, np.zeros(max(m, 2 * len(self.out)) - len(self.out), np.int32)))
@@ -301,8 +306,6 @@ class Transducer:
 
     def run(self, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The move of each symbol, and of the end after each piece, of pieces that follow one another in symbols."""
-        if len(self.states) > self.max_states:
-            self.reset()
         n = len(sizes)
         ends = np.cumsum(sizes + 1) - 1
         text = np.full(len(symbols) + n, self.end, np.int64)
@@ -325,6 +328,8 @@ class Transducer:
             state = self.next[mv].astype(np.int64)
             here += 1
         self.steps += len(text)
+        self.turn += 1
+        self.used[moves] = self.turn
         if len(self.states) > self.max_states:
             moves = self.forget(moves)
         return moves
@@ -384,13 +389,17 @@ class Transducer:
         return self.keep(np.array([key]), self.state(new_record), new, depth[here] - depth[here - 1], np.array([len(out)]), np.array(out, np.int32))[0]
 
     def forget(self, moves: np.ndarray) -> np.ndarray:
-        """Keeps only the moves that the last block made; returns its moves by their new numbers."""
-        used, back = np.unique(moves, return_inverse=True)
+        """Keeps the moves used last, half of them or those of the last block alone; returns the block's moves by their new numbers."""
+        age = self.used[: self.n_moves]
+        least = min(int(np.partition(age, self.n_moves // 2)[self.n_moves // 2]) + 1, self.turn)
+        used = np.flatnonzero(age >= least)
+        back = np.empty(self.n_moves, np.int32)
+        back[used] = np.arange(len(used))
         slots = np.flatnonzero(self.moves.keys >= 0)
         key_of = np.empty(self.n_moves, np.int64)
         key_of[self.moves.values[slots]] = self.moves.keys[slots]
         keys, next_, last, step, n_out, out_at = key_of[used], self.next[used], self.last[used], self.step[used], self.out_len[used], self.out_at[used]
-        tokens, old, made = gather(self.out, out_at, n_out), self.states, self.made
+        tokens, old, made, age = gather(self.out, out_at, n_out), self.states, self.made, age[used]
         hot = np.unique(np.concatenate(([0], keys >> self.shift, next_)))
         renumber = np.empty(len(old), np.int64)
         renumber[hot] = np.arange(len(hot))
@@ -399,7 +408,8 @@ class Transducer:
             self.state(old[s])
         self.keep(renumber[keys >> self.shift] << self.shift | keys & (1 << self.shift) - 1, renumber[next_], last, step, n_out.astype(np.int64), tokens)
         self.made = made
-        return back.astype(np.int32)
+        self.used[: len(used)] = age
+        return back[moves]
 
     def tokens(self, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What moves emit, one after the other, and how many each."""
