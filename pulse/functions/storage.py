@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import os
 import tempfile
 import uuid
@@ -55,6 +56,12 @@ def scope() -> Iterator[None]:
         _undo(made)
 
 
+def release(spark: SparkSession) -> None:
+    """Collects what the driver has dropped, so that its heap shrinks and Spark removes the shuffles and broadcasts that went with it."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written once to the shared folder and read back: lineage ends there."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
