@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.functions.storage import at_end, lasting, remove, scope, shared_dir, stored
+from pulse.functions.storage import at_end, lasting, release, remove, scope, shared_dir, stored
 
-__all__ = ["at_end", "claim", "in_small_batches", "lasting", "lean", "remove", "scope", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_or_empty"]
+__all__ = ["at_end", "claim", "in_small_batches", "lasting", "lean", "release", "remove", "scope", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_or_empty"]
 
 
 ROWS_PER_BATCH = 1000

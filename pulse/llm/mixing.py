@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.common import stored, text_or_empty
+from pulse.llm.common import release, stored, text_or_empty
 
 #: A marginal's target shares are its own to this power: under one, small groups gain.
 POWERS = (("source", 0.7), ("lang", 0.7), ("topic", 1.0))
@@ -66,7 +66,9 @@ def rates(rows: DataFrame, powers=POWERS, rounds: int = ROUNDS, targets: dict[st
         total = own.agg(F.sum("t")).first()[0] or 1.0
         marginals.append(stored(own.select(d, (F.col("t") / F.lit(total)).alias("target"))))
     cells = cells.withColumn("moved", F.lit(0.0))
-    for _ in range(rounds):
+    for n in range(rounds):
+        if n % 4 == 0:  # plans of rounds are many and short-lived
+            release(rows.sparkSession)
         cells = cells.withColumn("moved", F.lit(0.0))
         for (d, _), target in zip(powers, marginals, strict=True):
             factor = cells.groupBy(d).agg(F.sum("weight").alias("now")).join(target, d).select(d, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias("factor"))
