@@ -8,21 +8,26 @@ k-th best score in the longest blocks; by Cauchy-Schwarz a block whose longest
 vector times the query's length stays under it is never looked at, and within a
 block a vector is dropped as soon as its partial sum plus the product of the
 two remainders stays under it. What is left is scored exactly, in integers.
+
+The queries go to the blocks in passes of at most PASS_BYTES, so that neither
+the driver nor a task ever holds more of them, however many there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulse.llm.common import shuffle_partitions, stored
+from pulse.llm.common import at_end, remove, shared_dir, shuffle_partitions, stored
 
 BLOCK_ROWS = 2048
 QUERY_ROWS = 256
+PASS_BYTES = 8 << 20  # of the integers of the queries that go to all blocks together
 CUTS = (8, 16, 32)
 
 
@@ -41,13 +46,13 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
         for batch in batches:
             m = matrix(batch.column(0), width).astype(np.float64)
             total += m.T @ m
-        i, j = np.indices(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], ["i", "j", "x"])
+        i, j = np.triu_indices(width)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j])], ["i", "j", "x"])
 
-    cells = vectors.select("ints").mapInArrow(gram, "i bigint, j bigint, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
+    cells = vectors.select("ints").mapInArrow(gram, "i bigint, j bigint, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).toArrow()
+    i, j, x = (cells.column(c).to_numpy() for c in ("i", "j", "x"))  # half of width squared
     g = np.zeros((width, width))
-    for r in cells:  # width squared rows
-        g[r["i"], r["j"]] = r["x"]
+    g[i, j] = g[j, i] = x
     return np.linalg.eigh(g)[1][:, ::-1].copy()
 
 
@@ -78,13 +83,29 @@ class Best:
         return float(self.scores[q][-1]) if len(self.scores[q]) == self.k else -np.inf
 
 
-def search_block(queries: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, vectors: np.ndarray, ids: np.ndarray, turn: np.ndarray, best: Best) -> None:
+class Asked(NamedTuple):
+    """Queries with what their turned coordinates are and leave."""
+
+    ids: np.ndarray
+    items: np.ndarray
+    floors: np.ndarray
+    turned: np.ndarray
+    rests: np.ndarray
+
+
+def asked_of(ids: np.ndarray, items: np.ndarray, floors: np.ndarray, turn: np.ndarray) -> Asked:
+    turned = items @ turn
+    return Asked(ids, items, floors, turned, tails(turned))
+
+
+def search_block(asked: Asked, vectors: np.ndarray, ids: np.ndarray, turn: np.ndarray, best: Best) -> None:
     """Adds to best what a block (longest vectors first) has for each query."""
-    tq, tv = queries @ turn, vectors @ turn
-    rq, rv = tails(tq), tails(tv)
+    queries, tq, rq = asked.items, asked.turned, asked.rests
+    tv = vectors @ turn
+    rv = tails(tv)
     slack = 1e-6 * (1 + rq[:, 0].max(initial=0) * rv[:, 0].max(initial=0)) + 1  # above the rounding of the turned sums
     for q in range(len(queries)):
-        least = max(floors[q], best.floor(q)) - slack
+        least = max(asked.floors[q], best.floor(q)) - slack
         live = np.arange(int(np.searchsorted(-rv[:, 0], -least / rq[q, 0], side="right")) if rq[q, 0] > 0 and least > 0 else len(ids))
         done, partial = 0, np.zeros(len(live))
         for c, cut in enumerate((*CUTS, vectors.shape[1])):
@@ -94,13 +115,18 @@ def search_block(queries: np.ndarray, q_ids: np.ndarray, floors: np.ndarray, vec
             rest = rq[q, c + 1] * rv[live, c + 1] if c < len(CUTS) else 0.0
             ok = partial + rest >= least
             live, partial, done = live[ok], partial[ok], cut
-        live = live[ids[live] != q_ids[q]]
+        live = live[ids[live] != asked.ids[q]]
         if len(live):
             small = rq[q, 0] * rv[0, 0] < 1 << 52  # every partial sum is an integer that a double holds
             exact = vectors[live] @ queries[q] if small else vectors[live].astype(np.int64) @ queries[q].astype(np.int64)
             best.add(q, ids[live], exact.astype(np.int64))
 
 
+def unpacked(row, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, integers and floors of a block."""
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["items"], np.int64).reshape(-1, width).astype(np.float64), np.frombuffer(row["floors"], np.float64)
+
+
 def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best of all other rows for each row whose id is divisible by ``every``.
 
@@ -125,41 +151,59 @@ def top_k(df: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_co
     norm2 = F.aggregate("ints", F.lit(0).cast("long"), lambda a, x: a + x * x)
     vectors = vectors.withColumn("norm2", norm2)
     ordered = vectors.repartitionByRange(parts, F.desc("norm2"), "id").sortWithinPartitions(F.desc("norm2"), "id")
-    v_blocks = stored(ordered.select("id", "ints", F.lit(0.0).alias("floor")).mapInArrow(lambda b: packed(b, width, BLOCK_ROWS), BLOCK_SCHEMA))
+    blocks = ordered.select("id", "ints", F.lit(0.0).alias("floor")).mapInArrow(lambda b: packed(b, width, BLOCK_ROWS), BLOCK_SCHEMA)
+    v_blocks = stored(blocks.withColumn("block", F.monotonically_increasing_id()))
     asked = vectors.where(F.pmod("id", F.lit(every)) == 0).groupBy("id").agg(F.min("ints").alias("ints"))
 
-    def query_blocks(rows: DataFrame) -> DataFrame:
-        return rows.repartition(max(1, parts // 4), "id").mapInArrow(lambda b: packed(b, width, QUERY_ROWS), BLOCK_SCHEMA).select(*[F.col(c).alias(f"q_{c}") for c in ("longest", "least", "ids", "items", "floors")])
+    # the block of the longest vectors, one row of bounded size, gives each query a first threshold
+    longest = v_blocks.select("longest", "block").orderBy(F.desc("longest"), "block").first()["block"]
+    seed_ids, seed, _ = unpacked(v_blocks.where(F.col("block") == longest).first(), width)
+    seeds = spark.sparkContext.broadcast((seed_ids, seed))
+
+    def first_floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, items = seeds.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, QUERY_ROWS):
+                rows = batch.slice(at, QUERY_ROWS)
+                q, best = matrix(rows.column(1), width).astype(np.float64), Best(rows.num_rows, k)
+                search_block(asked_of(rows.column(0).to_numpy(), q, np.full(len(q), -np.inf), turn), items, ids, turn, best)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([best.floor(i) for i in range(len(q))], pa.float64())], ["id", "ints", "floor"])
+
+    queries = stored(asked.mapInArrow(first_floors, "id bigint, ints array<bigint>, floor double"))
+    seeds.destroy()
+
+    path = shared_dir(spark)
+    at_end(lambda: remove(path, spark))
+    passes = -(-queries.count() * width * 8 // PASS_BYTES)
+    for n in range(passes):
+        own = queries.where(F.pmod(F.xxhash64("id"), F.lit(passes)) == n)
+        served(spark, own, v_blocks, width, turn, k).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path) if passes else spark.createDataFrame([], schema)
+
+
+def served(spark, queries: DataFrame, v_blocks: DataFrame, width: int, turn: np.ndarray, k: int) -> DataFrame:
+    """The ranked best of each query (id, ints, floor), all of which go to every task; a task keeps k of its own blocks."""
+    rows = queries.mapInArrow(lambda b: packed(b, width, QUERY_ROWS), BLOCK_SCHEMA).select("ids", "items", "floors").collect()
+    blocks = [unpacked(r, width) for r in rows] or [(np.empty(0, np.int64), np.empty((0, width)), np.empty(0))]
+    held = spark.sparkContext.broadcast(tuple(np.concatenate(x) for x in zip(*blocks, strict=True)))
+    at_end(held.destroy)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of a query block and a vector block -> the best of each query."""
+        asked = asked_of(*held.value, turn)
+        best = Best(len(asked.ids), k)
         for batch in batches:
             for r in range(batch.num_rows):
-                get = lambda c, kind: np.frombuffer(batch.column(c)[r].as_py(), kind)  # noqa: B023, E731
-                q, v = (get(c, np.int64).reshape(-1, width).astype(np.float64) for c in ("q_items", "items"))
-                q_ids, best = get("q_ids", np.int64), Best(len(q), k)
-                search_block(q, q_ids, get("q_floors", np.float64), v, get("ids", np.int64), turn, best)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, [len(x) for x in best.ids])), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["query_id", "vec_id", "score"])
-
-    found = "query_id bigint, vec_id bigint, score bigint"
-    needed = ["q_ids", "q_items", "q_floors", "ids", "items"]
-    # the longest block of all, one row of bounded size, gives each query a first threshold
-    top = F.broadcast(v_blocks.orderBy(F.desc("longest"), "ids").limit(1).withColumn("one", F.lit(1)))
-    no_floor = F.lit(float("-inf"))
-    seeds = query_blocks(asked.select("id", "ints", no_floor.alias("floor"))).withColumn("one", F.lit(1)).join(top, "one").select(*needed).mapInArrow(scan, found)
-    floors = seeds.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), F.col("floor").cast("double").alias("floor"))
-    queries = stored(query_blocks(asked.join(floors, "id", "left").select("id", "ints", F.coalesce("floor", no_floor).alias("floor"))))
-
-    # every block of queries meets the vector blocks that it can still be served by, in as many groups as there are tasks
-    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
-    pairs = queries.withColumn("g", spread).join(v_blocks.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(parts))), "g")
-    pairs = pairs.where(F.col("q_longest") * F.col("longest") + 1 >= F.col("q_least")).select(*needed)
+                ids, items, _ = unpacked({c: batch.column(c)[r].as_py() for c in ("ids", "items", "floors")}, width)
+                search_block(asked, items, ids, turn, best)
+        if len(asked.ids):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked.ids, [len(x) for x in best.ids])), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["query_id", "vec_id", "score"])
+
+    found = v_blocks.select("ids", "items", "floors").mapInArrow(scan, "query_id bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    best = pairs.mapInArrow(scan, found).withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-BLOCK_SCHEMA = "longest double, least double, ids binary, items binary, floors binary"
+BLOCK_SCHEMA = "longest double, ids binary, items binary, floors binary"
 
 
 def packed(batches: Iterator[pa.RecordBatch], width: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -170,8 +214,8 @@ def packed(batches: Iterator[pa.RecordBatch], width: int, rows: int) -> Iterator
         ids, m, floors = (np.concatenate(x) for x in zip(*held, strict=True))
         longest = float(np.sqrt((m.astype(np.float64) ** 2).sum(1)).max())
         return pa.RecordBatch.from_arrays(
-            [pa.array([longest]), pa.array([float(floors.min())]), *[pa.array([x.tobytes()], pa.binary()) for x in (ids, m, floors)]],
-            ["longest", "least", "ids", "items", "floors"],
+            [pa.array([longest]), *[pa.array([x.tobytes()], pa.binary()) for x in (ids, m, floors)]],
+            ["longest", "ids", "items", "floors"],
         )
 
     for batch in batches:

@@ -429,6 +429,30 @@ def test_top_k_scores_are_whole_beyond_doubles(spark):
     assert got == {(0, i): sum(a * b for a, b in zip(ints[0], ints[i], strict=True)) for i in (1, 2)}
 
 
+def test_top_k_sends_queries_in_bounded_passes(spark, monkeypatch):
+    """No broadcast of Spark's or Python's holds more than a pass of queries, whatever the number of partitions."""
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.integers(-900, 900, 8) for i in range(0, 1200, 2)}
+    df = spark.createDataFrame([(i, (v / 1024).tolist()) for i, v in vectors.items()], "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(topk, "PASS_BYTES", 8 * 8 * 50, raising=False)  # 50 queries of 300
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, x: sent.append(len(x[0])) or send(sc, x))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        out = topk.top_k(df, every=4)
+        got = sorted(tuple(r) for r in out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = []
+    for q in (i for i in vectors if i % 4 == 0):
+        best = sorted((-int(vectors[q] @ v), i) for i, v in vectors.items() if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+    assert "Broadcast" not in plan and len(sent) == 7 and sum(sent[1:]) == 300 and max(sent[1:]) < 100
+
+
 def test_fingerprints_equal_a_naive_walk():
     e, rng = edit_fingerprint, random.Random(4)
     for n in (1, 2, 5, 63, 400, 3000):
