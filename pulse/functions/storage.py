@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 #: What undoes the folders and tables made since each open scope began; the last of all are undone when Python ends.
@@ -57,9 +58,23 @@ def scope() -> Iterator[None]:
 
 
 def release(spark: SparkSession) -> None:
-    """Collects what the driver has dropped, so that its heap shrinks and Spark removes the shuffles and broadcasts that went with it."""
+    """Collects what the driver has dropped, so that its heap shrinks and Spark removes the shuffles and broadcasts that went with it; what its JVM has freed beside the heap goes back to the system."""
     gc.collect()
     spark._jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> None:
+    """Gives back what the driver's JVM has freed beside its heap, which glibc keeps for each of its many threads; nothing where the JVM has no command for it."""
+    with contextlib.suppress(Py4JError):
+        jvm, array = spark._jvm, spark.sparkContext._gateway.new_array
+        kinds, given = array(jvm.Class, 4), array(jvm.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = jvm.Class.forName(kind)
+        for i, x in enumerate((jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", array(jvm.Object, 0), array(jvm.String, 0))):
+            given[i] = x
+        # the server's own class is hidden, its interface is not
+        jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
 
 
 def stored(df: DataFrame) -> DataFrame:

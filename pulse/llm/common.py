@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulse.functions.storage import at_end, lasting, release, remove, scope, shared_dir, stored
+from pulse.functions import storage
+from pulse.functions.storage import at_end, lasting, release, remove, scope, shared_dir, trim
 
 __all__ = ["at_end", "claim", "in_small_batches", "lasting", "lean", "release", "remove", "scope", "shared_dir", "shuffle_partitions", "slices", "stored", "table", "text_or_empty"]
 
@@ -24,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As in storage, after the driver's JVM has given back what plans before have left beside its heap."""
+    trim(df.sparkSession)
+    return storage.stored(df)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -66,9 +66,8 @@ def rates(rows: DataFrame, powers=POWERS, rounds: int = ROUNDS, targets: dict[st
         total = own.agg(F.sum("t")).first()[0] or 1.0
         marginals.append(stored(own.select(d, (F.col("t") / F.lit(total)).alias("target"))))
     cells = cells.withColumn("moved", F.lit(0.0))
-    for n in range(rounds):
-        if n % 4 == 0:  # plans of rounds are many and short-lived
-            release(rows.sparkSession)
+    for _ in range(rounds):
+        release(rows.sparkSession)  # a round's plans are large and short-lived
         cells = cells.withColumn("moved", F.lit(0.0))
         for (d, _), target in zip(powers, marginals, strict=True):
             factor = cells.groupBy(d).agg(F.sum("weight").alias("now")).join(target, d).select(d, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias("factor"))

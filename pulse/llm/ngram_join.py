@@ -34,7 +34,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulse.llm.common import at_end, claim, in_small_batches, lasting, lean, remove, scope, shared_dir, shuffle_partitions, slices, stored
+from pulse.llm.common import at_end, claim, in_small_batches, lasting, lean, release, remove, scope, shared_dir, shuffle_partitions, slices, stored
 from pulse.operators.graph import connected_components
 
 WORDS = 5
@@ -426,6 +426,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", per
 
 def _classes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataFrame:
     spark = docs.sparkSession
+    release(spark)
     parts = shuffle_partitions(spark)
     text = in_small_batches(docs).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -504,6 +505,7 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataF
     labels = connected_components(links, "a", "b")
     rest, turn, last = met.drop("hub"), 0, False
     while True:
+        release(spark)
         labelled = rest.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("shingle", "size", "sid", "place", F.coalesce("component", "sid").alias("component"))
         dealt = labelled.mapInArrow(lean(partial(deal, turn, last)), "shingle bigint, part bigint, parts bigint, size int, sid bigint, place int, component bigint")
         dealt = dealt.repartition(parts, "shingle", "part").sortWithinPartitions("shingle", "part", "size", "sid")
