@@ -45,6 +45,8 @@ MOST = 65535  # what a task counts at most for a slot
 SPLIT = 1 << 16  # a tile of more sets, by the table of counts, is dealt out over parts of about so many
 FILTER_BITS = 20
 FEW_IDS = 50_000  # so many document ids may be broadcast
+FEW_PAIRS = 1 << 14  # so many pairs may be broadcast
+FEW_LINKS = 1 << 16  # of so many the driver makes the components itself
 BLOCK = 1 << 20
 #: A set with over a 64th of all pairs is hot: there are 64 at most.
 HOT_SETS = 64
@@ -264,10 +266,13 @@ def part_of(sid: np.ndarray, parts: np.ndarray, turn: int) -> np.ndarray:
     return (mix(sid.view(np.uint64) ^ np.uint64(0xD1B54A32D192ED03 * (turn + 1) & (1 << 64) - 1)) % parts.astype(np.uint64)).astype(np.int32)
 
 
-def attach(pairs: DataFrame, sets: DataFrame, end: str, cols: list[str]) -> DataFrame:
-    """pairs with columns of the set at one end. A set with over a 64th of all pairs (64 sets at most) is broadcast, so no task gets all its pairs."""
-    few = F.col("n") > max(1, pairs.count() // HOT_SETS)
-    hot = [r[0] for r in pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).where(few).collect()]
+def hot_sets(pairs: DataFrame, n: int, end: str) -> list[int]:
+    """The sets that are at one end of over a 64th of all n pairs."""
+    return [r[0] for r in pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1, n // HOT_SETS)).collect()]
+
+
+def attach(pairs: DataFrame, sets: DataFrame, end: str, cols: list[str], hot: list[int]) -> DataFrame:
+    """pairs with columns of the set at one end. Its hot sets (64 at most) are broadcast, so no task gets all the pairs of one."""
     own = sets.select(F.col("sid").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in cols])
     is_hot = F.col(end).isin(hot)
     out = pairs.where(~is_hot).join(own.hint("merge"), end)
@@ -324,34 +329,92 @@ def sets_of(text: DataFrame, members: DataFrame, ids: DataFrame, parts: int, who
     return by_id(found.dropDuplicates(["sid"]), parts)
 
 
+def similar_bounds(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
+    return linked(overlap_bound(x, n, y, m), n, m, percent)
+
+
+def similar_items(x: bytes, n: int, y: bytes, m: int, percent: int) -> bool:
+    return linked(common_elements(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), n, m, percent)
+
+
 def check(text: DataFrame, members: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that are similar enough. sets has the signatures; arrays are made again for the pairs that pass."""
-    pairs = stored(pairs)
-    if pairs.isEmpty():
+    """The pairs (a, b) of set ids that are similar enough. sets has the signatures; arrays are made again for the pairs that pass.
+
+    Few pairs are broadcast to the sets, more are joined with them; both ways check all.
+    """
+    with scope():
+        pairs = stored(pairs)
+        left = passing(pairs, pairs.count(), sets, "sig", partial(similar_bounds, percent=percent))
+        n = left.count()
+        made = set_arrays(text, members, left) if n <= FEW_PAIRS else sets_of(text, members, ends_of(left).select("sid"), shuffle_partitions(text.sparkSession), True)
+        return lasting(passing(left, n, made, "items", partial(similar_items, percent=percent)))
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """sid, a, b: each pair once for each end."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("sid"), "a", "b")
+
+
+def set_arrays(text: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """sid, size and sorted hashes of the sets of few pairs, each from one document; rows that share an id may bring others."""
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, sets in blocks(batches):
+            sets = [s for s in sets if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "size", "items"])
+
+    docs = members.join(F.broadcast(ends_of(pairs).select("sid")), "sid", "left_semi").groupBy("sid").agg(F.min("doc").alias("own")).select("own")
+    return text.join(F.broadcast(docs), text["doc"].eqNullSafe(docs["own"]), "left_semi").mapInArrow(lean(again), "sid bigint, size int, items binary")
+
+
+def passing(pairs: DataFrame, n: int, sets: DataFrame, name: str, similar) -> DataFrame:
+    """Those of n stored pairs (a, b) whose sets' sizes and columns of that name are similar."""
+    if not n:
         return pairs
 
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come with those of a pair together; a set may come twice."""
+        pair, seen = None, {}
         for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in ("size_a", "sig_a", "size_b", "sig_b")}
-            ok = [linked(overlap_bound(x, n, y, m), n, m, percent) for x, n, y, m in zip(c["sig_a"], c["size_a"], c["sig_b"], c["size_b"], strict=True)]
+            found = []
+            for a, b, sid, size, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (a, b) != pair:
+                    pair, seen = (a, b), {}
+                if sid not in seen:
+                    seen[sid] = data, size
+                    if len(seen) == 2 and similar(*seen[a], *seen[b]):
+                        found.append(pair)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(2)], ["a", "b"])
+
+    def of_many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = [similar(*row) for row in zip(*[batch.column(c).to_pylist() for c in (f"{name}_a", "size_a", f"{name}_b", "size_b")], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = attach(pairs, sets, "a", ["size", "sig"])
-    left = stored(attach(both, sets, "b", ["size", "sig"]).mapInArrow(lean(bound), "a bigint, b bigint"))
+    if n <= FEW_PAIRS:
+        rows = sets.join(F.broadcast(ends_of(pairs)), "sid").select("a", "b", "sid", "size", name)
+        rows = rows.repartition(shuffle_partitions(pairs.sparkSession), "a", "b").sortWithinPartitions("a", "b")
+        return stored(rows.mapInArrow(lean(of_few), "a bigint, b bigint"))
+    hot = {end: hot_sets(pairs, n, end) for end in ("a", "b")}
+    both = attach(pairs, sets, "b", ["size", name], hot["b"])
+    return stored(attach(both, sets, "a", ["size", name], hot["a"]).mapInArrow(lean(of_many), "a bigint, b bigint"))
 
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                ok.append(linked(common_elements(x, y), len(x), len(y), percent))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    if left.isEmpty():
-        return left
-    ends = left.select(F.col("a").alias("sid")).unionByName(left.select(F.col("b").alias("sid")))
-    sets = sets_of(text, members, ends, shuffle_partitions(text.sparkSession), True)
-    return stored(attach(attach(left, sets, "b", ["items"]), sets, "a", ["items"]).mapInArrow(lean(exact), "a bigint, b bigint"))
+def components(links: DataFrame) -> DataFrame:
+    """node, component of stored links (a, b): of few at once in the driver, of more in rounds."""
+    if links.count() > FEW_LINKS:
+        return connected_components(links, "a", "b")
+    least: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := least.setdefault(x, x)) != x:
+            least[x] = x = least[up]
+        return x
+
+    for a, b in links.collect():
+        a, b = root(a), root(b)
+        least[max(a, b)] = min(a, b)
+    return stored(links.sparkSession.createDataFrame([(x, root(x)) for x in list(least)], "node bigint, component bigint"))
 
 
 def across(percent: int, turn: int, last: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -502,7 +565,7 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataF
             c = batch.columns
             yield pa.RecordBatch.from_arrays([c[0], pa.array(sub), pa.array(of), *c[1:]], ["shingle", "part", "parts", "size", "sid", "place", "component"])
 
-    labels = connected_components(links, "a", "b")
+    labels = components(links)
     rest, turn, last = met.drop("hub"), 0, False
     while True:
         release(spark)
@@ -514,7 +577,7 @@ def _classes(docs: DataFrame, text_col: str, id_col: str, percent: int) -> DataF
         some = not found.isEmpty()
         if some:
             links = links.unionByName(found)
-            labels = connected_components(links, "a", "b")
+            labels = components(links)
         wide = stored(tried.where("wide IS NOT NULL").groupBy(F.col("wide").alias("shingle")).agg(F.min("least").alias("least"), F.max("most").alias("most")).where("least <> most").select("shingle"))
         if wide.isEmpty():
             break

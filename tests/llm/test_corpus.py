@@ -539,3 +539,29 @@ def test_near_groups_of_empty_repeated_and_clashing_rows(spark):
     got = sorted(tuple(r) for r in edit_fingerprint.near_groups(df).collect())
     assert got == [(1, 1), (2, 1), (4, 4), (4, 4), (9, 9)]
     assert edit_fingerprint.near_groups(df.limit(0)).count() == 0
+
+
+def test_ngram_join_of_few_pairs_takes_few_tasks_and_finds_what_rounds_find(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        own = list(words)
+        for _ in range(rng.randint(1, 3)):
+            own[rng.randrange(60)] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(own))
+    sc, found, tasks = spark.sparkContext, [], []
+    for few_pairs, few_links in ((1 << 14, 1 << 16), (0, 0)):
+        monkeypatch.setattr(ngram_join, "FEW_PAIRS", few_pairs)
+        monkeypatch.setattr(ngram_join, "FEW_LINKS", few_links)
+        group = f"ngram_join {few_pairs}"
+        sc.setJobGroup(group, group)
+        try:
+            found.append({r["doc_id"]: r["component_id"] for r in ngram_join.classes(docs(spark, texts)).collect()})
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+        of = sc.statusTracker()
+        stages = {s for j in of.getJobIdsForGroup(group) for s in of.getJobInfo(j).stageIds}
+        tasks.append(sum(i.numCompletedTasks for s in stages if (i := of.getStageInfo(s))))
+    assert found[0] == found[1] == {d: c for d, _, c in brute_classes(list(enumerate(texts, 1)))}
+    assert 0 < tasks[0] < tasks[1], tasks
