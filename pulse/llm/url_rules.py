@@ -27,8 +27,8 @@ MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE = 0.005, 30, 0.6
 RULES = (
     (BLOCK, "com/en/"),
     (ALLOW, "example.com/en/7"),
-    (BLOCK, "net/de/"),
-    (ALLOW, "example.net/de/8"),
+    (ALLOW, "net/de/"),
+    (BLOCK, "example.net/de/8"),
     (BLOCK, "org/es/"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
