@@ -120,15 +120,18 @@ def dominant_label(counts: DataFrame) -> DataFrame:
 
 
 def sentiment(texts: DataFrame) -> DataFrame:
-    """Adds pos, neg and score, (pos - neg) / (pos + neg) over the whole text, from -1 to 1; 0 without any. A word right after a negator counts for the other side."""
-    words = F.split(F.lower("text"), r"[^a-z]+")
+    """Adds pos, neg and score, (pos - neg) / (pos + neg) over the whole text, from -1 to 1; 0 without any. A word right after a negator counts for the other side.
 
-    def count(own, other):
-        turned = lambda i: F.coalesce(F.get(words, i - 1).isin(*NEGATORS), F.lit(False))
-        return F.size(F.filter(words, lambda w, i: F.when(turned(i), w.isin(*other)).otherwise(w.isin(*own))))
-
-    pos, neg = count(POSITIVE, NEGATIVE), count(NEGATIVE, POSITIVE)
-    return texts.withColumn("pos", pos.cast("long")).withColumn("neg", neg.cast("long")).withColumn("score", F.when(F.col("pos") + F.col("neg") > 0, (F.col("pos") - F.col("neg")) / (F.col("pos") + F.col("neg"))).otherwise(0.0))
+    A lambda evaluates all that it names for each word, so it is given the word
+    before in an array beside the words; no word is in both lists.
+    """
+    split = texts.withColumn("__words", F.split(F.lower("text"), r"[^a-z]+"))
+    before = F.slice(F.concat(F.array(F.lit("")), "__words"), F.lit(1), F.size("__words"))
+    own = lambda b, side: F.when(b.isin(*NEGATORS), F.lit(-side)).otherwise(F.lit(side))
+    marked = split.withColumn("__sides", F.zip_with("__words", before, lambda w, b: F.when(w.isin(*POSITIVE), own(b, 1)).when(w.isin(*NEGATIVE), own(b, -1)).otherwise(F.lit(0))))
+    count = lambda side: F.size(F.filter("__sides", lambda x: x == side)).cast("long")
+    counted = marked.withColumn("pos", count(1)).withColumn("neg", count(-1)).drop("__words", "__sides")
+    return counted.withColumn("score", F.when(F.col("pos") + F.col("neg") > 0, (F.col("pos") - F.col("neg")) / (F.col("pos") + F.col("neg"))).otherwise(0.0))
 
 
 def score_with(texts: DataFrame, scorer: Callable[[list[str]], list[tuple[float, float, float]]], max_chars: int = 2048) -> DataFrame:

@@ -188,6 +188,22 @@ def test_no_channel_counts_where_the_own_one_is_silent(spark):
     assert {r[0]: r[1] for r in features.concurrent_channels(w, df).collect()} == {"wa": 0, "wc": 1, "wd": 0}  # of 0, 1, 10, 50 only the last is over twice the median 5.5
 
 
+def test_sentiment_of_long_texts_equals_brute_force_and_splits_each_once(spark):
+    from pulse.operators import texts
+
+    words = ["day", "not", "good", "no", "bad", "t", "hate", "joy"]
+    rows = [("",), ("Good",), *((" ".join(words[(i * i * 7 + i * k + i // 5) % 8] for i in range(n)),) for k, n in enumerate((1, 2, 50, 3000)))]
+    assert not set(texts.POSITIVE) & set(texts.NEGATIVE)
+    scored = texts.sentiment(spark.createDataFrame(rows, "text string"))
+    for r in scored.collect():
+        w = r["text"].lower().split(" ")
+        turned = [i > 0 and w[i - 1] in texts.NEGATORS for i in range(len(w))]
+        pos = sum(x in (texts.NEGATIVE if t else texts.POSITIVE) for x, t in zip(w, turned, strict=True))
+        neg = sum(x in (texts.POSITIVE if t else texts.NEGATIVE) for x, t in zip(w, turned, strict=True))
+        assert (r["pos"], r["neg"]) == (pos, neg)
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1  # none for each word
+
+
 def test_sentiment_turns_round_after_a_negator(spark):
     from pulse.operators import texts
 
