@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulse.functions.calendar import DAY
 from pulse.functions.stats import t_pvalue, welch
+from pulse.functions.storage import stored
 from pulse.functions.text import usable
 from pulse.operators.intervals import slice_series
 
@@ -208,19 +209,22 @@ def topic_report(texts: DataFrame, topic: str = "topic", n: int = 10) -> DataFra
 
 
 def class_terms(texts: DataFrame, topic: str = "topic", n: int = 10, stop_words: tuple[str, ...] = (), pairs: bool = False) -> DataFrame:
-    """c-TF-IDF: a word's share of its topic's words times log(1 + mean words per topic / the word's total); the n best of each topic. With ``pairs``, two words in a row (stop words taken out before) are terms as well."""
+    """c-TF-IDF: a word's share of its topic's words times log(1 + mean words per topic / the word's total); the n best of each topic. With ``pairs``, two words in a row (stop words taken out before) are terms as well. The counts of terms are written once to the shared folder."""
     found = F.filter(F.split(F.lower("text"), r"[^a-z]+"), lambda w: (F.length(w) >= 2) & (~w.isin(*stop_words) if stop_words else F.lit(True)))
+    # dealt out anew, as the texts that have a topic can be few and lie together
+    texts = texts.select(topic, "text").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     if pairs:
         two = F.zip_with(F.col("w"), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
         both = texts.select(topic, found.alias("w")).select(topic, F.concat("w", F.filter(two, lambda x: x.isNotNull())).alias("w"))
-        words = both.select(topic, F.explode("w").alias("term"))
+        words = both.select(topic, F.explode_outer("w").alias("term"))
     else:
-        words = texts.select(topic, F.explode(found).alias("term"))
-    tf = words.groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n"))
+        words = texts.select(topic, F.explode_outer(found).alias("term"))
+    # explode_outer, as for explode Spark filters by the size of the words below any join, where it splits all texts
+    tf = stored(words.where("term IS NOT NULL").groupBy(topic, "term").agg(F.count(F.lit(1)).alias("n")))
     per_topic = tf.groupBy(topic).agg(F.sum("n").alias("size"))
-    per_term = tf.groupBy("term").agg(F.sum("n").alias("total"))
     mean = per_topic.agg(F.avg("size").alias("mean"))
-    s = tf.join(per_topic, topic).join(per_term, "term").crossJoin(F.broadcast(mean))
+    whole = tf.withColumn("total", F.sum("n").over(Window.partitionBy("term")))  # a row for each topic
+    s = whole.join(F.broadcast(per_topic), topic).crossJoin(F.broadcast(mean))  # few topics
     s = s.withColumn("weight", F.col("n") / F.col("size") * F.log(1 + F.col("mean") / F.col("total")))
     order = Window.partitionBy(topic).orderBy(F.round("weight", 9).desc(), "term")
     return s.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(topic, "rank", "term", "weight")

@@ -204,6 +204,22 @@ def test_sentiment_of_long_texts_equals_brute_force_and_splits_each_once(spark):
     assert scored._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1  # none for each word
 
 
+def test_class_terms_take_texts_apart_once_and_count_topics_without_key(spark):
+    from pulse.operators import texts
+
+    rows = [("a", "the red fox saw the red fox"), ("a", None), ("b", "a red hen"), ("b", "of"), (None, "red owl")]
+    df = spark.createDataFrame(rows, "topic string, text string")
+    terms = texts.class_terms(df, n=50, stop_words=texts.STOP_WORDS, pairs=True)
+    counts = {"a": {"red": 2, "fox": 2, "saw": 1, "red fox": 2, "fox saw": 1, "saw red": 1}, "b": {"red": 1, "hen": 1, "red hen": 1}, None: {"red": 1, "owl": 1, "red owl": 1}}
+    mean = sum(sum(c.values()) for c in counts.values()) / 3
+    total = lambda t: sum(c.get(t, 0) for c in counts.values())
+    want = {(k, t): n / sum(c.values()) * math.log(1 + mean / total(t)) for k, c in counts.items() if k for t, n in c.items()}
+    got = {(r["topic"], r["term"]): r["weight"] for r in terms.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    plan = terms._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(") + plan.count("split(") == 0  # done before, once
+
+
 def test_sentiment_turns_round_after_a_negator(spark):
     from pulse.operators import texts
 
